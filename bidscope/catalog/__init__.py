@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .registry import REGISTRY, Entry
 
-_MODULES = ("q_market",)
+_MODULES = ("q_market", "q_history")
 
 
 def all_entries() -> dict[str, Entry]:

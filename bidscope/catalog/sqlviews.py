@@ -30,6 +30,9 @@ def with_views(query: str, *names: str) -> str:
     if not order:
         return query
     ctes = ",\n".join(f"{n} AS (\n{_VIEWS[n][1]}\n)" for n in order)
+    body = query.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{query}"
 
 
@@ -121,3 +124,95 @@ FROM obsn GROUP BY p_partkey
 view("statet", f"""
 SELECT *, {sql_type('title')} AS property_type FROM state
 """, ("state",))
+
+
+def sql_norm_text(x: str) -> str:
+    return f"coalesce(lower({sql_strip(f'regexp_replace({x}, {chr(39)}\\s+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}), '')"
+
+
+def sql_norm_size(x: str) -> str:
+    return (f"coalesce(regexp_replace(lower({x}), '[^0-9]', '', 'g') || CASE WHEN contains(lower({x}), 'sq.ft') "
+            f"OR contains(lower({x}), 'sqft') THEN 'sqft' ELSE '' END, '')")
+
+
+def sql_norm_address(x: str) -> str:
+    return f"regexp_replace({sql_norm_text(x)}, '\\s*,\\s*', ', ', 'g')"
+
+
+def sql_stable_key(t="title", l="location", s="size", a="header_full", address_form="text") -> str:
+    addr = sql_norm_address(a) if address_form == "address" else sql_norm_text(a)
+    return f"({sql_norm_text(t)} || '|' || {sql_norm_text(l)} || '|' || {sql_norm_size(s)} || '|' || {addr})"
+
+
+def sql_price_value(x: str) -> str:
+    """First digits/commas run as bigint, else 0."""
+    return f"coalesce(TRY_CAST(nullif(replace(regexp_extract(coalesce({x}, ''), '[0-9,]+', 0), ',', ''), '') AS BIGINT), 0)"
+
+
+def sql_auction_day(x: str) -> str:
+    """Leading 'd Mon yyyy' -> date."""
+    m = "'^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})'"
+    return (f"CASE WHEN regexp_matches(coalesce({x}, ''), {m}) THEN TRY_CAST(try_strptime(regexp_extract({x}, {m}, 1) || ' ' || "
+            f"regexp_extract({x}, {m}, 2) || ' ' || regexp_extract({x}, {m}, 3), '%d %b %Y') AS DATE) END")
+
+
+EVENT_DATE = "coalesce(last_updated, strftime(scan_date, '%Y-%m-%d'))"
+
+view("price_pts", f"""
+SELECT p_partkey, scan_date, obs_seq, price, date, url FROM (
+  SELECT p_partkey, scan_date, obs_seq, coalesce(price, '') AS price, {EVENT_DATE} AS date, '' AS url,
+         lag(coalesce(price, '')) OVER (PARTITION BY p_partkey ORDER BY scan_date, obs_seq) AS prev
+  FROM obsn) t
+WHERE prev IS NULL OR prev <> price
+""", ("obsn",))
+
+view("auction_pts", f"""
+SELECT p_partkey, scan_date, obs_seq, auction_date, date FROM (
+  SELECT p_partkey, scan_date, obs_seq, coalesce(auction_date, '') AS auction_date, {EVENT_DATE} AS date,
+         lag(coalesce(auction_date, '')) OVER (PARTITION BY p_partkey ORDER BY scan_date, obs_seq) AS prev
+  FROM obsn) t
+WHERE prev IS NULL OR prev <> auction_date
+""", ("obsn",))
+
+view("recent5", f"""
+SELECT p_partkey, n_kept - rd + 1 AS pos, price, day, url, n_kept FROM (
+  SELECT p_partkey, price, substr(date, 1, 10) AS day, coalesce(nullif(url, ''), '') AS url,
+         row_number() OVER (PARTITION BY p_partkey ORDER BY scan_date DESC, obs_seq DESC) AS rd,
+         count(*) OVER (PARTITION BY p_partkey) AS n_all
+  FROM price_pts WHERE {sql_price_value('price')} >= 10000) t
+  JOIN (SELECT p_partkey AS k2, least(count(*), 5) AS n_kept FROM price_pts
+        WHERE {sql_price_value('price')} >= 10000 GROUP BY 1) c ON c.k2 = t.p_partkey
+WHERE rd <= 5
+""", ("price_pts",))
+
+view("rounds", f"""
+SELECT p_partkey, n - rd + 1 AS pos, day, price, auction_date, url FROM (
+  SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY day DESC) AS rd,
+         least(count(*) OVER (PARTITION BY p_partkey), 10) AS n
+  FROM (
+    SELECT * FROM (
+      SELECT p_partkey, day, url, price, auction_date,
+             row_number() OVER w AS rn,
+             lag(price) OVER w AS pp, lag(auction_date) OVER w AS pa
+      FROM (
+        SELECT p_partkey, day, u AS url,
+               last_value(p IGNORE NULLS) OVER (PARTITION BY p_partkey ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS price,
+               last_value(ad IGNORE NULLS) OVER (PARTITION BY p_partkey ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS auction_date
+        FROM (
+          SELECT coalesce(a.p_partkey, b.p_partkey) AS p_partkey, coalesce(a.day, b.day) AS day, a.p, b.ad,
+                 CASE WHEN a.has_price THEN a.pu ELSE NULL END AS u
+          FROM (SELECT p_partkey, substr(date, 1, 10) AS day,
+                       arg_max(CASE WHEN {sql_price_value('price')} >= 10000 THEN price END, obs_seq)
+                         FILTER (WHERE {sql_price_value('price')} >= 10000) AS p,
+                       arg_max(nullif(url, ''), obs_seq) AS pu, true AS has_price
+                FROM price_pts WHERE substr(date, 1, 10) <> '' GROUP BY 1, 2) a
+          FULL OUTER JOIN
+               (SELECT p_partkey, substr(date, 1, 10) AS day,
+                       arg_max(nullif({sql_strip("regexp_replace(auction_date, '\\s*\\(.*$', '', 's')")}, ''), obs_seq)
+                         FILTER (WHERE nullif({sql_strip("regexp_replace(auction_date, '\\s*\\(.*$', '', 's')")}, '') IS NOT NULL) AS ad
+                FROM auction_pts WHERE substr(date, 1, 10) <> '' GROUP BY 1, 2) b
+          ON a.p_partkey = b.p_partkey AND a.day = b.day) d) r
+      WINDOW w AS (PARTITION BY p_partkey ORDER BY day)) s
+    WHERE rn = 1 OR NOT (price IS NOT DISTINCT FROM pp AND auction_date IS NOT DISTINCT FROM pa)) k) z
+WHERE rd <= 10 AND n > 1
+""", ("price_pts", "auction_pts"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import categorize_property_type, stable_key
+from ..functions import categorize_property_type, is_valid_price, price_value, stable_key, strip_weekday
 
 ORDER = ("scan_date", "obs_seq")
 
@@ -144,3 +144,136 @@ def current_state(obs: DataFrame, entity: str) -> DataFrame:
     if "property_type" not in fields:
         state = state.withColumn("property_type", categorize_property_type("title"))
     return state
+
+
+# --------------------------------------------------------------------------------------------------------
+# Publish-side history (F8-F13). Inputs are the long point tables of F1 (few rows per entity: one per change),
+# so the per-entity windows below run over change points or days, never over raw observations.
+
+
+
+def recent_prices(points: DataFrame, entity: str, listing_url: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """the last k price points whose price is valid (B13), with day = first 10 chars of the date and
+    url falling back to the listing url. ``points`` = F1 price points (entity, scan_date, obs_seq, price,
+    date, url); ``listing_url`` optional (entity, listing_url). Returns (entity, pos, price, day, url, n_valid)
+    with pos 1..k in time order."""
+    p = points.filter(is_valid_price("price"))
+    if listing_url is not None:
+        p = p.join(listing_url, entity, "left")
+        url = F.coalesce(F.nullif(F.col("url"), F.lit("")), F.col("listing_url"), F.lit(""))
+    else:
+        url = F.coalesce(F.col("url"), F.lit(""))
+    p = p.select(entity, "scan_date", "obs_seq", "price", F.substring("date", 1, 10).alias("day"), url.alias("url"))
+    w_desc = Window.partitionBy(entity).orderBy(F.desc("scan_date"), F.desc("obs_seq"))
+    p = p.withColumn("_rd", F.row_number().over(w_desc)).filter(F.col("_rd") <= k)
+    w_cnt = Window.partitionBy(entity)
+    p = p.withColumn("n_kept", F.count(F.lit(1)).over(w_cnt))
+    return p.select(entity, (F.col("n_kept") - F.col("_rd") + 1).alias("pos"), "price", "day", "url", "n_kept")
+
+
+def price_drop_pct(recent: DataFrame, entity: str) -> DataFrame:
+    """over F9's points: (first - last) / first * 100 when last < first and both > 0; fewer than two
+    points -> 0. Returns (entity, drop_pct)."""
+    agg = recent.groupBy(entity).agg(
+        F.min_by(price_value("price"), "pos").alias("_first"),
+        F.max_by(price_value("price"), "pos").alias("_last"),
+        F.count(F.lit(1)).alias("_n"),
+    )
+    drop = F.when(
+        (F.col("_n") >= 2) & (F.col("_first") > 0) & (F.col("_last") > 0) & (F.col("_last") < F.col("_first")),
+        (F.col("_first") - F.col("_last")) * 100.0 / F.col("_first"),
+    ).otherwise(F.lit(0.0))
+    return agg.select(entity, drop.alias("drop_pct"))
+
+
+def history_rounds(price_pts: DataFrame, auction_pts: DataFrame, entity: str,
+                   listing_url: DataFrame | None = None, keep: int = 10) -> DataFrame:
+    """F8: merge price and auction-date points by day (last event of a day wins per field; a day's url is
+    the last price point's url, else the listing url), carry price and date forward, drop rounds equal to
+    the previous one in both, keep the last ``keep``; nothing when at most one round remains.
+    Returns (entity, pos, day, price, auction_date, url) with pos 1..n in day order."""
+    lu = listing_url
+    pp = price_pts.select(
+        entity, F.substring("date", 1, 10).alias("day"), F.struct("scan_date", "obs_seq").alias("_k"),
+        F.when(is_valid_price("price"), F.col("price")).alias("p"),
+        F.nullif(F.col("url"), F.lit("")).alias("u"),
+    ).filter(F.col("day") != "")
+    ap = auction_pts.select(
+        entity, F.substring("date", 1, 10).alias("day"), F.struct("scan_date", "obs_seq").alias("_k"),
+        F.nullif(strip_weekday("auction_date"), F.lit("")).alias("ad"),
+    ).filter(F.col("day") != "")
+    pday = pp.groupBy(entity, "day").agg(
+        F.max_by("p", F.when(F.col("p").isNotNull(), F.col("_k"))).alias("p"),
+        F.max_by("u", "_k").alias("pu"),
+        F.lit(True).alias("has_price_event"),
+    )
+    aday = ap.groupBy(entity, "day").agg(F.max_by("ad", F.when(F.col("ad").isNotNull(), F.col("_k"))).alias("ad"))
+    days = pday.join(aday, [entity, "day"], "full_outer")
+    if lu is not None:
+        days = days.join(lu, entity, "left")
+        fallback = F.nullif(F.col("listing_url"), F.lit(""))
+    else:
+        fallback = F.lit(None).cast("string")
+    # Price events set the url to their own url or the listing url; auction-only days get the listing url.
+    days = days.withColumn("u", F.when(F.col("has_price_event"), F.coalesce(F.col("pu"), fallback)).otherwise(fallback))
+    w = Window.partitionBy(entity).orderBy("day")
+    w_run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    days = days.select(
+        entity, "day", "u",
+        F.last("p", ignorenulls=True).over(w_run).alias("price"),
+        F.last("ad", ignorenulls=True).over(w_run).alias("auction_date"),
+    )
+    prev_p = F.lag("price").over(w)
+    prev_a = F.lag("auction_date").over(w)
+    days = days.withColumn("_rn", F.row_number().over(w)).withColumn(
+        "_same", (F.col("_rn") > 1) & F.equal_null(F.col("price"), prev_p) & F.equal_null(F.col("auction_date"), prev_a)
+    )
+    kept = days.filter(~F.col("_same"))
+    w_desc = Window.partitionBy(entity).orderBy(F.desc("day"))
+    kept = kept.withColumn("_rd", F.row_number().over(w_desc)).filter(F.col("_rd") <= keep)
+    kept = kept.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(entity))).filter(F.col("_n") > 1)
+    return kept.select(entity, (F.col("_n") - F.col("_rd") + 1).alias("pos"), "day", "price", "auction_date",
+                       F.col("u").alias("url"))
+
+
+def round_changes(rounds: DataFrame, entity: str) -> DataFrame:
+    """per history round, whether price / auction date differ from the previous round."""
+    w = Window.partitionBy(entity).orderBy("pos")
+    return rounds.select(
+        "*",
+        (F.col("pos") > 1) & ~F.equal_null(F.col("price"), F.lag("price").over(w)),
+        (F.col("pos") > 1) & ~F.equal_null(F.col("auction_date"), F.lag("auction_date").over(w)),
+    ).toDF(*rounds.columns, "price_changed", "date_changed")
+
+
+def price_series(recent: DataFrame, entity: str) -> DataFrame:
+    """per listing the min-max scaled series of F9's positive prices (range 0 -> 1) and the direction
+    (last <= first -> 'down'). Needs two or more positive values. Returns (entity, pos, price_value, scaled,
+    direction)."""
+    v = recent.select(entity, "pos", price_value("price").alias("price_value")).filter(F.col("price_value") > 0)
+    w = Window.partitionBy(entity)
+    v = v.select(
+        "*",
+        F.min("price_value").over(w).alias("_mn"), F.max("price_value").over(w).alias("_mx"),
+        F.count(F.lit(1)).over(w).alias("_n"),
+        F.first("price_value").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_first"),
+        F.last("price_value").over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_last"),
+    ).filter(F.col("_n") >= 2)
+    rng = F.when(F.col("_mx") - F.col("_mn") == 0, F.lit(1)).otherwise(F.col("_mx") - F.col("_mn"))
+    return v.select(
+        entity, "pos", "price_value",
+        F.round((F.col("price_value") - F.col("_mn")) / rng, 6).alias("scaled"),
+        F.when(F.col("_last") <= F.col("_first"), F.lit("down")).otherwise(F.lit("up")).alias("direction"),
+    )
+
+
+def merge_histories(member_points: DataFrame, group: str, value_col: str) -> DataFrame:
+    """union of the members' points (value, date) of one group, distinct on (value, date), sorted by date
+    (ties: first arrival), consecutive repeats of the value dropped. ``member_points`` has (group, value,
+    date, arrival) where arrival orders the members' points as the reference visits them.
+    Returns (group, pos, value, date)."""
+    first = member_points.groupBy(group, value_col, "date").agg(F.min("arrival").alias("arrival"))
+    w = Window.partitionBy(group).orderBy("date", "arrival")
+    ranked = first.withColumn("_prev", F.lag(value_col).over(w)).withColumn("_rn", F.row_number().over(w))
+    kept = ranked.filter((F.col("_rn") == 1) | ~F.equal_null(F.col(value_col), F.col("_prev")))
+    return kept.select(group, F.row_number().over(w).alias("pos"), value_col, "date")
