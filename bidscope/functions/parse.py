@@ -41,7 +41,7 @@ def validate_auction_date(c, as_of=None, include_expired: bool = True) -> Column
     if include_expired:
         return shaped
     no_day = pystrip(F.regexp_replace(c, r"\s*\(\w{3}\)", ""))
-    d = F.try_to_date(no_day, F.lit("d MMM yyyy"))
+    d = F.try_to_date(no_day, "d MMM yyyy")
     return shaped & F.coalesce(d >= _as_of_date(as_of), F.lit(False))
 
 
@@ -50,16 +50,16 @@ def parse_auction_date(c) -> Column:
     c = F.coalesce(col(c), F.lit(""))
     m = r"^(\d{1,2})\s+(\w{3})\s+(\d{4})"
     text = F.concat_ws(" ", F.regexp_extract(c, m, 1), F.regexp_extract(c, m, 2), F.regexp_extract(c, m, 3))
-    return F.when(c.rlike(m), F.try_to_date(text, F.lit("d MMM yyyy")))
+    return F.when(c.rlike(m), F.try_to_date(text, "d MMM yyyy"))
 
 
 def parse_any_date(c) -> Column:
     """B10, dedup variant: parenthesised parts removed, then 'd Mon yyyy', 'd Month yyyy' or ISO 'yyyy-MM-dd'."""
     s = pystrip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s*\(.*?\)\s*", " "))
     return F.coalesce(
-        F.try_to_date(s, F.lit("d MMM yyyy")),
-        F.try_to_date(s, F.lit("d MMMM yyyy")),
-        F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, F.lit("yyyy-M-d"))),
+        F.try_to_date(s, "d MMM yyyy"),
+        F.try_to_date(s, "d MMMM yyyy"),
+        F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(s, "yyyy-M-d")),
     )
 
 
@@ -101,7 +101,7 @@ def days_until(c, as_of) -> Column:
     s = F.coalesce(col(c), F.lit(""))
     m = r"(\d{1,2})\s+(\w{3})\s+(\d{4})"
     text = F.concat_ws(" ", F.regexp_extract(s, m, 1), F.regexp_extract(s, m, 2), F.regexp_extract(s, m, 3))
-    d = F.when(s.rlike(m), F.try_to_date(text, F.lit("d MMM yyyy")))
+    d = F.when(s.rlike(m), F.try_to_date(text, "d MMM yyyy"))
     return F.coalesce(F.datediff(d, _as_of_date(as_of)), F.lit(999))
 
 
