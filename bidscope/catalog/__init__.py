@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .registry import REGISTRY, Entry
 
-_MODULES = ("q_market", "q_history", "q_expr")
+_MODULES = ("q_market", "q_history", "q_expr", "q_query")
 
 
 def all_entries() -> dict[str, Entry]:

@@ -23,3 +23,10 @@ def obsn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest state per true entity (F4 keyed by p_partkey)."""
     return current_state(obsn(spark, sf_dir), ENTITY)
+
+
+def published(spark: SparkSession, sf_dir: str, geocode=None, schemes=None) -> DataFrame:
+    """A6 over the fixture state (no lookup caches unless given)."""
+    from ..plans.publish import publish_listings
+
+    return publish_listings(obsn(spark, sf_dir), state(spark, sf_dir), ENTITY, AS_OF, geocode, schemes)

@@ -216,3 +216,48 @@ SELECT p_partkey, n - rd + 1 AS pos, day, price, auction_date, url FROM (
     WHERE rn = 1 OR NOT (price IS NOT DISTINCT FROM pp AND auction_date IS NOT DISTINCT FROM pa)) k) z
 WHERE rd <= 10 AND n > 1
 """, ("price_pts", "auction_pts"))
+
+
+def sql_is_expired(x: str = "auction_date") -> str:
+    return f"coalesce({sql_auction_day(x)} < {AS_OF_DATE_SQL}, false)"
+
+
+def sql_is_active(x: str = "auction_date") -> str:
+    return f"coalesce({sql_auction_day(x)} >= {AS_OF_DATE_SQL}, false)"
+
+
+def _published_sql() -> str:
+    from .q_expr import SQL_CLEAN_LOCATION, SQL_SCHEME_ADDR, _SCHEME_HDR
+    pv_now = sql_price_value("s.price")
+    return f"""
+SELECT *, lower(title || ' ' || address || ' ' || location || ' ' || property_type || ' ' || price || ' ' || size) AS search_text
+FROM (
+SELECT s.p_partkey, coalesce(s.title, '') AS title,
+       CASE WHEN {pv_now} >= 10000 THEN s.price WHEN r.lastp IS NOT NULL THEN r.lastp
+            WHEN coalesce(s.price_value, 0) >= 10000 THEN 'RM' || format('{{:,}}', s.price_value)
+            ELSE coalesce(s.price, '') END AS price,
+       CASE WHEN NOT ({pv_now} >= 10000) AND r.lastp IS NOT NULL THEN {sql_price_value('r.lastp')}
+            ELSE coalesce(s.price_value, 0) END AS price_value,
+       {SQL_CLEAN_LOCATION} AS location, coalesce(size, '') AS size,
+       {sql_strip("regexp_replace(coalesce(auction_date, ''), '\\s*\\(.*$', '', 's')")} AS auction_text, auction_date,
+       coalesce(property_type, '') AS property_type, coalesce(discount, '') AS discount,
+       '' AS listing_url, '' AS image_url, substr(coalesce(header_full, ''), 1, 120) AS address,
+       coalesce(r.n, 0) AS n_ph, coalesce(h.n, 0) AS n_hist, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng,
+       coalesce(nullif({_SCHEME_HDR}, ''), nullif({SQL_SCHEME_ADDR}, ''), '') AS scheme_name,
+       {sql_is_expired()} AS is_expired, {sql_is_active()} AS is_active, first_obs_seq AS arrival
+FROM statet s
+LEFT JOIN (SELECT p_partkey, arg_max(price, pos) AS lastp, count(*) AS n FROM recent5 GROUP BY 1) r ON r.p_partkey = s.p_partkey
+LEFT JOIN (SELECT p_partkey, count(*) AS n FROM rounds GROUP BY 1) h ON h.p_partkey = s.p_partkey
+) z
+"""
+
+
+def register_published() -> None:
+    if "published" not in _VIEWS:
+        view("published", _published_sql(), ("statet", "recent5", "rounds"))
+        view("dedup_pub", """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY title, price_value, auction_text, address
+                               ORDER BY CASE WHEN size <> '' AND size <> 'Size not specified' THEN 0 ELSE 1 END, arrival) AS rn
+  FROM published) t WHERE rn = 1
+""", ("published",))

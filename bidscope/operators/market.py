@@ -28,10 +28,18 @@ def market_summary(properties: DataFrame, type_col: str = "property_type", price
 
 
 def type_share(active: DataFrame, type_col: str = "property_type") -> DataFrame:
-    """Count and percentage of the total per type (null -> 'Other'); the total is a window over the
+    """Count and percentage of the total per type (null or '' -> 'Other'); the total is a window over the
     small per-type result, not over the listings."""
-    counts = active.groupBy(F.coalesce(F.col(type_col), F.lit("Other")).alias("property_type")).agg(
+    counts = active.groupBy(F.coalesce(F.nullif(F.col(type_col), F.lit("")), F.lit("Other")).alias("property_type")).agg(
         F.count(F.lit(1)).alias("listing_count")
     )
     total = F.sum("listing_count").over(Window.partitionBy(F.lit(1)))
     return counts.withColumn("share_pct", F.round(F.col("listing_count") * 100.0 / total, 4))
+
+
+def facet_values(published: DataFrame, type_col: str = "property_type", loc_col: str = "location") -> DataFrame:
+    """Sorted distinct non-empty types and locations (one row). collect_set combines map-side and holds
+    only distinct values (a few hundred facets), never the listings."""
+    t = F.when(F.col(type_col) != "", F.col(type_col))
+    loc = F.when(F.col(loc_col) != "", F.col(loc_col))
+    return published.agg(F.sort_array(F.collect_set(t)).alias("types"), F.sort_array(F.collect_set(loc)).alias("locations"))

@@ -102,7 +102,7 @@ def type_in(df: DataFrame, types, c="property_type") -> DataFrame:
     return df.filter(col(c).isin(types)) if types else df
 
 
-def location_in(df: DataFrame, locations, c="location_clean") -> DataFrame:
+def location_in(df: DataFrame, locations, c="location") -> DataFrame:
     """Set membership on the cleaned location; an empty set is no filter."""
     locations = list(locations or [])
     return df.filter(col(c).isin(locations)) if locations else df
