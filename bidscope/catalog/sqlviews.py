@@ -31,6 +31,8 @@ def with_views(query: str, *names: str) -> str:
         return query
     ctes = ",\n".join(f"{n} AS (\n{_VIEWS[n][1]}\n)" for n in order)
     body = query.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{query}"
