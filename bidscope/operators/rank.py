@@ -129,3 +129,47 @@ def notable_landed(active: DataFrame, k: int = 8) -> DataFrame:
     """Type Landed, cheapest first."""
     r = active.filter(F.col("property_type") == "Landed")
     return _notable(r, [F.coalesce(F.col("price_value"), F.lit(0)).asc()] + _tie(), k)
+
+
+def same_scheme(listings: DataFrame, entity: str, k: int = 10, scheme_col: str = "scheme_name") -> DataFrame:
+    """For every listing with a scheme, up to k other non-expired listings with the same scheme, in
+    arrival order, itself excluded. Bounded under skew: per scheme only the first k+1 candidates (a
+    WindowGroupLimit) are joined back, so a scheme with n listings yields at most n * (k + 1) pairs.
+    Returns (entity, rank, other)."""
+    cand = listings.filter(~F.col("is_expired") & (F.coalesce(F.col(scheme_col), F.lit("")) != "")).select(
+        F.col(scheme_col).alias("_scheme"), F.col(entity).alias("other"), F.col("arrival").alias("_oarr")
+    )
+    cand = top_k_per_key(cand, ["_scheme"], [F.col("_oarr").asc()], k + 1).drop("rank")
+    src = listings.filter(F.coalesce(F.col(scheme_col), F.lit("")) != "").select(entity, F.col(scheme_col).alias("_scheme"))
+    pairs = src.join(cand, "_scheme", "inner").filter(F.col(entity) != F.col("other"))
+    ranked = top_k_per_key(pairs, [entity], [F.col("_oarr").asc()], k)
+    return ranked.select(entity, "rank", "other")
+
+
+def auctions_per_week(active: DataFrame, as_of, weeks: int = 8, day_col: str = "auction_day") -> DataFrame:
+    """D16 + E6: counts of active listings per Monday week for ``weeks`` weeks starting with the ISO week of
+    as_of (Q14), empty weeks kept, share of the largest week (at least 1) and a current-week flag.
+    Each row gets its week index by arithmetic (an equi-key), the 8-row week spine is joined at the end."""
+    from pyspark.sql import SparkSession
+
+    spark: SparkSession = active.sparkSession
+    start = F.date_trunc("week", F.lit(as_of).cast("timestamp")).cast("date")
+    idx = F.floor(F.datediff(F.col(day_col), start) / 7).cast("int")
+    counts = (active.filter(F.col(day_col).isNotNull()).select(idx.alias("week"))
+              .filter((F.col("week") >= 0) & (F.col("week") < weeks))
+              .groupBy("week").agg(F.count(F.lit(1)).alias("n")))
+    spine = spark.range(weeks).select(F.col("id").cast("int").alias("week"))
+    # the spine has `weeks` rows (a proven bound), so it is broadcast
+    out = F.broadcast(spine).join(counts, "week", "left").select(
+        "week",
+        F.date_add(start, F.col("week") * 7).alias("week_start"),
+        F.date_add(start, F.col("week") * 7 + 6).alias("week_end"),
+        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"),
+    )
+    mx = F.greatest(F.max("n").over(Window.partitionBy(F.lit(1))), F.lit(1))
+    asof_day = F.to_date(F.lit(as_of))
+    return out.select(
+        "*",
+        F.round(F.col("n") * 100.0 / mx, 0).alias("pct_of_max"),
+        ((F.col("week_start") <= asof_day) & (asof_day <= F.col("week_end"))).alias("is_current_week"),
+    )
