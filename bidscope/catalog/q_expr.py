@@ -133,7 +133,7 @@ _NAMED = ("'(?:,\\s*)?([A-Z][A-Za-z\\s]+(?:Park|Centre|Point|Plaza|Place|Heights
 _A = "coalesce(header_full, '')"
 _PARTS = f"list_transform(string_split({_A}, ','), lambda s: {sql_strip('s')})"
 _GOOD = (f"list_filter(list_slice({_PARTS}, 1, 3), lambda s: s <> '' AND NOT regexp_matches(s, '^\\d') "
-         f"AND NOT regexp_matches(s, '(?i)^(Lot|Block|No\\.|Unit|Level|Ground|First|Second)(\\b|$)') AND length(s) > 5)")
+         f"AND NOT regexp_matches(s, '(?i)^((Lot|Block|Unit|Level|Ground|First|Second)\\b|No\\.)') AND length(s) > 5)")
 _FIRST_GOOD = f"{_GOOD}[1]"
 SQL_SCHEME_ADDR = (f"(CASE WHEN {_A} = '' OR {_A} = coalesce(title, '') THEN '' ELSE coalesce("
                    f"nullif({sql_strip(f'regexp_extract({_A}, {_NAMED}, 1)')}, ''), "

@@ -27,7 +27,7 @@ PUB_COLS = ("p_partkey", "title", "price", "price_value", "location", "size", "a
 SELECT {', '.join(PUB_COLS)}, n_ph, n_hist FROM published
 """)
 def a6_publish_listings(spark, sf_dir):
-    p = C.published(spark, sf_dir)
+    p = C.publish(spark, sf_dir)
     return p.select(*PUB_COLS, F.size("ph").alias("n_ph"), F.size("hist").alias("n_hist"))
 
 

@@ -83,7 +83,7 @@ SCHEME_NAME_WORDS = (
     "Park|Centre|Point|Plaza|Place|Heights|Residences?|Tower|City|Garden|Court|Square|"
     "Perdagangan|Komersial|Damansara|Business|Mall|Complex|Kompleks"
 )
-UNIT_WORDS = r"Lot|Block|No\.|Unit|Level|Ground|First|Second"
+UNIT_WORDS = r"Lot|Block|Unit|Level|Ground|First|Second"
 
 
 def scheme_from_address(address, title) -> Column:
@@ -99,12 +99,12 @@ def scheme_from_address(address, title) -> Column:
         parts,
         lambda s: (s != "")
         & ~s.rlike(r"^\d")
-        & ~s.rlike(r"(?i)^(" + UNIT_WORDS + r")(\b|$)")
+        & ~s.rlike(r"(?i)^((" + UNIT_WORDS + r")\b|No\.)")
         & (F.length(s) > 5),
     )
-    first_good = F.element_at(good, 1)
+    first_good = F.try_element_at(good, F.lit(1))
     cut = F.when(F.length(first_good) > 50, F.concat(F.substring(first_good, 1, 47), F.lit("..."))).otherwise(first_good)
-    part0 = pystrip(F.element_at(F.split(a, ","), 1))
+    part0 = pystrip(F.try_element_at(F.split(a, ","), F.lit(1)))
     derived = F.coalesce(F.nullif(named, F.lit("")), F.nullif(paren, F.lit("")), cut, part0, F.lit(""))
     return F.when((a == "") | (a == F.coalesce(t, F.lit(""))), F.lit("")).otherwise(derived)
 
