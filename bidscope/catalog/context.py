@@ -53,3 +53,21 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
         publish(spark, sf_dir).write.mode("overwrite").parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(path)
+
+
+def properties_raw(spark: SparkSession, sf_dir: str):
+    """Input of the dedup: one database entry per (p_partkey, listing_id) of the observations (the last
+    values, first/last dates) and its price / auction-date points with their position."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ..operators.history import auction_points, price_points
+
+    o = obsn(spark, sf_dir).withColumn(
+        "entry_id", F.concat_ws("|", F.col("p_partkey").cast("string"), F.coalesce(F.col("listing_id"), F.lit("")))
+    )
+    entries = current_state(o, "entry_id", extra=("p_partkey",)).withColumnRenamed("first_obs_seq", "arrival")
+    w = Window.partitionBy("entry_id").orderBy("scan_date", "obs_seq")
+    pp = price_points(o, "entry_id").withColumn("pos", F.row_number().over(w))
+    ap = auction_points(o, "entry_id").withColumn("pos", F.row_number().over(w))
+    return entries, pp, ap

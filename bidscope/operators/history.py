@@ -120,12 +120,12 @@ STATE_FIELDS = (
 )
 
 
-def current_state(obs: DataFrame, entity: str) -> DataFrame:
+def current_state(obs: DataFrame, entity: str, extra=()) -> DataFrame:
     """one row per entity. Every field is its last non-null value in observation order; ``first_seen``
     is the first observation's last_updated (else its scan date); ``stable_key`` is frozen at the first
     observation; plus first/last scan, observation count and last obs_seq. property_type, when absent, is
     derived from the title (B9)."""
-    fields = [c for c in STATE_FIELDS if c in obs.columns]
+    fields = [c for c in STATE_FIELDS if c in obs.columns] + list(extra)
     key = _order_key()
     o = obs.withColumn("_k", key).withColumn(
         "_sk", stable_key("title", "location", "size", "header_full")
