@@ -102,3 +102,82 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blanks_to_null(df: DataFrame, cols=TEXT_COLUMNS) -> DataFrame:
     """Blank strings stand for absent keys: nullif(x, '') on the given text columns."""
     return df.select(*[F.nullif(F.col(c), F.lit("")).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# ---------------------------------------------------------------------------------------------------------
+# Rendered result pages (input of the harvest): one scan's observations drawn as cards, 12 to a page, in the
+# order of the scan, plus noise cards (a repeated card, a card without price, a card without date).
+
+FIXTURE_ROOT = "https://auctions.example"
+FIXTURE_BASE = "https://auctions.example/search"
+CARDS_PER_PAGE = 12
+
+
+def _esc(c):
+    x = F.coalesce(c, F.lit(""))
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def card_html(pk, title, hs, hf, lid, price, ad, size, loc, disc):
+    return F.concat(
+        F.lit('<div class="col"><div class="card">\n<img src="/images/'), pk.cast("string"), F.lit('.jpg" alt="">\n'),
+        F.lit('<p class="text-muted">'), _esc(hs), F.lit("</p>\n"),
+        F.lit('<h5 class="fw-bold">'), _esc(hf), F.lit("</h5>\n"),
+        F.lit('<a class="stretched-link" href="/property/'), F.coalesce(lid, F.lit("")), F.lit("/"), pk.cast("string"),
+        F.lit('" title="'), _esc(title), F.lit('">'), _esc(title), F.lit("</a>\n"),
+        F.lit("<span>"), _esc(price), F.lit("</span>\n<span>"), _esc(ad), F.lit("</span>\n<span>"), _esc(size),
+        F.lit("</span>\n<span>"), _esc(loc), F.lit("</span>\n<span>"), _esc(disc), F.lit("</span>\n</div></div>\n"),
+    )
+
+
+def card_pages(obs: DataFrame, scan) -> DataFrame:
+    """(page_id, url, html) for the observations of one scan. Cards follow the scan order; each page ends
+    with a repeat of its first card and two cards the finder must ignore (no price; no date)."""
+    from pyspark.sql import Window
+
+    one = obs.filter(F.col("scan_date") == F.lit(scan))
+    w = Window.partitionBy("scan_date").orderBy("obs_seq")
+    r = one.withColumn("_rank", F.row_number().over(w))
+    r = r.select(
+        ((F.col("_rank") - 1) / CARDS_PER_PAGE).cast("int").alias("page0"),
+        ((F.col("_rank") - 1) % CARDS_PER_PAGE).alias("pos"),
+        card_html(F.col("p_partkey"), F.col("title"), F.col("header_short"), F.col("header_full"), F.col("listing_id"),
+                  F.col("price"), F.col("auction_date"), F.col("size"), F.col("location"), F.col("discount")).alias("card"),
+    )
+    n_pages = r.agg(F.max("page0").alias("m")).first()["m"]
+    n_pages = 0 if n_pages is None else n_pages + 1
+    pages = r.groupBy("page0").agg(F.sort_array(F.collect_list(F.struct("pos", "card"))).alias("cards"))
+    noise = F.concat(
+        F.element_at(F.col("cards"), 1)["card"],
+        F.lit('<div class="col"><div class="card">\n<a class="stretched-link" href="/property/zz/0">No price</a>\n'
+              '<span>3 Oct 2001 (Wed)</span>\n</div></div>\n'),
+        F.lit('<div class="col"><div class="card">\n<a class="stretched-link" href="/property/zz/1">No date</a>\n'
+              '<span>RM120,000</span>\n</div></div>\n'),
+    )
+    nav = "".join(f'<a href="?page={i}">{i}</a>' for i in (1, 2)) + f'<a href="?page={n_pages}">Last</a>'
+    html = F.concat(
+        F.lit("<html><head><title>Auction results</title></head><body><p>Result(s): "),
+        F.lit(f"{n_pages * CARDS_PER_PAGE:,}"), F.lit('</p>\n<div class="row">\n'),
+        F.array_join(F.transform("cards", lambda c: c["card"]), ""), noise,
+        F.lit("</div>\n<nav>" + nav + "</nav></body></html>"),
+    )
+    return pages.select(
+        (F.col("page0") + 1).cast("long").alias("page_id"),
+        F.concat(F.lit(FIXTURE_BASE + "?page="), (F.col("page0") + 1).cast("string")).alias("url"),
+        html.alias("html"),
+    )
+
+
+def detail_pages(obs: DataFrame, scan) -> DataFrame:
+    """(listing_url, html) detail pages for the sentinel-size cards of one scan: a labelled size, an
+    unlabelled size or no size, by p_partkey % 3."""
+    one = obs.filter((F.col("scan_date") == F.lit(scan)) & (F.col("size") == "Size not specified")).select(
+        "p_partkey", "listing_id").distinct()
+    n = F.format_number((F.lit(1000) + F.col("p_partkey") % 500).cast("double"), 0)
+    body = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("<li>Built Up : "), n, F.lit(" sq.ft</li>")))
+            .when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("<li>Land area "), n, F.lit(" sq ft</li>")))
+            .otherwise(F.lit("<li>Tenure: Freehold</li>")))
+    url = F.concat(F.lit(FIXTURE_ROOT + "/property/"), F.coalesce("listing_id", F.lit("")), F.lit("/"), F.col("p_partkey").cast("string"))
+    return one.select(url.alias("listing_url"), F.concat(F.lit("<html><body><ul>"), body, F.lit("</ul></body></html>")).alias("html"))
