@@ -43,23 +43,29 @@ def read_observations(spark: SparkSession, path: str, scans=None) -> DataFrame:
     return df
 
 
-def write_snapshot_json(obs: DataFrame, path: str, raw_id_col: str = "raw_id") -> None:
-    """Write scans in the reference's snapshot layout: one JSON document per scan date holding a map
-    raw_id -> listing. The per-scan map is built by a groupBy on scan_date (one document per scan, as in the
-    reference; a scan is one crawl of the site)."""
+def write_snapshot_json(obs: DataFrame, path: str, raw_id_col: str = "raw_id", rows_per_doc: int = 5000) -> None:
+    """Write scans in the reference's snapshot layout: JSON documents {scan_date, properties: {raw_id:
+    listing}}. Each scan is split by a hash of raw_id into ceil(rows / rows_per_doc) documents (a snapshot is
+    the union of its documents), so no document and no task holds more than about rows_per_doc listings."""
     fields = [f.name for f in LISTING.fields if f.name in obs.columns]
-    doc = obs.groupBy("scan_date").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(raw_id_col).cast("string"), F.struct(*fields)))).alias("properties")
-    ).select(F.date_format("scan_date", "yyyy-MM-dd'T'HH:mm:ss").alias("scan_date"), "properties", F.col("scan_date").alias("_d"))
-    doc.repartition("_d").write.mode("overwrite").partitionBy("_d").json(path)
-
-
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    # one row per scan: the number of documents of that scan
+    n_docs = obs.groupBy("scan_date").agg(F.ceil(F.count(F.lit(1)) / rows_per_doc).cast("long").alias("_nd"))
+    obs = obs.join(n_docs, "scan_date")
+    part = F.pmod(F.xxhash64(F.col(raw_id_col).cast("string")), F.col("_nd")).alias("_p")
+    doc = obs.select("scan_date", part, F.col(raw_id_col).cast("string").alias("_rid"), F.struct(*fields).alias("_l")) \
+        .groupBy("scan_date", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_rid", "_l"))).alias("properties"))
+    out = doc.select(F.date_format("scan_date", "yyyy-MM-dd'T'HH:mm:ss").alias("scan_date"), "properties",
+                     F.col("scan_date").alias("_d"), "_p")
+    out.repartition("_d", "_p").write.mode("overwrite").partitionBy("_d", "_p").json(path)
+
+
+def read_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A1: read every snapshot document with a declared schema (PERMISSIVE: unreadable documents become
     rows with only _corrupt_record and are skipped), one row per listing with scan_date and raw_id.
-    Order comes from the scan date (documents are named by date in the reference)."""
+    ``multi_line`` reads pretty-printed documents (one per file, the reference's files); False reads one
+    document per line. Order comes from the scan date (documents are named by date in the reference)."""
     raw = (spark.read.schema(SNAPSHOT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-           .json(path))
+           .option("multiLine", multi_line).option("recursiveFileLookup", True).json(path))
     ok = raw.filter(F.col("_corrupt_record").isNull() & F.col("scan_date").isNotNull())
     ex = ok.select(F.to_date(F.substring("scan_date", 1, 10)).alias("scan_date"),
                    F.explode("properties").alias("raw_id", "p"))
