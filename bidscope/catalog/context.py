@@ -71,3 +71,79 @@ def properties_raw(spark: SparkSession, sf_dir: str):
     pp = price_points(o, "entry_id").withColumn("pos", F.row_number().over(w))
     ap = auction_points(o, "entry_id").withColumn("pos", F.row_number().over(w))
     return entries, pp, ap
+
+
+# ---------------------------------------------------------------------------------------------------------
+# Lookup tables for the enrichment queries, derived from the observations: earlier runs resolved the addresses
+# of one region (postcodes up to a bound); addresses elsewhere are not cached yet.
+
+def _addresses(spark, sf_dir, max_postcode: int):
+    """Addresses of the entities whose postcode is at most ``max_postcode`` (the region earlier runs covered)."""
+    from pyspark.sql import functions as F
+
+    st = state(spark, sf_dir)
+    a = (st.select(F.trim(F.coalesce(F.col("header_full"), F.lit(""))).alias("address"))
+         .filter(F.length("address") > 5).distinct())
+    return a.filter(_postcode_num(F.col("address")).between(1, max_postcode))
+
+
+def _postcode_num(c):
+    from pyspark.sql import functions as F
+
+    from ..functions import extract_postcode
+    return F.coalesce(extract_postcode(c).try_cast("int"), F.lit(0))
+
+
+def geocode_cache(spark, sf_dir):
+    """(address, lat, lng, q) for addresses with postcode <= 41000."""
+    from pyspark.sql import functions as F
+
+    a = _addresses(spark, sf_dir, 41000)
+    pc = _postcode_num(F.col("address"))
+    q = F.element_at(F.array(*[F.lit(x) for x in ("full", "postcode", "state", "default")]), (pc % 4 + 1).cast("int"))
+    return a.select("address", (F.lit(3.0) + (pc % 100) / 1000.0).alias("lat"), (F.lit(101.0) + (pc % 700) / 1000.0).alias("lng"), q.alias("q"))
+
+
+def gazetteer(spark, sf_dir):
+    """(kind, key, lat, lng): full addresses with postcode <= 41300, 'postcode, state' of addresses with
+    postcode <= 41600, and every state."""
+    from pyspark.sql import functions as F
+
+    from ..functions import STATES, extract_postcode, extract_state
+    full = _addresses(spark, sf_dir, 41300)
+    pc = _postcode_num(F.col("address"))
+    f = full.select(F.lit("full").alias("kind"), F.col("address").alias("key"),
+                    (F.lit(3.5) + (pc % 100) / 1000.0).alias("lat"), (F.lit(101.5) + (pc % 700) / 1000.0).alias("lng"))
+    mid = _addresses(spark, sf_dir, 41600)
+    p = mid.select(F.concat_ws(", ", extract_postcode("address"), extract_state("address")).alias("key"),
+                   _postcode_num(F.col("address")).alias("_pc")).filter(F.col("key").contains(",")).distinct()
+    p = p.select(F.lit("postcode").alias("kind"), "key", (F.lit(2.5) + (F.col("_pc") % 100) / 1000.0).alias("lat"),
+                 (F.lit(102.0) + (F.col("_pc") % 700) / 1000.0).alias("lng"))
+    states = spark.createDataFrame([(s, 1.0 + i / 10.0, 100.0 + i / 10.0) for i, s in enumerate(STATES)], "key string, lat double, lng double")
+    s = states.select(F.lit("state").alias("kind"), "key", "lat", "lng")
+    return f.unionByName(p).unionByName(s)
+
+
+def scheme_cache(spark, sf_dir):
+    """(address, scheme) for addresses with postcode <= 41000: 'Taman <brand number>' for odd brand numbers,
+    '' (tried, none found) for even ones."""
+    from pyspark.sql import functions as F
+
+    a = _addresses(spark, sf_dir, 41000)
+    b = F.regexp_extract("address", r"Brand#(\d+)", 1)
+    return a.select("address", F.when(b.try_cast("int") % 2 == 1, F.concat(F.lit("Taman "), b)).otherwise(F.lit("")).alias("scheme"))
+
+
+def scheme_responses(batches):
+    """Model answers per request batch: 'NONE' for placeholder titles, else '<first word> Residences'; every
+    3rd batch wrapped in a code fence, every 5th one element short (rejected)."""
+    from pyspark.sql import functions as F
+
+    lines = F.split(F.col("request_text"), "\n")
+    titles = F.transform(lines, lambda l: F.regexp_replace(l, r"^\d+\.\s", ""))
+    names = F.transform(titles, lambda t: F.when(t.startswith("Property Listing"), F.lit("NONE"))
+                        .otherwise(F.concat(F.split(t, " ")[0], F.lit(" Residences"))))
+    names = F.when(F.col("batch_id") % 5 == 4, F.slice(names, 1, F.size(names) - 1)).otherwise(names)
+    js = F.to_json(names)
+    text = F.when(F.col("batch_id") % 3 == 0, F.concat(F.lit("```json\n"), js, F.lit("\n```"))).otherwise(js)
+    return batches.select("batch_id", text.alias("response_text"))

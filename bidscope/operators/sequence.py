@@ -13,9 +13,33 @@ def order_sequence(df: DataFrame, order_cols, name: str = "obs_seq", num_partiti
     ``monotonically_increasing_id`` (partition index in the high bits, position in the low bits) is
     increasing in the global order. The numbers are not dense; only their order is used downstream.
     Work is spread over ``num_partitions`` tasks instead of one task holding the whole table.
+    Range bounds are sampled per job, so the numbers are stable only within one job: materialise the result
+    (a written table or a checkpoint) before using it in more than one job.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
     return ranged.withColumn(name, F.monotonically_increasing_id())
+
+
+def dense_index(df: DataFrame, order_cols, name: str = "idx", num_partitions: int | None = None) -> DataFrame:
+    """Add ``name`` = 1..n in the order of ``order_cols`` (ties broken by the full row order of the columns
+    given; pass a total order). Distributed: rows are range-partitioned and sorted inside each partition,
+    the result is checkpointed (range bounds are sampled per job, so the partitioning is fixed once), then
+    per-partition counts (one row per partition) give each partition its offset."""
+    from ..session import cut_lineage
+
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+    ranged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    from pyspark.sql import Window
+
+    # one row per partition: the window and the broadcast are bounded by the partition count
+    offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"))
+    out = ranged.join(F.broadcast(offs), "_pid")
+    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    return out.withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + local + 1).drop("_pid", "_mid", "_off")
