@@ -278,3 +278,16 @@ def c16_candidates(spark, sf_dir):
     g = P.geocode_candidates(st, C.AS_OF).select(F.lit("geocode").alias("kind"), "address", F.lit(None).cast("string").alias("title"))
     s = P.scheme_candidates(st, C.AS_OF, order=("first_obs_seq",)).select(F.lit("scheme").alias("kind"), "address", "title")
     return g.unionByName(s)
+
+
+@register("b17_b18_days_labels", "B17, B18", views=("published",), sql=f"""
+SELECT p_partkey, {_DAYS} AS days,
+       CASE WHEN is_expired THEN 'Expired' WHEN {_DAYS} <= 0 THEN 'Today' WHEN {_DAYS} = 1 THEN 'Tomorrow'
+            ELSE 'in ' || CAST({_DAYS} AS VARCHAR) || 'd' END AS label,
+       {_DAYS} <= 7 AS urgent
+FROM published""")
+def b17_b18_days_labels(spark, sf_dir):
+    from ..functions import days_label, days_until, is_urgent
+
+    p = C.published(spark, sf_dir).withColumn("days", days_until("auction_text", C.AS_OF))
+    return p.select("p_partkey", "days", days_label("days", "is_expired").alias("label"), is_urgent("days").alias("urgent"))
