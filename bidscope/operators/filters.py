@@ -135,11 +135,11 @@ def match_saved_filters(filters: DataFrame, listings: DataFrame, entity: str,
     act = listings.filter(~F.col("is_expired")).select(
         entity, "property_type", "price_value", F.lower(F.coalesce("location", F.lit(""))).alias("_loc"),
         F.coalesce("search_text", F.lit("")).alias("_st"))
-    types = act.select("property_type").distinct()  # a handful of values
+    # the observed property types are a handful of facet values: untyped filters are expanded to them
+    types = [r[0] for r in act.select("property_type").distinct().collect()]
     typed = filters.filter(F.col("type").isNotNull()).select("*", F.col("type").alias("_t"))
-    # untyped filters apply to every observed type: expand them with an equi-join on a constant group key
-    types_k = types.select(F.col("property_type").alias("_t"), F.lit(1).alias("_one"))
-    untyped = filters.filter(F.col("type").isNull()).withColumn("_one", F.lit(1)).join(F.broadcast(types_k), "_one").drop("_one")
+    type_arr = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
+    untyped = filters.filter(F.col("type").isNull()).select("*", F.explode(type_arr).alias("_t"))
     expanded = typed.unionByName(untyped)
     n_filters = expanded.count()
     if n_filters <= broadcast_limit:
