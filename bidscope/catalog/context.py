@@ -56,21 +56,30 @@ def published(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def properties_raw(spark: SparkSession, sf_dir: str):
-    """Input of the dedup: one database entry per (p_partkey, listing_id) of the observations (the last
-    values, first/last dates) and its price / auction-date points with their position."""
+    """Input of the dedup: the property database as the replay leaves it, one entry per (p_partkey,
+    listing_id) of the observations (last values, first/last dates) and its price / auction-date points with
+    their position. Stored once per session in the shared checkpoint folder (the database file of the
+    reference), then read by every dedup query."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from ..operators.history import auction_points, price_points
-
-    o = obsn(spark, sf_dir).withColumn(
-        "entry_id", F.concat_ws("|", F.col("p_partkey").cast("string"), F.coalesce(F.col("listing_id"), F.lit("")))
-    )
-    entries = current_state(o, "entry_id", extra=("p_partkey",)).withColumnRenamed("first_obs_seq", "arrival")
-    w = Window.partitionBy("entry_id").orderBy("scan_date", "obs_seq")
-    pp = price_points(o, "entry_id").withColumn("pos", F.row_number().over(w))
-    ap = auction_points(o, "entry_id").withColumn("pos", F.row_number().over(w))
-    return entries, pp, ap
+    from ..operators.history import change_points
+
+    key = (spark.sparkContext.applicationId, "properties_raw:" + sf_dir)
+    paths = _MATERIALISED.get(key)
+    if paths is None:
+        o = obsn(spark, sf_dir).withColumn(
+            "entry_id", F.concat_ws("|", F.col("p_partkey").cast("string"), F.coalesce(F.col("listing_id"), F.lit("")))
+        )
+        entries = current_state(o, "entry_id", extra=("p_partkey",)).withColumnRenamed("first_obs_seq", "arrival")
+        w = Window.partitionBy("entry_id").orderBy("scan_date", "obs_seq")
+        pp, ap = change_points(o, "entry_id")
+        paths = tuple(scratch_path(spark, n) for n in ("props-entries", "props-price", "props-auction"))
+        entries.write.parquet(paths[0])
+        pp.withColumn("pos", F.row_number().over(w)).write.parquet(paths[1])
+        ap.withColumn("pos", F.row_number().over(w)).write.parquet(paths[2])
+        _MATERIALISED[key] = paths
+    return tuple(spark.read.parquet(p) for p in paths)
 
 
 # ---------------------------------------------------------------------------------------------------------

@@ -85,6 +85,23 @@ def auction_points(obs: DataFrame, entity: str) -> DataFrame:
     return p.filter(keep).select(entity, "scan_date", "obs_seq", F.col("_v").alias("auction_date"), _event_date().alias("date"))
 
 
+def change_points(obs: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
+    """F1 for both fields from one lag pass: (price points, auction-date points), same rows and columns as
+    ``price_points`` and ``auction_points``. Both outputs share the windowed input, so the shuffle is done
+    once and reused."""
+    base = obs.withColumn("_vp", F.coalesce(F.col("price"), F.lit(""))).withColumn(
+        "_va", F.coalesce(F.col("auction_date"), F.lit("")))
+    if "listing_url" not in base.columns:
+        base = base.withColumn("listing_url", F.lit(None).cast("string"))
+    p = previous_values(base, entity, ["_vp", "_va"])
+    pp = p.filter(F.col("is_first") | (F.col("_vp") != F.col("prev__vp"))).select(
+        entity, "scan_date", "obs_seq", F.col("_vp").alias("price"), _event_date().alias("date"),
+        F.coalesce(F.col("listing_url"), F.lit("")).alias("url"))
+    ap = p.filter(F.col("is_first") | (F.col("_va") != F.col("prev__va"))).select(
+        entity, "scan_date", "obs_seq", F.col("_va").alias("auction_date"), _event_date().alias("date"))
+    return pp, ap
+
+
 CHANGE_KINDS = (
     ("price_change", "Auction Price", "price"),
     ("auction_date_change", "Auction Date", "auction_date"),

@@ -9,7 +9,7 @@ from ..functions import (
     clean_location, format_amount, is_valid_price, listing_search_text, price_value, resolve_scheme,
     round_coord, short_address, strip_weekday,
 )
-from ..operators.history import auction_points, history_rounds, price_points, recent_prices
+from ..operators.history import change_points, history_rounds, recent_prices
 from ..operators.predicates import is_active, is_expired
 
 
@@ -41,8 +41,7 @@ def publish_listings(obs: DataFrame, state: DataFrame, entity: str, as_of, geoco
     ``obs`` are the entity-labelled observations the state was built from; ``geocode`` is
     (address, lat, lng, q) and ``schemes`` is (address, scheme), both optional lookup tables."""
     lu = state.select(entity, F.col("listing_url") if "listing_url" in state.columns else F.lit(None).cast("string").alias("listing_url"))
-    pp = price_points(obs, entity)
-    ap = auction_points(obs, entity)
+    pp, ap = change_points(obs, entity)
     recent = recent_prices(pp, entity, lu)
     rounds = history_rounds(pp, ap, entity, lu)
 
