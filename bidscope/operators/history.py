@@ -2,9 +2,9 @@
 
 Observation order is (scan_date, obs_seq). Two building blocks keep hot entities from landing in one task:
 
-* ``previous_values`` computes lag() in two levels: inside (entity, scan_date) segments, then across the
-  per-segment summaries of an entity (one row per scan). A hot entity is split by scan; the second level has
-  at most one row per scan per entity.
+* ``previous_values`` computes lag() in two levels: inside (entity, scan_date, sequence block) segments,
+  then across the per-segment summaries of an entity. A hot entity is split by scan and by block; the second
+  level has one row per segment.
 * ``current_state`` uses ``max_by``/``min_by`` aggregates, which combine map-side (partial aggregation), so
   no group is ever collected into one task.
 """
@@ -23,34 +23,42 @@ def _order_key(scan_col: str = "scan_date", seq_col: str = "obs_seq"):
     return F.struct(F.col(scan_col).alias("s"), F.col(seq_col).alias("q"))
 
 
+SEG_BITS = 33  # obs_seq >> 33 = the source partition of order_sequence's numbering
+
+
 def previous_values(df: DataFrame, entity: str, value_cols, scan_col: str = "scan_date",
-                    seq_col: str = "obs_seq") -> DataFrame:
+                    seq_col: str = "obs_seq", seg_bits: int = SEG_BITS) -> DataFrame:
     """Add ``prev_<c>`` (value of c on the entity's previous observation, null on its first) for each
     value column, and ``is_first`` (first observation of the entity). Values are compared as given, so
-    callers coalesce nulls first when null and '' must be equal."""
+    callers coalesce nulls first when null and '' must be equal.
+
+    Segments are (entity, scan_date, obs_seq >> seg_bits): a hot entity is split by scan and, inside a scan,
+    by blocks of the sequence (with order_sequence's numbering, one block per source partition). The second
+    level orders one summary row per segment."""
     value_cols = list(value_cols)
-    w_seg = Window.partitionBy(entity, scan_col).orderBy(seq_col)
-    rows = df.withColumn("_rn_seg", F.row_number().over(w_seg))
+    rows = df.withColumn("_blk", F.shiftright(F.col(seq_col), seg_bits))
+    w_seg = Window.partitionBy(entity, scan_col, "_blk").orderBy(seq_col)
+    rows = rows.withColumn("_rn_seg", F.row_number().over(w_seg))
     for c in value_cols:
         rows = rows.withColumn(f"_lag_{c}", F.lag(c).over(w_seg))
 
-    seg = rows.groupBy(entity, scan_col).agg(
+    seg = rows.groupBy(entity, scan_col, "_blk").agg(
         *[F.max_by(c, seq_col).alias(f"_last_{c}") for c in value_cols]
     )
-    w_ent = Window.partitionBy(entity).orderBy(scan_col)
+    w_ent = Window.partitionBy(entity).orderBy(scan_col, "_blk")
     seg = seg.select(
-        entity, scan_col,
+        entity, scan_col, "_blk",
         F.row_number().over(w_ent).alias("_seg_no"),
         *[F.lag(f"_last_{c}").over(w_ent).alias(f"_seg_prev_{c}") for c in value_cols],
     )
-    out = rows.join(seg, [entity, scan_col], "inner")
+    out = rows.join(seg, [entity, scan_col, "_blk"], "inner")
     first_in_seg = F.col("_rn_seg") == 1
     out = out.withColumn("is_first", first_in_seg & (F.col("_seg_no") == 1))
     for c in value_cols:
         out = out.withColumn(
             f"prev_{c}", F.when(first_in_seg, F.col(f"_seg_prev_{c}")).otherwise(F.col(f"_lag_{c}"))
         )
-    drop = ["_rn_seg", "_seg_no"] + [f"_lag_{c}" for c in value_cols] + [f"_seg_prev_{c}" for c in value_cols]
+    drop = ["_rn_seg", "_seg_no", "_blk"] + [f"_lag_{c}" for c in value_cols] + [f"_seg_prev_{c}" for c in value_cols]
     return out.drop(*drop)
 
 

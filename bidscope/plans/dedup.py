@@ -26,6 +26,7 @@ from ..functions import norm_address, norm_size, norm_text, property_slug, schem
 from ..operators.history import merge_histories
 from ..operators.predicates import is_expired, is_junk
 from ..operators.rank import first_per_key
+from ..operators.sequence import dense_index
 from ..session import cut_lineage
 
 PLACEHOLDER = "Property Listing"
@@ -173,14 +174,21 @@ def group_entities(entries: DataFrame, price_pts: DataFrame, auction_pts: DataFr
     return g, members, ph, ah
 
 
+def rank_within(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
+    """1-based rank of every row inside its ``key`` in ``order`` (a total order), without a per-key window:
+    a distributed numbering over (key, order) minus the first number of the key. A key holding a third of
+    the rows is spread over several range partitions."""
+    idx = dense_index(df, [key] + list(order), "_gidx")
+    base = idx.groupBy(key).agg(F.min("_gidx").alias("_kmin"))
+    return idx.join(base, key).withColumn(name, F.col("_gidx") - F.col("_kmin") + 1).drop("_gidx", "_kmin")
+
+
 def unique_slug(groups: DataFrame, slug_col: str = "_slug") -> DataFrame:
     """the first group (in output order) keeps its slug; later ones get '_2', '_3', ... A second pass
     adds one more suffix where a generated name equals another group's name (Q9)."""
-    w = Window.partitionBy(slug_col).orderBy("group_order")
-    g = groups.withColumn("_n", F.row_number().over(w))
+    g = rank_within(groups, slug_col, ["group_order"], "_n")
     g = g.withColumn("slug", F.when(F.col("_n") == 1, F.col(slug_col)).otherwise(F.concat(F.col(slug_col), F.lit("_"), F.col("_n").cast("string"))))
-    w2 = Window.partitionBy("slug").orderBy(F.col("_n"), "group_order")
-    g = g.withColumn("_n2", F.row_number().over(w2))
+    g = rank_within(g, "slug", ["_n", "group_order"], "_n2")
     g = g.withColumn("slug", F.when(F.col("_n2") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("_"), F.col("_n2").cast("string"))))
     return g.drop("_n", "_n2", slug_col)
 

@@ -135,11 +135,10 @@ def card_html(pk, title, hs, hf, lid, price, ad, size, loc, disc):
 def card_pages(obs: DataFrame, scan) -> DataFrame:
     """(page_id, url, html) for the observations of one scan. Cards follow the scan order; each page ends
     with a repeat of its first card and two cards the finder must ignore (no price; no date)."""
-    from pyspark.sql import Window
+    from ..operators.sequence import dense_index
 
     one = obs.filter(F.col("scan_date") == F.lit(scan))
-    w = Window.partitionBy("scan_date").orderBy("obs_seq")
-    r = one.withColumn("_rank", F.row_number().over(w))
+    r = dense_index(one, ["obs_seq"], "_rank")
     r = r.select(
         ((F.col("_rank") - 1) / CARDS_PER_PAGE).cast("int").alias("page0"),
         ((F.col("_rank") - 1) % CARDS_PER_PAGE).alias("pos"),
