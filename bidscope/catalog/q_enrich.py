@@ -3,9 +3,6 @@ filters (D6-D9, D12, E9, H3, I5-I7, B26, C13)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import STATES

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import market
 from . import context as C
 from .registry import register
@@ -25,7 +23,3 @@ GROUP BY 1
 def e1_market_summary(spark, sf_dir):
     return market.market_summary(C.state(spark, sf_dir))
 
-
-def _active(df):
-    from ..operators.predicates import active
-    return active(df, C.AS_OF)

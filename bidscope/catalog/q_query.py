@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chat_search_text, price_value_all
 from ..operators import market, predicates as P, rank as R
 from ..operators.history import price_drop_pct, price_points, recent_prices
 from ..plans.listing_query import LISTING_SPECS, listing_query, chat_query, CHAT_SPECS

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import LISTING
 from ..sources import snapshots as S
 from . import context as C
 from .registry import register

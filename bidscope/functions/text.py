@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import blank, col, lit_str, pystrip
+from ._util import blank, col, pystrip
 
 
 def norm_text(c) -> Column:
@@ -140,5 +140,5 @@ def chat_search_text(title="title", location="location", ptype="property_type",
 __all__ = [
     "norm_text", "norm_size", "norm_address", "stable_key", "property_slug", "observation_hash",
     "clean_location", "scheme_from_header", "scheme_from_address", "resolve_scheme", "search_text",
-    "listing_search_text", "chat_search_text", "DEFAULT_LOCATION", "lit_str",
+    "listing_search_text", "chat_search_text", "DEFAULT_LOCATION",
 ]

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    discount_value, days_until, norm_address, norm_size, norm_text, parse_auction_date, price_value_all,
-    resolve_type_alias, size_number,
+    days_until, discount_value, norm_address, parse_auction_date, price_value_all, resolve_type_alias,
+    size_number,
 )
 from ..functions._util import col
 
@@ -245,6 +245,3 @@ def apply_listing_filters(df: DataFrame, spec: ListingSpec, as_of) -> DataFrame:
         out = auction_between(out, spec.week[0], spec.week[1])
     return out
 
-
-def norm_key_parts() -> list[Column]:
-    return [norm_text("title"), norm_size("size")]

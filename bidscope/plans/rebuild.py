@@ -10,18 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import alert_card, categorize_property_type
+from ..functions import alert_card
 from ..operators.history import detect_changes
 
 
-def scan_changes(obs: DataFrame, entity: str, state: DataFrame | None = None) -> DataFrame:
-    """All change rows (F2) with the entity's title and type attached from the state (as in the log)."""
-    ch = detect_changes(obs, entity)
-    if state is not None:
-        ch = ch.join(state.select(entity, "title", "property_type"), entity, "left")
-    return ch
-
-
 def scan_new_entities(obs: DataFrame, entity: str) -> DataFrame:
     """(scan_date, entity, arrival): entities whose first observation is in that scan."""
     return obs.groupBy(entity).agg(
