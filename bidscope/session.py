@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROW_LIMIT = 200_000
 
 
-def get_spark(app: str = "bidscope", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def get_spark(app: str = "bidscope", master: str | None = None, shuffle_partitions: int | None = None,
+              extra_conf: dict | None = None) -> SparkSession:
     """Return the active session or build a local one with the settings the jobs rely on.
 
     On a cluster the session is created by the launcher and only returned here; the builder settings
@@ -36,6 +37,8 @@ def get_spark(app: str = "bidscope", master: str | None = None, shuffle_partitio
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
