@@ -83,7 +83,10 @@ SCHEME_NAME_WORDS = (
     "Park|Centre|Point|Plaza|Place|Heights|Residences?|Tower|City|Garden|Court|Square|"
     "Perdagangan|Komersial|Damansara|Business|Mall|Complex|Kompleks"
 )
-UNIT_WORDS = r"Lot|Block|Unit|Level|Ground|First|Second"
+UNIT_WORDS = ("Lot", "Block", "No.", "Unit", "Level", "Ground", "First", "Second")
+# a part starts with a unit word when the word is followed by a word boundary (a word ending in '.' needs none)
+_UNIT_START = r"(?i)^(?:" + "|".join(
+    w.replace(".", r"\.") + ("" if w.endswith(".") else r"\b") for w in UNIT_WORDS) + ")"
 
 
 def scheme_from_address(address, title) -> Column:
@@ -99,7 +102,7 @@ def scheme_from_address(address, title) -> Column:
         parts,
         lambda s: (s != "")
         & ~s.rlike(r"^\d")
-        & ~s.rlike(r"(?i)^((" + UNIT_WORDS + r")\b|No\.)")
+        & ~s.rlike(_UNIT_START)
         & (F.length(s) > 5),
     )
     first_good = F.try_element_at(good, F.lit(1))

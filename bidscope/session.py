@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Default upper bound (rows) for an explicitly broadcast lookup table. Anything larger goes through a
-# shuffled join chosen by AQE at runtime.
+# Upper bound (rows) for explicitly broadcasting a table whose size is only known at runtime (checked with a
+# count first, e.g. the saved filters of D12). Anything larger goes through a shuffled join.
 BROADCAST_ROW_LIMIT = 200_000
 
 
@@ -64,13 +64,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count; otherwise return it unchanged.
-
-    Used for lookup tables whose size is not known statically (caches, saved filters). Spark's own
-    AQE size check still applies to the unhinted branch.
-    """
-    n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
