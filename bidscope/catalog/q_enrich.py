@@ -211,8 +211,18 @@ SAVED_FILTER_TEXTS = (
 )
 
 
-def _saved(spark):
-    return spark.createDataFrame(list(enumerate(SAVED_FILTER_TEXTS, 1)), "filter_id long, text string")
+def _saved(spark, sf_dir):
+    """Saved filters: the fixed texts above (ids 1..12) plus one per scheme of the published listings,
+    '<scheme> under <largest price of the scheme, in k>k' (ids 1000 + rank of the scheme name)."""
+    from ..operators.sequence import dense_index
+
+    fixed = spark.createDataFrame(list(enumerate(SAVED_FILTER_TEXTS, 1)), "filter_id long, text string")
+    per = (C.published(spark, sf_dir).filter(F.col("scheme_name") != "")
+           .groupBy("scheme_name").agg(F.max("price_value").alias("_mx")))
+    per = dense_index(per, ["scheme_name"], "_i").select(
+        (F.lit(1000) + F.col("_i")).cast("long").alias("filter_id"),
+        F.concat(F.lower("scheme_name"), F.lit(" under "), (F.col("_mx") / 1000).cast("long").cast("string"), F.lit("k")).alias("text"))
+    return fixed.unionByName(per)
 
 
 def _sql_parse() -> str:
@@ -247,20 +257,24 @@ def _sql_parse() -> str:
     rem = f"trim(regexp_replace({rem}, '\\s+', ' ', 'g'))"
     values = ", ".join(f"({i}, '{t}')" for i, t in enumerate(SAVED_FILTER_TEXTS, 1))
     return f"""
+WITH sv AS (
+  SELECT * FROM (VALUES {values}) v(filter_id, text)
+  UNION ALL
+  SELECT 1000 + row_number() OVER (ORDER BY scheme_name), lower(scheme_name) || ' under ' || CAST(CAST(trunc(mx / 1000) AS BIGINT) AS VARCHAR) || 'k'
+  FROM (SELECT scheme_name, max(price_value) AS mx FROM published WHERE scheme_name <> '' GROUP BY 1) s)
 SELECT filter_id, text, {typ} AS type,
        CASE WHEN {is_range} THEN {amt(g(rr, 1), g(rr, 2))} ELSE {over} END AS min_price,
        CASE WHEN {is_range} THEN {amt(g(rr, 3), g(rr, 4))} ELSE {under} END AS max_price,
        {loc} AS location, {city} AS city, CASE WHEN length({rem}) > 2 THEN {rem} END AS search
-FROM (VALUES {values}) v(filter_id, text)"""
+FROM sv"""
 
 
-view("saved_parsed", _sql_parse())
+view("saved_parsed", _sql_parse(), ("published",))
 
 
 @register("b26_parse_saved_filters", "B26", views=("saved_parsed",), sql="SELECT * FROM saved_parsed")
 def b26_parse_saved_filters(spark, sf_dir):
-    # the parser runs on the filter texts; listings are read so the query also checks the observed types
-    return FL.parsed_filters(_saved(spark))
+    return FL.parsed_filters(_saved(spark, sf_dir))
 
 
 @register("d12_match_saved_filters", "D12, B26, F3", views=("saved_parsed", "dedup_pub"), sql="""
@@ -276,5 +290,5 @@ m AS (
 SELECT f.filter_id, f.text, count(m.p_partkey) AS n_matches
 FROM saved_parsed f LEFT JOIN m ON m.filter_id = f.filter_id GROUP BY 1, 2""")
 def d12_match_saved_filters(spark, sf_dir):
-    counts, _ = FL.match_saved_filters(FL.parsed_filters(_saved(spark)), R.dedup_listings(C.published(spark, sf_dir)), C.ENTITY)
+    counts, _ = FL.match_saved_filters(FL.parsed_filters(_saved(spark, sf_dir)), R.dedup_listings(C.published(spark, sf_dir)), C.ENTITY)
     return counts
