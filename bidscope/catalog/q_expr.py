@@ -100,7 +100,7 @@ def b7_b30_parse(spark, sf_dir):
         X.size_value("size").alias("size_sort"),
         X.size_number("size").alias("size_num"),
         X.discount_value("discount").alias("discount_pct"),
-        X.days_until("auction_date", C.AS_OF).alias("days_until"),
+        X.days_until("auction_date", C.AS_OF).cast("bigint").alias("days_until"),
         X.extract_postcode("header_full").alias("postcode"),
         X.extract_state("header_full").alias("state"),
         X.parse_amount("price").alias("amount"),

@@ -27,7 +27,7 @@ SELECT {', '.join(PUB_COLS)}, n_ph, n_hist FROM published
 """)
 def a6_publish_listings(spark, sf_dir):
     p = C.publish(spark, sf_dir)
-    return p.select(*PUB_COLS, F.size("ph").alias("n_ph"), F.size("hist").alias("n_hist"))
+    return p.select(*PUB_COLS, F.size("ph").cast("bigint").alias("n_ph"), F.size("hist").cast("bigint").alias("n_hist"))
 
 
 @register("f3_dedup_listings", "F3", views=("dedup_pub",), sql="""
@@ -288,5 +288,5 @@ FROM published""")
 def b17_b18_days_labels(spark, sf_dir):
     from ..functions import days_label, days_until, is_urgent
 
-    p = C.published(spark, sf_dir).withColumn("days", days_until("auction_text", C.AS_OF))
+    p = C.published(spark, sf_dir).withColumn("days", days_until("auction_text", C.AS_OF).cast("bigint"))
     return p.select("p_partkey", "days", days_label("days", "is_expired").alias("label"), is_urgent("days").alias("urgent"))

@@ -48,7 +48,7 @@ def scan_history(log: DataFrame, k: int = 15) -> DataFrame:
     """E5: the last k scans, newest first: (rank, d, n, c). The log has one row per scan (small)."""
     top = log.orderBy(F.desc("scan_date")).limit(k)
     return top.select(
-        F.row_number().over(Window.orderBy(F.desc("scan_date"))).alias("rank"),
+        F.row_number().over(Window.orderBy(F.desc("scan_date"))).cast("bigint").alias("rank"),
         F.col("scan_date").alias("d"), F.col("new_listings_count").alias("n"), F.col("changed_properties_count").alias("c"),
     )
 
@@ -112,7 +112,7 @@ def new_listing_details(obs: DataFrame, published: DataFrame, entity: str, scan,
     new = scan_new_entities(obs, entity).filter(F.col("scan_date") == F.lit(scan))
     first = new.orderBy("arrival").limit(k)
     joined = first.join(published.drop("arrival"), entity, "inner")
-    return joined.select(F.row_number().over(Window.orderBy("arrival")).alias("rank"), entity, "title", "price", "auction_text")
+    return joined.select(F.row_number().over(Window.orderBy("arrival")).cast("bigint").alias("rank"), entity, "title", "price", "auction_text")
 
 
 def changes_by_property(obs: DataFrame, published: DataFrame, entity: str, scan) -> DataFrame:

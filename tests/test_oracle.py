@@ -8,7 +8,7 @@ from conftest import SF001
 
 import sys, os  # noqa: E401
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
-from compare_oracle import TABLES, digest  # noqa: E402
+from compare_oracle import TABLES, digest, duckdb_type_class, spark_type_class  # noqa: E402
 
 QUERIES = E.queries()
 SQLS = E.oracle_sql()
@@ -26,10 +26,12 @@ def con():
 def test_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF001)
     srows = [tuple(r) for r in df.collect()]
-    cur = con.execute(SQLS[name])
-    drows = cur.fetchall()
+    rel = con.sql(SQLS[name])
+    dtypes = {c: duckdb_type_class(t) for c, t in zip(rel.columns, rel.types)}
+    drows = rel.fetchall()
     sc, sh, _ = digest(df.columns, srows)
-    dc, dh, _ = digest([d[0] for d in cur.description], drows)
+    dc, dh, _ = digest(list(rel.columns), drows)
+    assert {f.name: spark_type_class(f.dataType) for f in df.schema.fields} == dtypes
     assert sc == dc
     assert len(srows) == len(drows)
     assert sh == dh
