@@ -28,3 +28,28 @@ def test_latest_scan_filter_prunes_partitions(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(scan_date" in text
     assert "ReadSchema: struct<title:string>" in text
+
+
+def test_state_aggregates_partially_before_shuffle(spark):
+    from bidscope.catalog import context as C
+
+    plan = _plan(C.state(spark, SF001))
+    # map-side partial aggregation of max_by/min_by before the exchange on the entity key
+    assert "partial_max_by" in plan and "partial_min_by" in plan
+
+
+def test_lag_segments_include_sequence_block(spark):
+    from bidscope.catalog import context as C
+    from bidscope.operators.history import detect_changes
+
+    plan = detect_changes(C.obsn(spark, SF001), "p_partkey")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_blk" in plan and "shiftright(obs_seq" in plan
+
+
+def test_resolver_keys_are_null_for_blank_values(spark):
+    from pyspark.sql import functions as F
+    from bidscope.operators.resolve import with_match_keys
+
+    df = spark.createDataFrame([("", "", "T", "KL", "")], "listing_id string, header_full string, title string, location string, size string")
+    r = with_match_keys(df).first()
+    assert r["id_key"] is None and r["as_key"] is None and r["sk"] == "t|kl||"
