@@ -104,6 +104,9 @@ SELECT r.entry_id, 'key:' || r.sk, 'key', 1, r.s_arr, 3, 0, r.arrival, r.score
 FROM dd_rest r WHERE r.sk NOT IN (SELECT sk FROM mv)
 """, ("dd_rest", "dd_lts", "dd_lid", "dd_m12"))
 
+_ANY_S = sql_strip("regexp_replace(coalesce(p.auction_date, ''), '\\s*\\(.*?\\)\\s*', ' ', 'g')")
+_ANY_DAY = (f"coalesce(TRY_CAST(try_strptime({_ANY_S}, '%d %b %Y') AS DATE), TRY_CAST(try_strptime({_ANY_S}, '%d %B %Y') AS DATE), "
+            f"CASE WHEN regexp_matches({_ANY_S}, '^\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}$') THEN TRY_CAST(try_strptime({_ANY_S}, '%Y-%m-%d') AS DATE) END)")
 _CLEAN = "regexp_replace(coalesce({c}, ''), '[^\\pL\\pN_\\s]', '', 'g')"
 _SLUG_BASE = ("lower(regexp_replace(" + sql_strip(" || '_' || ".join(_CLEAN.format(c=c) for c in ("title", "location", "size")))
               + ", '\\s+', '_', 'g'))")
@@ -124,7 +127,8 @@ g AS (
          {sql_norm_text('p.title')} || '|' || {sql_norm_text('p.location')} || '|' || {sql_norm_size('p.size')} || '|'
            || {sql_norm_address("coalesce(nullif(p.header_full, ''), '')")} AS stable_key,
          CASE WHEN contains(coalesce(p.header_short, ''), ',') THEN {sql_strip("regexp_extract(p.header_short, '^(.*),', 1)")} ELSE '' END AS scheme_name,
-         {sql_is_expired('p.auction_date')} AS is_expired
+         {sql_is_expired('p.auction_date')} AS is_expired,
+         coalesce({_ANY_DAY} >= DATE '2001-10-01', false) AS is_active_dedup
   FROM best b JOIN bounds bd ON bd.group_id = b.group_id JOIN praw p ON p.entry_id = b.entry_id),
 s1 AS (SELECT *, row_number() OVER (PARTITION BY slug0 ORDER BY gk_k, g_o) AS n1 FROM g),
 s2 AS (SELECT *, CASE WHEN n1 = 1 THEN slug0 ELSE slug0 || '_' || n1 END AS slug1 FROM s1),
@@ -195,7 +199,7 @@ SELECT (SELECT count(*) FROM dd_e) AS input, (SELECT count(*) FROM dd_e WHERE ju
        count(*) AS output,
        CASE WHEN (SELECT count(*) FROM dd_e) = 0 THEN 0.0
             ELSE round(100.0 - count(*) * 100.0 / (SELECT count(*) FROM dd_e), 1) END AS reduction_pct,
-       count(*) FILTER (WHERE NOT is_expired) AS not_expired, count(*) FILTER (WHERE is_expired) AS expired
+       count(*) FILTER (WHERE is_active_dedup) AS active, count(*) - count(*) FILTER (WHERE is_active_dedup) AS expired
 FROM dd_groups""")
 def e8_dedup_report(spark, sf_dir):
     entries, (g, m, _ph, _ah) = _run(spark, sf_dir)

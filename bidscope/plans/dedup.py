@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import norm_address, norm_size, norm_text, property_slug, scheme_from_header
+from ..functions import norm_address, norm_size, norm_text, parse_any_date, property_slug, scheme_from_header
 from ..operators.history import merge_histories
 from ..operators.predicates import is_expired, is_junk
 from ..operators.rank import first_per_key
@@ -155,6 +155,8 @@ def group_entities(entries: DataFrame, price_pts: DataFrame, auction_pts: DataFr
         F.concat_ws("|", norm_text("title"), norm_text("location"), norm_size("size"), addr_sk).alias("stable_key"),
         scheme_from_header("header_short").alias("scheme_name"),
         is_expired(as_of).alias("is_expired"),
+        # the dedup's own notion of active: its date parser (short or full month names, ISO) on or after as_of
+        F.coalesce(parse_any_date("auction_date") >= F.to_date(F.lit(as_of)), F.lit(False)).alias("is_active_dedup"),
     )
     g = unique_slug(g)
 
@@ -196,7 +198,9 @@ def unique_slug(groups: DataFrame, slug_col: str = "_slug") -> DataFrame:
 def dedup_report(entries: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """Input, junk, id-group count after phase 1, entries without id, cross-matched by address (phase 2),
     key-groups formed in phase 3, entries moved in phase 4, final key-groups, output, reduction %
-    (0 on empty input, Q19), active and expired groups. One row; every figure is an aggregate."""
+    (0 on empty input, Q19), active groups (auction date, parsed with the dedup's parser, on or after as_of)
+    and expired = output - active (undated groups count as expired, as in the reference). One row; every
+    figure is an aggregate."""
     n_in = entries.count()
     m = members.agg(
         F.count(F.lit(1)).alias("clean"),
@@ -209,17 +213,17 @@ def dedup_report(entries: DataFrame, members: DataFrame, groups: DataFrame) -> D
         F.count(F.lit(1)).alias("output"),
         F.count(F.when(F.col("group_kind") == "id", 1)).alias("id_groups"),
         F.count(F.when(F.col("group_kind") == "key", 1)).alias("key_groups"),
-        F.count(F.when(~F.col("is_expired"), 1)).alias("not_expired"),
-        F.count(F.when(F.col("is_expired"), 1)).alias("expired"),
+        F.count(F.when(F.col("is_active_dedup"), 1)).alias("active"),
     ).first()
     out = gstats["output"]
     red = round(100.0 - out / n_in * 100.0, 1) if n_in else 0.0
     spark = entries.sparkSession
     row = (n_in, n_in - m["clean"], m["id_groups_phase1"], m["without_id"], m["cross_matched_address"],
-           m["cross_matched_title_size"], gstats["id_groups"], gstats["key_groups"], out, red, gstats["not_expired"], gstats["expired"])
+           m["cross_matched_title_size"], gstats["id_groups"], gstats["key_groups"], out, red, gstats["active"],
+           out - gstats["active"])
     return spark.createDataFrame(
         [row],
         "input long, junk long, id_groups_phase1 long, without_id long, cross_matched_address long, "
         "cross_matched_title_size long, id_groups long, key_groups long, output long, reduction_pct double, "
-        "not_expired long, expired long",
+        "active long, expired long",
     )
