@@ -198,12 +198,14 @@ def _card(old=False) -> str:
 
 _G10_CTES = """lastscan AS (SELECT max(scan_date) AS d FROM obsn),
 newe AS (SELECT p_partkey, min(obs_seq) AS arrival FROM obsn GROUP BY 1 HAVING min(scan_date) = (SELECT d FROM lastscan)),
-chg AS (SELECT p_partkey, min(obs_seq) AS arrival,
-               arg_max(old_value, obs_seq) FILTER (WHERE type = 'price_change') AS old_price,
-               arg_max(new_value, obs_seq) FILTER (WHERE type = 'price_change') AS new_price,
-               arg_max(old_value, obs_seq) FILTER (WHERE type = 'auction_date_change') AS old_date,
-               arg_max(new_value, obs_seq) FILTER (WHERE type = 'auction_date_change') AS new_date
-        FROM changes WHERE scan_date = (SELECT d FROM lastscan) GROUP BY 1),
+lc AS (SELECT *, min(obs_seq) OVER (PARTITION BY p_partkey) AS arrival, max(obs_seq) OVER (PARTITION BY p_partkey) AS lastseq
+       FROM changes WHERE scan_date = (SELECT d FROM lastscan)),
+chg AS (SELECT p_partkey, arrival,
+               max(old_value) FILTER (WHERE type = 'price_change') AS old_price,
+               max(new_value) FILTER (WHERE type = 'price_change') AS new_price,
+               max(old_value) FILTER (WHERE type = 'auction_date_change') AS old_date,
+               max(new_value) FILTER (WHERE type = 'auction_date_change') AS new_date
+        FROM lc WHERE obs_seq = lastseq GROUP BY 1, 2),
 nt AS (SELECT *, row_number() OVER (ORDER BY arrival) AS rank FROM newe),
 ct AS (SELECT *, row_number() OVER (ORDER BY arrival) AS rank FROM chg)"""
 

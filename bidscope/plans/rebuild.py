@@ -138,12 +138,15 @@ def scan_digest(obs: DataFrame, state: DataFrame, entity: str, scan, k: int = 5)
                    "auction_date", "url").alias("text"),
     )
     ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan)
-    per = ch.groupBy(entity).agg(
-        F.min("obs_seq").alias("arrival"),
-        F.max_by(F.when(F.col("type") == "price_change", F.col("old_value")), F.when(F.col("type") == "price_change", F.col("obs_seq"))).alias("old_price"),
-        F.max_by(F.when(F.col("type") == "price_change", F.col("new_value")), F.when(F.col("type") == "price_change", F.col("obs_seq"))).alias("new_price"),
-        F.max_by(F.when(F.col("type") == "auction_date_change", F.col("old_value")), F.when(F.col("type") == "auction_date_change", F.col("obs_seq"))).alias("old_date"),
-        F.max_by(F.when(F.col("type") == "auction_date_change", F.col("new_value")), F.when(F.col("type") == "auction_date_change", F.col("obs_seq"))).alias("new_date"),
+    # the card shows the change list of the entity's last changed observation in the scan (as the reference
+    # keeps only the last list), positioned by the entity's first change
+    last = ch.groupBy(entity).agg(F.min("obs_seq").alias("arrival"), F.max("obs_seq").alias("_last"))
+    lc = ch.join(last, entity).filter(F.col("obs_seq") == F.col("_last"))
+    per = lc.groupBy(entity, "arrival").agg(
+        F.max(F.when(F.col("type") == "price_change", F.col("old_value"))).alias("old_price"),
+        F.max(F.when(F.col("type") == "price_change", F.col("new_value"))).alias("new_price"),
+        F.max(F.when(F.col("type") == "auction_date_change", F.col("old_value"))).alias("old_date"),
+        F.max(F.when(F.col("type") == "auction_date_change", F.col("new_value"))).alias("new_date"),
     )
     n_changed = per.count()
     ch_top = per.orderBy("arrival").limit(k).withColumn("rank", F.row_number().over(w)).join(st, entity, "inner")
