@@ -49,9 +49,9 @@ _DAYS = (f"coalesce(date_diff('day', {AS_OF_DATE_SQL}, CASE WHEN regexp_matches(
          f"regexp_extract(auction_text, '(\\d{{1,2}})\\s+(\\w{{3}})\\s+(\\d{{4}})', 3), '%d %b %Y') AS DATE) END), 999)")
 _DISC = "coalesce(TRY_CAST(nullif(regexp_extract(discount, '-(\\d+)', 1), '') AS INTEGER), 0)"
 _B12 = "coalesce(TRY_CAST(nullif(regexp_replace(price, '[^0-9.]', '', 'g'), '') AS DOUBLE), 0.0)"
-_DAY = ("TRY_CAST(try_strptime(regexp_extract(auction_text, '^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 1) || ' ' || "
-        "regexp_extract(auction_text, '^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 2) || ' ' || "
-        "regexp_extract(auction_text, '^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 3), '%d %b %Y') AS DATE)")
+_DAY = ("TRY_CAST(try_strptime(regexp_extract(auction_text, '(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 1) || ' ' || "
+        "regexp_extract(auction_text, '(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 2) || ' ' || "
+        "regexp_extract(auction_text, '(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 3), '%d %b %Y') AS DATE)")
 
 
 @register("c1_c13_predicates", "C1, C2, C3, C4, C5, C6, C7, C8, C9, C10, C11, C12", views=("published",), sql=f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import parse_auction_date
+from ..functions import parse_date_anywhere
 from ..operators import rank as R
 from ..operators.history import price_drop_pct, price_points, recent_prices
 from ..plans import rebuild as RB
@@ -142,9 +142,9 @@ def d13_same_scheme(spark, sf_dir):
 _ACTD = ("(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY title, price_value, auction_text, address "
          "ORDER BY CASE WHEN size <> '' AND size <> 'Size not specified' THEN 0 ELSE 1 END, arrival) AS rn FROM published "
          "WHERE NOT is_expired) a WHERE rn = 1)")
-_DAYQ = ("TRY_CAST(try_strptime(regexp_extract(auction_text, '^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 1) || ' ' || "
-         "regexp_extract(auction_text, '^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 2) || ' ' || "
-         "regexp_extract(auction_text, '^(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 3), '%d %b %Y') AS DATE)")
+_DAYQ = ("TRY_CAST(try_strptime(regexp_extract(auction_text, '(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 1) || ' ' || "
+         "regexp_extract(auction_text, '(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 2) || ' ' || "
+         "regexp_extract(auction_text, '(\\d{1,2})\\s+(\\w{3})\\s+(\\d{4})', 3), '%d %b %Y') AS DATE)")
 
 
 @register("e6_auctions_per_week", "E6, D16", views=("published",), sql=f"""
@@ -162,7 +162,7 @@ SELECT sp.week, CAST((SELECT s FROM st) + sp.week * 7 AS DATE) AS week_start,
 FROM sp LEFT JOIN cnt ON cnt.week = sp.week""")
 def e6_auctions_per_week(spark, sf_dir):
     act = R.dedup_listings(C.published(spark, sf_dir).filter(~F.col("is_expired")))
-    return R.auctions_per_week(act.withColumn("auction_day", parse_auction_date("auction_text")), C.AS_OF)
+    return R.auctions_per_week(act.withColumn("auction_day", parse_date_anywhere("auction_text")), C.AS_OF)
 
 
 def _esc(x: str) -> str:

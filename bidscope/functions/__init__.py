@@ -8,7 +8,7 @@ from .classify import (  # noqa: F401
 from .parse import (  # noqa: F401
     MAX_PRICE, MIN_PRICE, STATES, VALID_PRICE_FLOOR, absolute_url, date_only, days_until, discount_value,
     extract_postcode, extract_state, format_amount, is_valid_price, listing_id_from_url, parse_amount,
-    parse_any_date, parse_auction_date, price_value, price_value_all, round_coord, short_address,
+    parse_any_date, parse_auction_date, parse_date_anywhere, price_value, price_value_all, round_coord, short_address,
     size_number, size_value, strip_weekday, validate_auction_date, validate_price,
 )
 from .text import (  # noqa: F401

@@ -53,6 +53,14 @@ def parse_auction_date(c) -> Column:
     return F.when(c.rlike(m), F.try_to_date(text, "d MMM yyyy"))
 
 
+def parse_date_anywhere(c) -> Column:
+    """B10, dashboard variant: the first 'd Mon yyyy' anywhere in the text -> date (unknown month -> null, Q18)."""
+    s = F.coalesce(col(c), F.lit(""))
+    m = r"(\d{1,2})\s+(\w{3})\s+(\d{4})"
+    text = F.concat_ws(" ", F.regexp_extract(s, m, 1), F.regexp_extract(s, m, 2), F.regexp_extract(s, m, 3))
+    return F.when(s.rlike(m), F.try_to_date(text, "d MMM yyyy"))
+
+
 def parse_any_date(c) -> Column:
     """B10, dedup variant: parenthesised parts removed, then 'd Mon yyyy', 'd Month yyyy' or ISO 'yyyy-MM-dd'."""
     s = pystrip(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"\s*\(.*?\)\s*", " "))
@@ -98,11 +106,7 @@ def discount_value(c) -> Column:
 
 def days_until(c, as_of) -> Column:
     """Whole days from the as_of day to the auction day (unanchored 'd Mon yyyy'); unparsable -> 999."""
-    s = F.coalesce(col(c), F.lit(""))
-    m = r"(\d{1,2})\s+(\w{3})\s+(\d{4})"
-    text = F.concat_ws(" ", F.regexp_extract(s, m, 1), F.regexp_extract(s, m, 2), F.regexp_extract(s, m, 3))
-    d = F.when(s.rlike(m), F.try_to_date(text, "d MMM yyyy"))
-    return F.coalesce(F.datediff(d, _as_of_date(as_of)), F.lit(999))
+    return F.coalesce(F.datediff(parse_date_anywhere(c), _as_of_date(as_of)), F.lit(999))
 
 
 def extract_postcode(c) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
-    days_until, discount_value, norm_address, parse_auction_date, price_value_all, resolve_type_alias,
+    days_until, discount_value, norm_address, parse_auction_date, parse_date_anywhere, price_value_all, resolve_type_alias,
     size_number,
 )
 from ..functions._util import col
@@ -91,8 +91,8 @@ def discount_at_least(df: DataFrame, pct: int, c="discount") -> DataFrame:
 
 
 def auction_between(df: DataFrame, start, end, c="auction_date") -> DataFrame:
-    """Auction day within [start, end] inclusive."""
-    d = auction_day(c)
+    """Auction day (dashboard parser: the date anywhere in the text) within [start, end] inclusive."""
+    d = parse_date_anywhere(c)
     return df.filter(d.between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 

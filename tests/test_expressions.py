@@ -161,3 +161,10 @@ def test_days_label_and_card(spark):
               p="RM100,000", ad="1 Oct 2025 (Wed)", u="https://x.example/property/1")
     assert got == ("1. <b>Shop &lt;A&amp;B&gt;</b> — KL\n   📍 No 1, Jalan\n   🏷 Commercial · -20%\n   💰 RM100,000\n"
                    "   📅 1 Oct 2025 (Wed)\n   🔗 <a href=\"https://x.example/property/1\">View listing</a>\n")
+
+
+def test_date_parsers_anchoring(spark):
+    s = "Auction on 10 Sep 2025 (Wed)"
+    assert one(spark, X.parse_auction_date("c"), c=s) is None          # Python-side B10: date must lead
+    assert one(spark, X.parse_date_anywhere("c"), c=s) == dt.date(2025, 9, 10)  # dashboard B10: anywhere
+    assert one(spark, X.days_until("c", AS_OF), c=s) == 0
