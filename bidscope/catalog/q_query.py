@@ -43,6 +43,7 @@ def _tag(df: DataFrame, name: str) -> DataFrame:
 
 
 _SIZE_NUM = "TRY_CAST(nullif(regexp_extract(replace(size, ',', ''), '([0-9.]+)', 1), '') AS DOUBLE)"
+_SIZE_INT = "coalesce(TRY_CAST(nullif(replace(regexp_extract(size, '[0-9,]+', 0), ',', ''), '') AS BIGINT), 0)"
 _DAYS = (f"coalesce(date_diff('day', {AS_OF_DATE_SQL}, CASE WHEN regexp_matches(auction_text, '(\\d{{1,2}})\\s+(\\w{{3}})\\s+(\\d{{4}})') "
          f"THEN TRY_CAST(try_strptime(regexp_extract(auction_text, '(\\d{{1,2}})\\s+(\\w{{3}})\\s+(\\d{{4}})', 1) || ' ' || "
          f"regexp_extract(auction_text, '(\\d{{1,2}})\\s+(\\w{{3}})\\s+(\\d{{4}})', 2) || ' ' || "
@@ -124,7 +125,7 @@ def _spec_sql(name, spec) -> str:
         conds.append(f"{_DAY} BETWEEN DATE '{spec.week[0]}' AND DATE '{spec.week[1]}'")
     sorts = {
         "price_asc": "price_value", "price_desc": "price_value DESC", "date_asc": _DAYS,
-        "discount": f"{_DISC} DESC", "size_desc": f"coalesce({_SIZE_NUM}, 0) DESC", "size_asc": f"coalesce({_SIZE_NUM}, 0)",
+        "discount": f"{_DISC} DESC", "size_desc": f"{_SIZE_INT} DESC", "size_asc": _SIZE_INT,
     }
     order = sorts.get(spec.sort, sorts["price_asc"]) + ", arrival"
     lo = (spec.page - 1) * spec.page_size

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import days_until, discount_value, size_number, size_value
+from ..functions import days_until, discount_value, size_value
 
 
 def first_per_key(df: DataFrame, keys, order: list[Column]) -> DataFrame:
@@ -43,7 +43,7 @@ def listing_sort_order(key: str, as_of) -> list[Column]:
     """G1: price_asc (default, also for unknown keys), price_desc, date_asc, discount, size_desc, size_asc;
     arrival order breaks ties (the reference's sorts are stable)."""
     pv = F.coalesce(F.col("price_value"), F.lit(0))
-    size = F.coalesce(size_number("size"), F.lit(0.0))
+    size = size_value("size")  # the sort variant of B15 (integer of the first digits/commas run, else 0)
     orders = {
         "price_asc": [pv.asc()],
         "price_desc": [pv.desc()],
