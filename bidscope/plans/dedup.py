@@ -190,6 +190,9 @@ def unique_slug(groups: DataFrame, slug_col: str = "_slug") -> DataFrame:
     adds one more suffix where a generated name equals another group's name (Q9)."""
     g = rank_within(groups, slug_col, ["group_order"], "_n")
     g = g.withColumn("slug", F.when(F.col("_n") == 1, F.col(slug_col)).otherwise(F.concat(F.col(slug_col), F.lit("_"), F.col("_n").cast("string"))))
+    # the second pass is needed only when a generated name equals another name (one cheap aggregate decides)
+    if g.groupBy("slug").count().filter(F.col("count") > 1).limit(1).count() == 0:
+        return g.drop("_n", slug_col)
     g = rank_within(g, "slug", ["_n", "group_order"], "_n2")
     g = g.withColumn("slug", F.when(F.col("_n2") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("_"), F.col("_n2").cast("string"))))
     return g.drop("_n", "_n2", slug_col)
