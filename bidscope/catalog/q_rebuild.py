@@ -47,7 +47,14 @@ def _with(*parts: str) -> str:
 
 @register("a4_scan_log", "A4, D5, F2", views=("obsn",), sql=_with(_LOG) + "SELECT * FROM scanlog")
 def a4_scan_log(spark, sf_dir):
-    return RB.scan_log(C.obsn(spark, sf_dir), E)
+    from ..sources.snapshots import read_scan_log, scratch_path, write_scan_log
+
+    log = RB.scan_log(C.obsn(spark, sf_dir), E)
+    path = scratch_path(spark, "scan-log")
+    write_scan_log(log, path)
+    write_scan_log(log.orderBy(F.desc("scan_date")).limit(1), path)  # the last scan logged again: replaced, not doubled
+    return read_scan_log(spark, path).select("scan_date", "new_listings_count", "changed_properties_count",
+                                             "change_count", "listings_seen")
 
 
 @register("e10_change_summary", "E10", views=("obsn",), sql=_with() + "SELECT scan_date, type, count(*) AS n FROM changes GROUP BY 1, 2")

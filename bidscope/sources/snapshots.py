@@ -86,3 +86,15 @@ def write_properties(df: DataFrame, base_path: str) -> str:
     path = f"{base_path.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
     df.write.mode("overwrite").parquet(path)
     return path
+
+
+def write_scan_log(log: DataFrame, path: str) -> None:
+    """A4: add one log entry per scan (scan_date partitions). Writing a scan again replaces its entry
+    (dynamic partition overwrite), so a re-run scan is logged once."""
+    (log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("scan_date").parquet(path))
+
+
+def read_scan_log(spark: SparkSession, path: str) -> DataFrame:
+    """A4: the scan log, one row per scan."""
+    return spark.read.parquet(path)
