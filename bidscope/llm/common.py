@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,8 +13,8 @@ from pyspark.sql import types as T
 
 from bidscope.session import checkpoint_dir
 
-#: Rows in one Arrow batch handed to Python: texts are long, so the default of 10,000 rows is too many.
-BATCH_ROWS = 256
+#: Bytes in one Arrow batch handed to Python: texts can be long, and a worker holds a few copies of a batch.
+BATCH_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,10 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small: at most ``BATCH_ROWS`` rows, so that long texts do not add up."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Use Arrow batches of ``BATCH_BYTES`` at most where the session has Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
@@ -89,3 +90,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps: its cleaner acts when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, unigram_counts
+from . import bpe_automaton, embedding_join, simhash_join, substring_dedup, unigram_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,23 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = unigram_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_tokens")
+
+
+@query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95 or more."""
+    return embedding_join.embedding_components(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+@query
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint (4-word shingles) and group at 4 or fewer differing bits of every document."""
+    found = simhash_join.simhash_components(table(spark, sf_dir, "documents"), shingle_words=4, max_bits=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word windows that start in a document with a smaller id. Null texts have no words."""
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
