@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_automaton, embedding_join, simhash_join, substring_dedup, unigram_counts
+from . import best_fit_packing, bpe_automaton, embedding_join, line_dedup, simhash_join, substring_dedup, unigram_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 13-word windows that start in a document with a smaller id. Null texts have no words."""
     kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_words").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = best_fit_packing.token_pieces(table(spark, sf_dir, "documents"), path, capacity=2048, end_id=0)
+    packed = best_fit_packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source. Null texts count as empty in the digest."""
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL["op7_line_dedup"] = line_dedup.sql()
