@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import bound_batches, stored
 
 #: Nodes of the search over all dives, and fillings tried at a node.
-NODES = 20_000
+NODES = 5_000
 BRANCHES = 4
 CHUNK_ENTRIES = 300_000
 _NEAR_SPACE = re.compile(r" \s|\s ")

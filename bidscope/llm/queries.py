@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe_automaton, embedding_join, line_dedup, simhash_join, substring_dedup, unigram_counts
+from . import best_fit_packing, bpe_automaton, embedding_join, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op7_line_dedup"] = line_dedup.sql()
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from the labelled documents outside the held-out fold."""
+    return quality_gam.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_col="quality", folds=5, threshold=0.3)
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spot-signature fingerprints of every document and its edited text, and their likeness."""
+    return spot_signatures.fingerprint_chain(table(spark, sf_dir, "documents"))
