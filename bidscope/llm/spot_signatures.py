@@ -32,23 +32,38 @@ el los las una y que por con para del al se su
 _WORD = re.compile(r"[^\W_]+")
 
 
-def signatures(text: str | None) -> frozenset[int]:
-    """64-bit hashes of a text's spot signatures (signed). A text without words has none."""
-    words = _WORD.findall((text or "").lower())
-    if not words:
-        return frozenset()
+def _hashed(strings: set[str]) -> frozenset[int]:
+    hashes = (xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in strings)
+    return frozenset(np.fromiter(hashes, dtype=np.uint64, count=len(strings)).view(np.int64).tolist())
+
+
+def spots(text: str | None) -> frozenset[int]:
+    """64-bit hashes (signed) of a text's spot signatures."""
     out, ahead = set(), ("", "")
-    for w in reversed(words):
+    for w in reversed(_WORD.findall((text or "").lower())):
         if w not in ANCHORS:
             ahead = (w, ahead[0])
         elif ahead[0]:
             out.add(f"{w} {ahead[0]} {ahead[1]}")
-    if len(out) < FEW_SPOTS:
-        behind = ""
-        for w in reversed(words):
-            out.update((f"\n{w}", f"\n{w} {behind}"))
-            behind = w if w not in ANCHORS else behind
-    return frozenset(np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) for s in out), dtype=np.uint64, count=len(out)).view(np.int64).tolist())
+    return _hashed(out)
+
+
+def word_signatures(text: str | None) -> frozenset[int]:
+    """Every word as an anchor: alone, and with the content word behind it."""
+    out, behind = set(), ""
+    for w in reversed(_WORD.findall((text or "").lower())):
+        out.update((f"\n{w}", f"\n{w} {behind}"))
+        behind = w if w not in ANCHORS else behind
+    return _hashed(out)
+
+
+def signatures(text: str | None) -> frozenset[int]:
+    """The fingerprint: spot signatures, and with fewer than ``FEW_SPOTS`` of them the words' signatures as well.
+
+    A text without words has none.
+    """
+    found = spots(text)
+    return found if len(found) >= FEW_SPOTS else found | word_signatures(text)
 
 
 def likeness(a: frozenset[int], b: frozenset[int]) -> float:
@@ -59,6 +74,13 @@ def likeness(a: frozenset[int], b: frozenset[int]) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def text_likeness(a: str, spots_a: frozenset[int], b: str, spots_b: frozenset[int]) -> float:
+    """Likeness of two texts by their spots; where one has few, both take their words' signatures as well."""
+    if min(len(spots_a), len(spots_b)) < FEW_SPOTS:
+        return likeness(spots_a | word_signatures(a), spots_b | word_signatures(b))
+    return likeness(spots_a, spots_b)
+
+
 def digest(s: frozenset[int]) -> str:
     """A short name of a signature set: equal sets have equal names."""
     return hashlib.sha256(np.sort(np.fromiter(s, dtype="<i8", count=len(s))).tobytes()).hexdigest()[:32]
@@ -150,7 +172,7 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     here, before = bucket, None
                 if look and before is None:
                     continue
-                now = (doc, text, signatures(text))
+                now = (doc, text, spots(text))
                 if before is not None:
                     out.append(judged(before, now))
                 before = None if look else now
@@ -160,8 +182,12 @@ def fingerprint_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         doc, text, own = a
         half = len(text) // 2
         edited = text[:len(text) - half] + b[1][:half]
-        new = signatures(edited) if edited != text else own
-        return (doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(own), digest(new), likeness(own, new), likeness(own, b[2]))
+        new = spots(edited) if edited != text else own
+        return (doc, len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), digest(whole(text, own)), digest(whole(edited, new)),
+                text_likeness(text, own, edited, new), text_likeness(text, own, b[1], b[2]))
+
+    def whole(text, found):
+        return found if len(found) >= FEW_SPOTS else found | word_signatures(text)
 
     def alone(batches):
         for batch in batches:
