@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, stored
+from .common import add_columns
 
 FEATURES = ("log_bytes", "log_words", "word_length", "upper", "digit", "symbol", "stop", "comma", "bang", "bar", "wide", "unique",
             "repeat", "log_lines", "line_words", "line_unique", "sentence_words")
@@ -179,35 +179,48 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, bin
     return model
 
 
-def training_rows(featured: DataFrame, labels: DataFrame, label_col: str, folds: int, max_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``max_rows`` labelled rows whose id is not in the held-out fold: those with the smallest hash of the id."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col(label_col).cast("double").alias("_y"))
-    rows = (featured.where(~held_out(F.col("doc_id"), folds)).join(known, F.col("doc_id") == F.col("_id"))
-            .select("features", "_y", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "_y", "features").limit(max_rows).toArrow())
-    x = np.array(rows["features"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    return x, rows["_y"].to_numpy()
-
-
 def held_out(id_col, folds: int = 5):
     """Whether the CRC-32 of the id's decimal text leaves remainder 0."""
     return F.crc32(id_col.cast("string").cast("binary")) % folds == 0
 
 
+def training_rows(df: DataFrame, labels: DataFrame, label_col: str, folds: int, max_rows: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``max_rows`` labelled rows outside the held-out fold: those with the smallest hash of the id."""
+    known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col("doc_id"), folds))
+    known = (known.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y"))
+             .orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows))
+    rows = df.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
+    got = add_features(rows.select("text", "_y", "_id")).select("features", "_y", "_id").toArrow()  # the sample is bounded, and so is what it sends
+    order = np.argsort(got["_id"].to_numpy(), kind="stable")  # the same model whatever the order of arrival
+    x = np.array(got["features"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
+    return x[order], got["_y"].to_numpy()[order]
+
+
+def fit_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, max_rows: int = MAX_ROWS, text_col: str = "text") -> Gam:
+    """The model of ``labels`` (``doc_id`` and 0/1 in ``label_col``; other values and nulls are left out) for the texts of ``df``."""
+    return fit(*training_rows(df, labels, label_col, folds, max_rows, text_col))
+
+
+def add_scores(df: DataFrame, model: Gam, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """Add ``out_col`` (double, 0 to 1): the model's probability of label 1 for the whole text. Null and empty texts are
+    scored like any text; a column of that name is replaced."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+
+    def make():
+        m = shared.value
+        return lambda b: [pa.array(m.score(np.array([features(t) for t in b.column(text_col).to_pylist()], dtype=float).reshape(b.num_rows, len(FEATURES))))]
+
+    return add_columns(df, [T.StructField(out_col, T.DoubleType())], make)
+
+
 def score_quality(df: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD,
                   text_col: str = "text") -> DataFrame:
     """One row ``(doc_id, held_out, score, predicted)`` per row of ``df``: ``score`` is the probability of label 1.
 
     The model learns from rows of ``df`` with a label 0 or 1 in ``labels`` outside the held-out fold; nothing but the text
-    enters a score. Null and empty texts are scored by the model like any text. A null id is never held out nor learnt from.
-    Without usable labels all scores are one half. Repeated rows are scored alike; an empty table gives no rows.
+    enters a score. A null id is never held out nor learnt from. Without usable labels of both kinds all scores are equal.
+    Repeated rows are scored alike; an empty table gives no rows.
     """
-    featured = stored(add_features(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "features"), "features")
-    x, y = training_rows(featured, labels, label_col, folds, max_rows)
-    model = df.sparkSession.sparkContext.broadcast(fit(x, y))
-
-    def make():
-        m = model.value
-        return lambda b: [pa.array(m.score(np.array(b.column("features").to_pylist(), dtype=float).reshape(b.num_rows, -1)))]
-
-    scored = add_columns(featured, [T.StructField("score", T.DoubleType())], make)
+    model = fit_quality(df, labels, label_col, folds, max_rows, text_col)
+    scored = add_scores(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id"), folds), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
