@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe_automaton, embedding_join, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
+from . import best_fit_packing, bpe_automaton, embedding_join, license_scan, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,14 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spot-signature fingerprints of every document and its edited text, and their likeness."""
     return spot_signatures.fingerprint_chain(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document, by its licence paragraphs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.fit(docs))
+    families = F.transform("licences", lambda x: x["family"])
+    return found.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(families, lambda x: x != license_scan.UNKNOWN))), ",").alias("families"),
+                        F.size("licences").alias("n_paragraphs"), F.size(F.filter(families, lambda x: x == license_scan.UNKNOWN)).alias("n_unknown"),
+                        F.array_max(F.transform("licences", lambda x: x["probability"])).alias("top_probability"))
