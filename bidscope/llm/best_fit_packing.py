@@ -294,12 +294,12 @@ def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", order_
     table = slots(complete(counts, capacity, nodes))
     places = spark.sparkContext.broadcast(table)  # at most the capacity squared over the shortest length, whatever the input
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = base.withColumn("_bucket", F.pmod(F.xxhash64(*order_by), F.lit(buckets)).cast("int"))
-    before = Window.partitionBy(length_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(length_col, "_bucket").count().select(length_col, "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(length_col, "_bucket").orderBy(*order_by)
-    ranked = (keyed.withColumn("_at", F.row_number().over(within)).join(starts, [length_col, "_bucket"])
-              .withColumn("_rank", F.col("_start") + F.col("_at") - 1).select(*base.columns, "_rank"))
+    keyed = base.withColumn("__bucket", F.pmod(F.xxhash64(*order_by), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy(length_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(length_col, "__bucket").count().select(length_col, "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy(length_col, "__bucket").orderBy(*order_by)
+    ranked = (keyed.withColumn("__at", F.row_number().over(within)).join(starts, [length_col, "__bucket"])
+              .withColumn("__rank", F.col("__start") + F.col("__at") - 1).select(*base.columns, "__rank"))
 
     columns = base.columns
 
@@ -307,7 +307,7 @@ def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", order_
         t = places.value
         keys = (t[:, 0] << 44) + t[:, 1]
         for b in batches:
-            n, rank = b.column(length_col).to_numpy().astype(np.int64), b.column("_rank").to_numpy()
+            n, rank = b.column(length_col).to_numpy().astype(np.int64), b.column("__rank").to_numpy()
             at = t[np.searchsorted(keys, (n << 44) + rank, side="right") - 1]
             k = rank - at[:, 1]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(at[:, 3] + k // at[:, 2]), pa.array(at[:, 4] + k % at[:, 2] * n)],

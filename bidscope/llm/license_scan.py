@@ -140,7 +140,7 @@ def training_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     filler = sample.select(F.explode("w").alias("x")).distinct().orderBy(F.xxhash64("x"), "x").limit(2048).agg(F.sort_array(F.collect_list("x")).alias("fill"))
     variants = base.crossJoin(spark.range(VARIANTS).select(F.col("id").alias("variant"))).crossJoin(F.broadcast(filler))  # a few hundred rows, one row
     spoken = F.regexp_replace("text", r"\?", "zzfill")
-    pick = lambda i: F.element_at("fill", (F.pmod(F.xxhash64("family", "notice", "variant", i), F.size("fill")) + 1).cast("int"))
+    pick = lambda i: F.get("fill", F.pmod(F.xxhash64("family", "notice", "variant", i), F.greatest(F.size("fill"), F.lit(1))).cast("int"))
     filled = F.transform(words(spoken), lambda x, i: F.when((x == "zzfill") & (F.size("fill") > 0), pick(i)).otherwise(x))
     dropped = F.filter("filled", lambda x, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64("family", "notice", "variant", i, F.lit("drop")), F.lit(10)) > 0))
     noisy = variants.withColumn("filled", filled).select("family", grams(dropped).alias("grams"), (F.col("variant") >= VARIANTS - HELD_OUT).alias("held_out"))

@@ -24,13 +24,13 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(df: DataFrame, host_col: str, text_col: str, ratio: float, min_pages: int) -> DataFrame:
-    """Rows ``(_host, _lines)``: the hashes of each host's boilerplate lines."""
-    pages = df.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
-    totals = pages.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
+    """Rows ``(__host, __lines)``: the hashes of each host's boilerplate lines."""
+    pages = df.select(F.col(host_col).alias("__host"), F.col(text_col).alias("_text"))
+    totals = pages.groupBy("__host").agg(F.count(F.lit(1)).alias("_pages"))
     keys = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), line_key))
-    lines = pages.select("_host", F.explode(keys).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    found = lines.alias("l").join(totals.alias("t"), F.col("l._host").eqNullSafe(F.col("t._host"))).where(F.col("_n") / F.col("_pages") > ratio)
-    return found.groupBy(F.col("l._host").alias("_host")).agg(F.sort_array(F.collect_list("_line")).alias("_lines"))
+    lines = pages.select("__host", F.explode(keys).alias("_line")).groupBy("__host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
+    found = lines.alias("l").join(totals.alias("t"), F.col("l.__host").eqNullSafe(F.col("t.__host"))).where(F.col("_n") / F.col("_pages") > ratio)
+    return found.groupBy(F.col("l.__host").alias("__host")).agg(F.sort_array(F.collect_list("_line")).alias("__lines"))
 
 
 def dedup_lines(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -43,13 +43,13 @@ def dedup_lines(df: DataFrame, host_col: str = "source", text_col: str = "text",
     """
     base = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in ("n_lines", "n_dropped")))
     found = stored(boilerplate(base, host_col, text_col, ratio, min_pages), "boilerplate")
-    both = base.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col("_host")), "left")
+    both = base.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left")
     lines = F.split(F.col(f"`{text_col}`"), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_lines"), line_key(x)))
-    both = both.withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__lines"), line_key(x)))
+    both = both.withColumn("__kept", F.when(F.col("__lines").isNotNull(), kept))
     n = F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines))
-    out = [F.coalesce(F.array_join("_kept", "\n"), F.col(f"`{text_col}`")).alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in base.columns]
-    return both.select(*out, n.cast("long").alias("n_lines"), F.when(F.col("_kept").isNotNull(), n - F.size("_kept")).otherwise(0).cast("long").alias("n_dropped"))
+    out = [F.coalesce(F.array_join("__kept", "\n"), F.col(f"`{text_col}`")).alias(c) if c.lower() == text_col.lower() else F.col(f"`{c}`") for c in base.columns]
+    return both.select(*out, n.cast("long").alias("n_lines"), F.when(F.col("__kept").isNotNull(), n - F.size("__kept")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def sql(table: str = "documents", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> str:

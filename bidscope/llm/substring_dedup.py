@@ -320,20 +320,20 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 1:
         raise ValueError("window must be positive")
     ranges = repeated_ranges(df, id_col, text_col, window)
-    by_doc = (ranges.groupBy("id", "text_hash").agg(F.flatten(F.collect_list(F.array("first", F.col("n").cast("long")))).alias("_ranges"))
-              .select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), "_ranges"))
+    by_doc = (ranges.groupBy("id", "text_hash").agg(F.flatten(F.collect_list(F.array("first", F.col("n").cast("long")))).alias("__ranges"))
+              .select(F.col("id").alias("__doc"), F.col("text_hash").alias("__text_hash"), "__ranges"))
     by_doc = stored(by_doc, "ranges")
     release(df.sparkSession)
     new = ("n_words", "n_removed", "kept_words", "kept_text")
     base = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in new))
-    both = base.join(by_doc, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_text_hash")), "left").drop("_id", "_text_hash")
+    both = base.join(by_doc, (F.col(f"`{id_col}`") == F.col("__doc")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text_hash")), "left").drop("__doc", "__text_hash")
 
     def make():
         def work(b):
-            out = [keep_words(t, r, window) for t, r in zip(b.column(text_col).to_pylist(), b.column("_ranges").to_pylist())]
+            out = [keep_words(t, r, window) for t, r in zip(b.column(text_col).to_pylist(), b.column("__ranges").to_pylist())]
             return [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))]
 
         return work
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("kept_text", T.StringType())]
-    return add_columns(both, fields, make).drop("_ranges")
+    return add_columns(both, fields, make).drop("__ranges")

@@ -24,8 +24,8 @@ def _with_text(df: DataFrame, docs: DataFrame, text) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts (score 0.3 or more). The model learns from the labelled documents."""
     model = quality_gam.fit_quality(docs, table(spark, sf_dir, "labels"), label_col="quality")
-    scored = quality_gam.add_scores(docs.withColumn("_text", F.col("text")), model, text_col="_text", out_col="_score")
-    return scored.where(F.col("_score") >= quality_gam.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
+    scored = quality_gam.add_scores(docs.withColumn("__text", F.col("text")), model, text_col="__text", out_col="__score")
+    return scored.where(F.col("__score") >= quality_gam.THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +38,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each SimHash group (4-word shingles, 4 bits): the one with the smallest id. Of rows that repeat its id
     one stays; rows without an id stay."""
     found = simhash_join.simhash_components(docs, shingle_words=4, max_bits=4)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
     first = stored(first, "kept")
-    kept = docs.join(first, docs.doc_id == first._keep, "left_semi")
+    kept = docs.join(first, docs.doc_id == first["__keep"], "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 
