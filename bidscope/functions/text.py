@@ -41,14 +41,16 @@ def _strip_punct(c) -> Column:
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)[^\w\s]", "")
 
 
-def property_slug(title, location, size, address=None, max_len: int = 150) -> Column:
-    """Punctuation stripped, parts joined by '_', whitespace runs -> '_', lowercase, cut at max_len;
-    empty -> 'property'. The replay uses 150 with the address, the dedup 120 without it."""
+def property_slug(title, location, size, address=None, max_len: int | None = 150) -> Column:
+    """Punctuation stripped, parts joined by '_', whitespace runs -> '_', lowercase, cut at max_len (None: whole);
+    'property' where it is empty and, in the form without address, where all parts are blank. The replay shows 150
+    characters with the address, the dedup 120 without it; keys use the whole slug."""
     parts = [_strip_punct(title), _strip_punct(location), _strip_punct(size)]
     if address is not None:
         parts.append(_strip_punct(address))
     base = F.lower(F.regexp_replace(pystrip(F.concat_ws("_", *parts)), r"(?U)\s+", "_"))
-    return F.when(base == "", F.lit("property")).otherwise(F.substring(base, 1, max_len))
+    empty = base == "" if address is not None else base.isin("", "__")
+    return F.when(empty, F.lit("property")).otherwise(base if max_len is None else F.substring(base, 1, max_len))
 
 
 def observation_hash(title, price, auction_date, location, size) -> Column:

@@ -132,22 +132,24 @@ def card_html(pk, title, hs, hf, lid, price, ad, size, loc, disc):
     )
 
 
-def card_pages(obs: DataFrame, scan) -> DataFrame:
-    """(page_id, url, html) for the observations of one scan. Cards follow the scan order; each page ends
+def card_pages(obs: DataFrame) -> DataFrame:
+    """(scan_date, page_id, url, html): the result pages of every scan. Cards follow the scan order; each page ends
     with a repeat of its first card and two cards the finder must ignore (no price; no date)."""
     from ..operators.sequence import dense_index
 
-    one = obs.filter(F.col("scan_date") == F.lit(scan))
-    r = dense_index(one, ["obs_seq"], "_rank")
+    r = dense_index(obs, ["scan_date", "obs_seq"], "_gidx")
+    scans = obs.groupBy("scan_date").agg(F.count(F.lit(1)).alias("_n"))
+    base = r.groupBy("scan_date").agg(F.min("_gidx").alias("_first"))
+    r = r.join(base, "scan_date").withColumn("_rank", F.col("_gidx") - F.col("_first"))
     r = r.select(
-        ((F.col("_rank") - 1) / CARDS_PER_PAGE).cast("int").alias("page0"),
-        ((F.col("_rank") - 1) % CARDS_PER_PAGE).alias("pos"),
+        "scan_date",
+        (F.col("_rank") / CARDS_PER_PAGE).cast("int").alias("page0"),
+        (F.col("_rank") % CARDS_PER_PAGE).alias("pos"),
         card_html(F.col("p_partkey"), F.col("title"), F.col("header_short"), F.col("header_full"), F.col("listing_id"),
                   F.col("price"), F.col("auction_date"), F.col("size"), F.col("location"), F.col("discount")).alias("card"),
     )
-    n_pages = r.agg(F.max("page0").alias("m")).first()["m"]
-    n_pages = 0 if n_pages is None else n_pages + 1
-    pages = r.groupBy("page0").agg(F.sort_array(F.collect_list(F.struct("pos", "card"))).alias("cards"))
+    pages = r.groupBy("scan_date", "page0").agg(F.sort_array(F.collect_list(F.struct("pos", "card"))).alias("cards"))
+    pages = pages.join(scans.select("scan_date", F.ceil(F.col("_n") / CARDS_PER_PAGE).cast("string").alias("n_pages")), "scan_date")
     noise = F.concat(
         F.element_at(F.col("cards"), 1)["card"],
         F.lit('<div class="col"><div class="card">\n<a class="stretched-link" href="/property/zz/0">No price</a>\n'
@@ -155,24 +157,21 @@ def card_pages(obs: DataFrame, scan) -> DataFrame:
         F.lit('<div class="col"><div class="card">\n<a class="stretched-link" href="/property/zz/1">No date</a>\n'
               '<span>RM120,000</span>\n</div></div>\n'),
     )
-    nav = "".join(f'<a href="?page={i}">{i}</a>' for i in (1, 2)) + f'<a href="?page={n_pages}">Last</a>'
+    nav = F.concat(F.lit("".join(f'<a href="?page={i}">{i}</a>' for i in (1, 2)) + '<a href="?page='), F.col("n_pages"), F.lit('">Last</a>'))
     html = F.concat(
         F.lit("<html><head><title>Auction results</title></head><body><p>Result(s): "),
-        F.lit(f"{n_pages * CARDS_PER_PAGE:,}"), F.lit('</p>\n<div class="row">\n'),
+        F.format_number(F.col("n_pages").cast("long") * CARDS_PER_PAGE, 0), F.lit('</p>\n<div class="row">\n'),
         F.array_join(F.transform("cards", lambda c: c["card"]), ""), noise,
-        F.lit("</div>\n<nav>" + nav + "</nav></body></html>"),
-    )
-    return pages.select(
-        (F.col("page0") + 1).cast("long").alias("page_id"),
-        F.concat(F.lit(FIXTURE_BASE + "?page="), (F.col("page0") + 1).cast("string")).alias("url"),
-        html.alias("html"),
+        F.lit("</div>\n<nav>"), nav, F.lit("</nav></body></html>"),
     )
+    number = (F.col("page0") + 1).cast("long")
+    return pages.select("scan_date", number.alias("page_id"), F.concat(F.lit(FIXTURE_BASE + "?page="), number.cast("string")).alias("url"), html.alias("html"))
 
 
-def detail_pages(obs: DataFrame, scan) -> DataFrame:
-    """(listing_url, html) detail pages for the sentinel-size cards of one scan: a labelled size, an
-    unlabelled size or no size, by p_partkey % 3."""
-    one = obs.filter((F.col("scan_date") == F.lit(scan)) & (F.col("size") == "Size not specified")).select(
+def detail_pages(obs: DataFrame) -> DataFrame:
+    """(listing_url, html) detail pages for the sentinel-size cards: a labelled size, an unlabelled size or no
+    size, by p_partkey % 3."""
+    one = obs.filter(F.col("size") == "Size not specified").select(
         "p_partkey", "listing_id").distinct()
     n = F.format_number((F.lit(1000) + F.col("p_partkey") % 500).cast("double"), 0)
     body = (F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("<li>Built Up : "), n, F.lit(" sq.ft</li>")))
