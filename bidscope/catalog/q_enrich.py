@@ -10,6 +10,7 @@ from ..operators import enrich as EN
 from ..operators import filters as FL
 from ..operators import predicates as P
 from ..operators import rank as R
+from ..plans.dedup import rank_within
 from . import context as C
 from .registry import register
 from .sqlviews import register_published, sql_is_expired, view
@@ -161,16 +162,19 @@ def i6_scheme_answers(spark, sf_dir):
     return EN.apply_scheme_responses(numbered, batches, C.scheme_responses(batches))
 
 
+ANSWER_ROWS = 10
+
+
 def _market_answers(spark, sf_dir):
-    """One answer text per scheme of the published listings: the scheme's active listings as sale listings
-    and its expired ones as rentals (fixture stand-in for the model's answers), fenced for every other
-    scheme and preceded by a sentence for every third one."""
+    """Answer texts for all listings of each scheme, ANSWER_ROWS listings an answer: active listings as sale listings
+    and expired ones as rentals (fixture stand-in for the model's answers), fenced for every other scheme and
+    preceded by a sentence for every third one."""
     pub = C.published(spark, sf_dir).filter(F.col("scheme_name") != "")
     item = F.struct(F.col("title"), F.col("price"), F.lit(None).cast("string").alias("psf"), F.col("size"),
                     F.lit(None).cast("string").alias("beds"), F.col("image_url").alias("image"), F.col("listing_url").alias("url"))
-    # one group per scheme holds at most 5 rows of each kind (top-k per key before collecting)
-    ranked = R.top_k_per_key(pub, ["scheme_name", "is_expired"], [F.col("arrival").asc()], 5)
-    g = ranked.groupBy("scheme_name").agg(
+    ranked = rank_within(pub, "scheme_name", ["arrival"], "rank")
+    number = F.floor((F.col("rank") - 1) / ANSWER_ROWS).cast("string")
+    g = ranked.groupBy("scheme_name", F.concat(F.col("scheme_name"), F.lit("#"), number).alias("answer_id")).agg(
         F.sort_array(F.collect_list(F.when(~F.col("is_expired"), F.struct(F.col("rank"), item.alias("i"))))).alias("s"),
         F.sort_array(F.collect_list(F.when(F.col("is_expired"), F.struct(F.col("rank"), item.alias("i"))))).alias("r"),
         F.count(F.lit(1)).alias("n"))
@@ -180,14 +184,15 @@ def _market_answers(spark, sf_dir):
     k = F.abs(F.xxhash64("scheme_name"))
     text = (F.when(k % 3 == 0, F.concat(F.lit("Here is the data: "), doc, F.lit(" Thanks.")))
             .when(k % 2 == 0, F.concat(F.lit("```json\n"), doc, F.lit("\n```"))).otherwise(doc))
-    return g.select(F.col("scheme_name").alias("answer_id"), text.alias("answer_text"))
+    return g.select("answer_id", text.alias("answer_text"))
 
 
 @register("i7_market_listings", "I7", views=("published",), sql="""
-SELECT scheme_name AS answer_id, CASE WHEN is_expired THEN 'rental' ELSE 'sale' END AS kind, rank AS pos,
+SELECT answer_id, CASE WHEN is_expired THEN 'rental' ELSE 'sale' END AS kind,
+       row_number() OVER (PARTITION BY answer_id, is_expired ORDER BY arrival) AS pos,
        title, price, CAST(NULL AS VARCHAR) AS psf, size, CAST(NULL AS VARCHAR) AS beds, image_url AS image, listing_url AS url
-FROM (SELECT *, row_number() OVER (PARTITION BY scheme_name, is_expired ORDER BY arrival) AS rank
-      FROM published WHERE scheme_name <> '') t WHERE rank <= 5""")
+FROM (SELECT *, scheme_name || '#' || CAST((row_number() OVER (PARTITION BY scheme_name ORDER BY arrival) - 1) // 10 AS VARCHAR) AS answer_id
+      FROM published WHERE scheme_name <> '') t""")
 def i7_market_listings(spark, sf_dir):
     rows, _ = EN.market_listings(_market_answers(spark, sf_dir))
     return rows.select("answer_id", "kind", F.col("pos").cast("bigint").alias("pos"), "title", "price", "psf", "size", "beds", "image", "url")

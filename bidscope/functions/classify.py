@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ._util import col, pystrip
 
 # Ordered (type, pattern) rules on the lowercased title with bracketed parts removed.
-# The first rule that matches decides; order is the semantics. 'ends with house(s)' and the two
-# 'resid...' rules that require the absence of 'land' are written as patterns with extra conditions below.
+# The first rule that matches decides; order is the semantics. A third field is a word that must be absent.
 TYPE_RULES = (
     ("Landed", r"(semi.?detached|detached)\s*(house|home|plot|lot)"),
     ("Landed", r"bungalow"),
@@ -19,15 +18,15 @@ TYPE_RULES = (
     ("Landed", r"town\s*(house|villa)"),
     ("Landed", r"villa\b"),
     ("Landed", r"\d+\.?\d*\s*storey\s*(semi|detached|cluster|link|zero)"),
-    ("Landed", "@ENDS_WITH_HOUSE"),
+    ("Landed", r"houses?$"),
     ("Landed", r"(detached|semi|terrace|house|bungalow)\s*(plot|lot)\b"),
     ("Landed", r"residential\s*(lot|plot|building|terrace)"),
     ("Landed", r"vacant\s*(semi|detached|residential|terrace)"),
     ("Landed", r"housing\s*(lot|plot|land)"),
     ("High-rise", r"apartment|condominium|condo\b|flat\b|penthouse|service\s+suite"),
     ("High-rise", r"\bsoho\b"),
-    ("High-rise", "@NO_LAND:" + r"residence\b"),
-    ("High-rise", "@NO_LAND:" + r"resid(ential|ence)"),
+    ("High-rise", r"residence\b", "land"),
+    ("High-rise", r"resid(ential|ence)", "land"),
     ("Industrial", r"factory|warehouse|industrial"),
     ("Land", r"\bland\b"),
     ("Land", r"vacant\s*(plot|lot|building)"),
@@ -53,16 +52,12 @@ def type_title_text(title) -> Column:
 
 def categorize_property_type(title) -> Column:
     """One when-chain over the ordered rules; default Commercial."""
-    t = type_title_text(title)
-    t_rstrip = F.regexp_replace(t, r"\s+$", "")
+    t = F.regexp_replace(type_title_text(title), r"\s+$", "")
     expr = None
-    for ptype, pattern in TYPE_RULES:
-        if pattern == "@ENDS_WITH_HOUSE":
-            cond = t_rstrip.endswith("house") | t_rstrip.endswith("houses")
-        elif pattern.startswith("@NO_LAND:"):
-            cond = t.rlike(pattern[len("@NO_LAND:"):]) & ~t.contains("land")
-        else:
-            cond = t.rlike(pattern)
+    for ptype, pattern, *absent in TYPE_RULES:
+        cond = t.rlike(pattern)
+        for word in absent:
+            cond &= ~t.contains(word)
         expr = F.when(cond, F.lit(ptype)) if expr is None else expr.when(cond, F.lit(ptype))
     return expr.otherwise(F.lit(DEFAULT_TYPE))
 

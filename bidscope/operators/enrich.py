@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import extract_postcode, extract_state, resolve_scheme, round_coord
+from ..functions import extract_postcode, extract_state
 from .sequence import dense_index
 
 # Default map centre and geocode qualities.
@@ -27,7 +27,7 @@ def geocode_by_gazetteer(addresses: DataFrame, gazetteer: DataFrame) -> DataFram
     """Full address -> 'postcode, state' -> state -> default centre, with the quality reached.
     ``gazetteer`` is (kind, key, lat, lng) with kind in full / postcode / state; each kind is reduced to one
     row per key before its left join, so no join fans out."""
-    g = gazetteer.groupBy("kind", "key").agg(F.first("lat").alias("lat"), F.first("lng").alias("lng"))
+    g = gazetteer.groupBy("kind", "key").agg(F.min(F.struct("lat", "lng")).alias("_p")).select("kind", "key", "_p.lat", "_p.lng")
     full = g.filter(F.col("kind") == "full").select(F.col("key").alias("_fk"), F.col("lat").alias("_flat"), F.col("lng").alias("_flng"))
     pc = g.filter(F.col("kind") == "postcode").select(F.col("key").alias("_pk"), F.col("lat").alias("_plat"), F.col("lng").alias("_plng"))
     st = g.filter(F.col("kind") == "state").select(F.col("key").alias("_sk"), F.col("lat").alias("_slat"), F.col("lng").alias("_slng"))
@@ -44,22 +44,6 @@ def geocode_by_gazetteer(addresses: DataFrame, gazetteer: DataFrame) -> DataFram
     return a.select("address", lat.alias("lat"), lng.alias("lng"), q.alias("q"))
 
 
-def attach_geocode(df: DataFrame, cache: DataFrame, address_col: str = "header_full") -> DataFrame:
-    """Left join on the trimmed address; quality 'default' gives no coordinates; rounded to 5 decimals."""
-    c = cache.select(F.col("address").alias("_ga"), "lat", "lng", "q")
-    j = df.join(c, F.trim(F.coalesce(F.col(address_col), F.lit(""))) == c["_ga"], "left")
-    ok = F.col("q").isNotNull() & (F.col("q") != "default")
-    return j.withColumn("lat", F.when(ok, round_coord("lat"))).withColumn("lng", F.when(ok, round_coord("lng"))).drop("_ga", "q")
-
-
-def attach_scheme(df: DataFrame, cache: DataFrame, address_col: str = "header_full") -> DataFrame:
-    """Left join on the address, then B21 (cache -> stored -> short header -> address)."""
-    c = cache.select(F.col("address").alias("_sa"), F.col("scheme").alias("_cached"))
-    j = df.join(c, F.trim(F.coalesce(F.col(address_col), F.lit(""))) == c["_sa"], "left")
-    stored = F.col("scheme_name") if "scheme_name" in df.columns else F.lit(None).cast("string")
-    return j.withColumn("scheme_name", resolve_scheme("_cached", stored, "header_short", address_col, "title")).drop("_sa", "_cached")
-
-
 def geocode_quality(cache: DataFrame) -> DataFrame:
     """Cache entries per quality."""
     return cache.groupBy("q").agg(F.count(F.lit(1)).alias("n"))

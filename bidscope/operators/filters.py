@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROW_LIMIT
 
 # Type keywords and the type each stands for.
 FILTER_TYPE_WORDS = {
@@ -126,8 +125,7 @@ def parsed_filters(saved: DataFrame) -> DataFrame:
 SALT = 32
 
 
-def match_saved_filters(filters: DataFrame, listings: DataFrame, entity: str,
-                        broadcast_limit: int = BROADCAST_ROW_LIMIT) -> tuple[DataFrame, DataFrame]:
+def match_saved_filters(filters: DataFrame, listings: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
     """(count per filter including 0, matching (filter_id, entity) pairs). ``listings`` are the
     deduplicated published rows; only non-expired ones match. Conditions: type equal, price_value within the
     bounds, state substring of the location when no city, city substring of the search text, every keyword
@@ -138,16 +136,14 @@ def match_saved_filters(filters: DataFrame, listings: DataFrame, entity: str,
     # the observed property types are a handful of facet values: untyped filters are expanded to them
     types = [r[0] for r in act.select("property_type").distinct().collect()]
     typed = filters.filter(F.col("type").isNotNull()).select("*", F.col("type").alias("_t"))
-    type_arr = F.array(*[F.lit(t) for t in types]) if types else F.array().cast("array<string>")
+    type_arr = F.array(*[F.lit(t).cast("string") for t in types]) if types else F.array().cast("array<string>")
     untyped = filters.filter(F.col("type").isNull()).select("*", F.explode(type_arr).alias("_t"))
     expanded = typed.unionByName(untyped)
-    n_filters = expanded.count()
-    if n_filters <= broadcast_limit:
-        pairs = act.join(F.broadcast(expanded), act["property_type"] == expanded["_t"])
-    else:
-        salted = act.withColumn("_salt", F.pmod(F.xxhash64(F.col(entity)), F.lit(SALT)))
-        rep = expanded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        pairs = salted.join(rep, (salted["property_type"] == rep["_t"]) & (salted["_salt"] == rep["_salt"]))
+    # one plan for all sizes: listings of a type are spread over SALT parts and each filter goes to all parts; Spark
+    # broadcasts the filters instead where they are under its own size threshold
+    salted = act.withColumn("_salt", F.pmod(F.xxhash64(F.col(entity)), F.lit(SALT)).cast("int"))
+    rep = expanded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    pairs = salted.join(rep, salted["property_type"].eqNullSafe(rep["_t"]) & (salted["_salt"] == rep["_salt"]))
     pv = F.coalesce(F.col("price_value"), F.lit(0))
     cond = (
         (F.col("min_price").isNull() | (F.col("min_price") == 0) | (pv >= F.col("min_price")))

@@ -186,16 +186,22 @@ def rank_within(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
 
 
 def unique_slug(groups: DataFrame, slug_col: str = "_slug") -> DataFrame:
-    """the first group (in output order) keeps its slug; later ones get '_2', '_3', ... A second pass
-    adds one more suffix where a generated name equals another group's name (Q9)."""
+    """every group gets the first free name of its slug, slug_2, slug_3, ..., earlier groups (output order) first.
+
+    The n-th group of a slug cannot get a name before the n-th, so all start there. Then, round by round, of the groups
+    that want one name the earliest keeps it and the others move to their next name, until no two want the same. The
+    result is that of serving the groups one after the other; a round is one aggregate by name and a join.
+    """
     g = rank_within(groups, slug_col, ["group_order"], "_n")
-    g = g.withColumn("slug", F.when(F.col("_n") == 1, F.col(slug_col)).otherwise(F.concat(F.col(slug_col), F.lit("_"), F.col("_n").cast("string"))))
-    # the second pass is needed only when a generated name equals another name (one cheap aggregate decides)
-    if g.groupBy("slug").count().filter(F.col("count") > 1).limit(1).count() == 0:
-        return g.drop("_n", slug_col)
-    g = rank_within(g, "slug", ["_n", "group_order"], "_n2")
-    g = g.withColumn("slug", F.when(F.col("_n2") == 1, F.col("slug")).otherwise(F.concat(F.col("slug"), F.lit("_"), F.col("_n2").cast("string"))))
-    return g.drop("_n", "_n2", slug_col)
+    name = F.when(F.col("_n") == 1, F.col(slug_col)).otherwise(F.concat(F.col(slug_col), F.lit("_"), F.col("_n").cast("string")))
+    g = cut_lineage(g.withColumn("slug", name))
+    while True:
+        wanted = g.groupBy("slug").agg(F.min("group_order").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
+        if not wanted.limit(1).count():
+            return g.drop("_n", slug_col)
+        gives_way = F.coalesce(F.col("group_order") != F.col("_first"), F.lit(False))
+        moved = g.join(wanted, "slug", "left").withColumn("_n", F.col("_n") + gives_way.cast("int")).drop("_first", "slug")
+        g = cut_lineage(moved.withColumn("slug", name))
 
 
 def dedup_report(entries: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:

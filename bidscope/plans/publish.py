@@ -31,6 +31,12 @@ def display_price(price, pv, last_valid_ph_price) -> tuple:
     return p, v
 
 
+def one_per_address(cache: DataFrame, *cols: str) -> DataFrame:
+    """A cache keyed by trimmed address, one row per address (of several the smallest), so that joins do not fan out."""
+    row = F.min(F.struct(*cols)).alias("r")
+    return cache.groupBy(F.trim("address").alias("_addr")).agg(row).where("_addr <> ''").select("_addr", "r.*")
+
+
 def publish_listings(obs: DataFrame, state: DataFrame, entity: str, as_of, geocode: DataFrame | None = None,
                      schemes: DataFrame | None = None) -> DataFrame:
     """One compact row per entity (active and expired) with ``is_expired`` (C2), cleaned location (B14),
@@ -55,9 +61,10 @@ def publish_listings(obs: DataFrame, state: DataFrame, entity: str, as_of, geoco
     )
     s = state.join(ph, entity, "left").join(hist, entity, "left")
     addr_key = F.trim(F.coalesce(F.col("header_full"), F.lit("")))
-    s = s.withColumn("_addr", addr_key)
+    # a listing without address gets a key of its own: such rows spread out and match nothing
+    s = s.withColumn("_addr", F.coalesce(F.nullif(addr_key, F.lit("")), F.concat(F.lit("\u0002"), F.col(entity).cast("string"))))
     if geocode is not None:
-        g = geocode.select(F.col("address").alias("_addr"), "lat", "lng", "q")
+        g = one_per_address(geocode, "lat", "lng", "q")
         s = s.join(g, "_addr", "left")
         lat = F.when(F.col("q") != "default", round_coord("lat"))
         lng = F.when(F.col("q") != "default", round_coord("lng"))
@@ -65,7 +72,7 @@ def publish_listings(obs: DataFrame, state: DataFrame, entity: str, as_of, geoco
         lat = F.lit(None).cast("double")
         lng = F.lit(None).cast("double")
     if schemes is not None:
-        sc = schemes.select(F.col("address").alias("_addr"), F.col("scheme").alias("_cached_scheme"))
+        sc = one_per_address(schemes, "scheme").withColumnRenamed("scheme", "_cached_scheme")
         s = s.join(sc, "_addr", "left")
         cached = F.col("_cached_scheme")
     else:

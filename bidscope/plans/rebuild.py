@@ -164,14 +164,14 @@ def scan_digest(obs: DataFrame, state: DataFrame, entity: str, scan, k: int = 5)
     return new_cards.unionByName(ch_cards).unionByName(counts)
 
 
-def rebuild_entities(obs: DataFrame, id_guard: str = "size") -> dict:
+def rebuild_entities(obs: DataFrame) -> dict:
     """The rebuild of one history: observations -> entities (D4) -> current state (F4) -> change rows (F2)
     -> scan log (A4), all keyed by the resolved ``entity_id``. Returns the four DataFrames by name."""
     from ..operators.history import current_state
     from ..operators.resolve import resolve_entities
     from ..session import cut_lineage
 
-    labelled = cut_lineage(resolve_entities(obs, id_guard))  # read by every later step
+    labelled = cut_lineage(resolve_entities(obs))  # read by every later step
     return {
         "labelled": labelled,
         "state": current_state(labelled, "entity_id"),

@@ -8,11 +8,6 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Upper bound (rows) for explicitly broadcasting a table whose size is only known at runtime (checked with a
-# count first, e.g. the saved filters of D12). Anything larger goes through a shuffled join.
-BROADCAST_ROW_LIMIT = 200_000
 
 
 def get_spark(app: str = "bidscope", master: str | None = None, shuffle_partitions: int | None = None,

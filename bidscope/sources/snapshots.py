@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,22 +62,25 @@ def write_snapshot_json(obs: DataFrame, path: str, raw_id_col: str = "raw_id", r
 
 def read_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A1: read every snapshot document with a declared schema (PERMISSIVE: unreadable documents become
-    rows with only _corrupt_record and are skipped), one row per listing with scan_date and raw_id.
+    rows with only _corrupt_record and are skipped), one row per listing with scan_date, its position in the document and raw_id.
     ``multi_line`` reads pretty-printed documents (one per file, the reference's files); False reads one
     document per line. Order comes from the scan date (documents are named by date in the reference)."""
     raw = (spark.read.schema(SNAPSHOT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
            .option("multiLine", multi_line).option("recursiveFileLookup", True).json(path))
     ok = raw.filter(F.col("_corrupt_record").isNull() & F.col("scan_date").isNotNull())
     ex = ok.select(F.to_date(F.substring("scan_date", 1, 10)).alias("scan_date"),
-                   F.explode("properties").alias("raw_id", "p"))
-    return ex.select("scan_date", "raw_id", "p.*")
+                   F.posexplode("properties").alias("position", "raw_id", "p"))
+    return ex.select("scan_date", "position", "raw_id", "p.*")
 
 
 def read_properties(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A3: the state table; a missing table reads as empty with the declared schema."""
+    """A3: the state table; a missing table reads as empty with the declared schema. Any other failure (no access, an
+    unknown file system) is raised: an outage must not look like an empty state."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # noqa: BLE001 - missing path
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -2,10 +2,10 @@
 
 import pytest
 
-import __spark_entry__ as E
+from bidscope.catalog import all_entries
 from conftest import SF001
 
-QUERIES = E.queries()
+QUERIES = {name: e.fn for name, e in all_entries().items()}
 
 
 def _plan(df) -> str:
@@ -50,6 +50,6 @@ def test_resolver_keys_are_null_for_blank_values(spark):
     from pyspark.sql import functions as F
     from bidscope.operators.resolve import with_match_keys
 
-    df = spark.createDataFrame([("", "", "T", "KL", "")], "listing_id string, header_full string, title string, location string, size string")
-    r = with_match_keys(df).first()
+    df = spark.createDataFrame([("", "", "T", "KL", "", 1)], "listing_id string, header_full string, title string, location string, size string, obs_seq long")
+    r = with_match_keys(df.withColumn("scan_date", F.to_date(F.lit("2001-01-01")))).first()
     assert r["id_key"] is None and r["as_key"] is None and r["sk"] == "t|kl||"
