@@ -14,7 +14,9 @@ counts by bucket, so no length is gathered in one task.
 from __future__ import annotations
 
 import bisect
+import json
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -28,15 +30,34 @@ from .common import bound_batches, stored
 #: Nodes of the search over all dives, and fillings tried at a node.
 NODES = 5_000
 BRANCHES = 4
-CHUNK_ENTRIES = 300_000
-_NEAR_SPACE = re.compile(r" \s|\s ")
+_OTHER = re.compile("[^\x00-\u024f]")
+# Fixed value: the split pattern of byte-level tokenizers that use their own.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def latin_encoder(path: str):
+    """``tiktoken``'s encoder of the file's vocabulary, or None where ids are not merge ranks or the split is another."""
+    import tiktoken
+
+    from .bpe_automaton import byte_symbols
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split, model = spec["pre_tokenizer"], spec["model"]
+    vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    plain = split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not spec["normalizer"]
+    if not plain or len(vocab) != 256 + len(merges) or any(vocab[a + b] != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    byte_of = {s: b for b, s in enumerate(byte_symbols())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+    return tiktoken.Encoding("latin", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE tokenizer file by the ``tokenizers`` library.
+    """Ids of a byte-level BPE tokenizer file, those that the ``tokenizers`` library gives.
 
-    A space between two characters that are not white space always starts a word of the split pattern, so the stretches
-    between such spaces are encoded once and remembered. Texts with special tokens or other spaces go to the library whole.
+    Latin texts go to ``tiktoken`` with the same ranks where the file's ids are merge ranks: the same algorithm, several times
+    as fast. Other texts, and texts with special tokens, go to the library itself.
     """
 
     def __init__(self, path: str):
@@ -44,27 +65,12 @@ class ByteBpe:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self._known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self._latin = latin_encoder(path)
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _NEAR_SPACE.search(text) or text[0] == " " or text[-1] == " " or any(s in text for s in self.special):
-            return self._ids([text])[0]
-        head, *chunks = text.split(" ")
-        known = self._known
-        try:
-            body = b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > CHUNK_ENTRIES:
-                known.clear()
-            new = list({c for c in chunks if c not in known})
-            known.update(zip(new, self._ids([" " + c for c in new])))
-            body = b"".join([known[c] for c in chunks])
-        return self._ids([head])[0] + body
+        if self._latin is None or _OTHER.search(text) or any(s in text for s in self.special):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self._latin.encode_ordinary(text)).tobytes()
 
 
 _CODERS: dict[str, ByteBpe] = {}
