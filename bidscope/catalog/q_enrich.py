@@ -11,6 +11,7 @@ from ..operators import filters as FL
 from ..operators import predicates as P
 from ..operators import rank as R
 from ..plans.dedup import rank_within
+from ..session import stored
 from . import context as C
 from .registry import register
 from .sqlviews import register_published, sql_is_expired, view
@@ -144,7 +145,7 @@ def i5_scheme_batches(spark, sf_dir):
     return batches
 
 
-@register("i6_scheme_answers", "I6", views=("scheme_batches", "scheme_num"), sql="""
+_ANSWERS_SQL = """
 WITH r AS (
   SELECT batch_id, n_titles, regexp_split_to_array(request_text, '\\n') AS lines FROM scheme_batches),
 names AS (
@@ -156,12 +157,26 @@ resp AS (
   SELECT batch_id, n_titles, CASE WHEN batch_id % 5 = 4 THEN nm[1:len(nm) - 1] ELSE nm END AS arr FROM names),
 ok AS (SELECT batch_id, unnest(arr) AS v, generate_subscripts(arr, 1) AS pos FROM resp WHERE len(arr) = n_titles)
 SELECT n.address, CASE WHEN ok.v IS NOT NULL AND ok.v <> 'NONE' THEN ok.v ELSE '' END AS scheme
-FROM scheme_num n LEFT JOIN ok ON ok.batch_id = n.batch_id AND ok.pos = n.pos""")
+FROM scheme_num n LEFT JOIN ok ON ok.batch_id = n.batch_id AND ok.pos = n.pos"""
+
+
+@register("i6_scheme_answers", "I6", views=("scheme_batches", "scheme_num"), sql=_ANSWERS_SQL)
 def i6_scheme_answers(spark, sf_dir):
     numbered, batches = _scheme_batches(spark, sf_dir)
     return EN.apply_scheme_responses(numbered, batches, C.scheme_responses(batches))
 
 
+@register("i6_cache_write_back", "I6, D7", views=("scheme_batches", "scheme_num", "scheme_cache_v"), sql=f"""
+SELECT address, scheme FROM scheme_cache_v
+UNION ALL
+SELECT address, scheme FROM ({_ANSWERS_SQL}) a WHERE address NOT IN (SELECT address FROM scheme_cache_v)""")
+def i6_cache_write_back(spark, sf_dir):
+    """The cache as it is after a run of requests, written and read back."""
+    numbered, batches = _scheme_batches(spark, sf_dir)
+    answers = EN.apply_scheme_responses(numbered, batches, C.scheme_responses(batches))
+    return stored(EN.merge_cache(C.scheme_cache(spark, sf_dir), answers), "scheme_cache")
+
+
 ANSWER_ROWS = 10
 
 

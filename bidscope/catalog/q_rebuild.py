@@ -57,6 +57,23 @@ def a4_scan_log(spark, sf_dir):
                                              "change_count", "listings_seen")
 
 
+@register("a4_scan_log_records", "A4, A7, D5, F2", views=("obsn", "state"), sql=_with() + """
+SELECT r.scan_date, r.kind, r.p_partkey, r.type, r.field, r.old_value, r.new_value, r.change_date, s.title FROM (
+  SELECT fs AS scan_date, 'new' AS kind, p_partkey, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS field,
+         CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value, CAST(NULL AS VARCHAR) AS change_date
+  FROM (SELECT p_partkey, min(scan_date) AS fs FROM obsn GROUP BY 1) x
+  UNION ALL
+  SELECT scan_date, 'change', p_partkey, type, CASE WHEN type = 'price_change' THEN 'Auction Price' ELSE 'Auction Date' END,
+         old_value, new_value, CAST(change_date AS VARCHAR) FROM changes) r
+LEFT JOIN state s ON s.p_partkey = r.p_partkey""")
+def a4_scan_log_records(spark, sf_dir):
+    from ..sources.snapshots import read_scan_log, scratch_path, write_scan_log
+
+    path = scratch_path(spark, "scan-records")
+    write_scan_log(RB.scan_records(C.obsn(spark, sf_dir), C.state(spark, sf_dir), E), path)
+    return read_scan_log(spark, path).select("scan_date", "kind", E, "type", "field", "old_value", "new_value", "change_date", "title")
+
+
 @register("e10_change_summary", "E10", views=("obsn",), sql=_with() + "SELECT scan_date, type, count(*) AS n FROM changes GROUP BY 1, 2")
 def e10_change_summary(spark, sf_dir):
     return RB.change_summary(C.obsn(spark, sf_dir), E)

@@ -57,6 +57,15 @@ def latest_scan_date(obs: DataFrame):
     return obs.agg(F.max("scan_date").alias("d")).first()["d"]
 
 
+def scan_records(obs: DataFrame, state: DataFrame, entity: str) -> DataFrame:
+    """A4, the contents of the log: one row per new entity and per change record of every scan, each with the
+    entity's current title. Long form: a scan with very many changes is many rows, not one array."""
+    none = F.lit(None).cast("string")
+    new = scan_new_entities(obs, entity).select("scan_date", F.lit("new").alias("kind"), entity, *(none.alias(c) for c in ("type", "field", "old_value", "new_value", "change_date")))
+    ch = detect_changes(obs, entity).select("scan_date", F.lit("change").alias("kind"), entity, "type", "field", "old_value", "new_value", F.col("change_date").cast("string").alias("change_date"))
+    return new.unionByName(ch).join(state.select(entity, "title"), entity, "left")
+
+
 def scan_stats(obs: DataFrame, entity: str, scan) -> DataFrame:
     """A5: counters of one scan: listings in the scan, entities tracked up to it, new, changed."""
     upto = obs.filter(F.col("scan_date") <= F.lit(scan))
