@@ -38,10 +38,15 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each SimHash group (4-word shingles, 4 bits): the one with the smallest id. Of rows that repeat its id
     one stays; rows without an id stay."""
     found = simhash_join.simhash_components(docs, shingle_words=4, max_bits=4)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
+    first = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("__keep")).agg(F.count(F.lit(1)).alias("__rows"))
     first = stored(first, "kept")
-    kept = docs.join(first, docs.doc_id == first["__keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+    def rows_of(ids: DataFrame) -> DataFrame:  # the ids are the small side: texts are neither sorted nor held
+        ids = ids.select("__keep").hint("shuffle_hash")
+        return docs.join(ids, docs.doc_id == ids["__keep"], "left_semi")
+
+    repeated = rows_of(first.where("__rows > 1")).dropDuplicates(["doc_id"])
+    return rows_of(first.where("__rows = 1")).unionByName(repeated).unionByName(docs.where("doc_id is null"))
 
 
 def substring_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
