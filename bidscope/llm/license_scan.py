@@ -68,6 +68,8 @@ HELD_OUT = 6
 SAMPLE_DOCS = 400
 SAMPLE_PARAGRAPHS = 4_000
 COMMON_SHARE = 0.01
+#: Words of ordinary text that stand for ``?`` in the open notices.
+FILLER_WORDS = 1_000
 TEMPERATURES = (0.5, 0.7, 1.0, 1.5, 2.0, 3.0)
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.5
@@ -137,11 +139,12 @@ def training_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = sample.withColumn("row", F.monotonically_increasing_id())
     like = marked.where(F.size("w") >= 3).select("row", F.explode(threes).alias("g")).join(known, "g").select("row").distinct()
     plain = marked.join(like, "row", "left_anti").select(F.lit(NONE).alias("family"), grams(F.col("w")).alias("grams"), (F.pmod(F.xxhash64("w"), F.lit(4)) == 0).alias("held_out"))
-    filler = sample.select(F.explode("w").alias("x")).distinct().orderBy(F.xxhash64("x"), "x").limit(2048).agg(F.sort_array(F.collect_list("x")).alias("fill"))
-    variants = base.crossJoin(spark.range(VARIANTS).select(F.col("id").alias("variant"))).crossJoin(F.broadcast(filler))  # a few hundred rows, one row
+    filler = sorted(r.x for r in sample.select(F.explode("w").alias("x")).distinct().orderBy(F.xxhash64("x"), "x").limit(FILLER_WORDS).collect())
+    variants = base.withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
+    fill = F.array(*(F.lit(x) for x in filler)).cast("array<string>")
     spoken = F.regexp_replace("text", r"\?", "zzfill")
-    pick = lambda i: F.get("fill", F.pmod(F.xxhash64("family", "notice", "variant", i), F.greatest(F.size("fill"), F.lit(1))).cast("int"))
-    filled = F.transform(words(spoken), lambda x, i: F.when((x == "zzfill") & (F.size("fill") > 0), pick(i)).otherwise(x))
+    pick = lambda i: F.get(fill, F.pmod(F.xxhash64("family", "notice", "variant", i), F.lit(max(1, len(filler)))).cast("int"))
+    filled = F.transform(words(spoken), lambda x, i: F.when((x == "zzfill") & F.lit(bool(filler)), pick(i)).otherwise(x))
     dropped = F.filter("filled", lambda x, i: (F.col("variant") == 0) | (F.pmod(F.xxhash64("family", "notice", "variant", i, F.lit("drop")), F.lit(10)) > 0))
     noisy = variants.withColumn("filled", filled).select("family", grams(dropped).alias("grams"), (F.col("variant") >= VARIANTS - HELD_OUT).alias("held_out"))
     return plain.unionByName(noisy).where(F.size("grams") > 0)
