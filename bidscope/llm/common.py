@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bidscope.session import checkpoint_dir
+from bidscope.session import checkpoint_dir, ship_package
 
 #: Bytes in one Arrow batch handed to Python: texts can be long, and a worker holds a few copies of a batch.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +30,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads, once what was made of them is stored itself."""
+    for t in tables:
+        folder = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Use Arrow batches of ``BATCH_BYTES`` at most where the session has Spark's default."""
+    """Before Python runs on the executors: send them the package, and use Arrow batches of ``BATCH_BYTES`` at most where
+    the session has Spark's default."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
         spark.conf.set(key, BATCH_BYTES)

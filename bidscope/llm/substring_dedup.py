@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, bound_batches, release, stored
+from .common import add_columns, bound_batches, discard, release, stored
 
 ROUNDS = 2
 #: Bits of the map of shared symbols (16 MB, whatever the input): it only spares rows from the exact joins that follow.
@@ -261,7 +261,8 @@ def window_rows(groups: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Rows ``(id, text_hash, first, n)``: ``n`` windows from word ``first`` on that also start in a row with a smaller id."""
+    """Rows ``(id, text_hash, ranges)``: by turns a first word and a number of windows from there on that also start in a row
+    with a smaller id."""
     spark = df.sparkSession
     bound_batches(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -269,16 +270,22 @@ def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> D
     release(spark)
     groups = stored(shared_groups(docs, window, shared), "groups")
     least = stored(groups.groupBy("key", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")), "least")
+    release(spark)
     several = least.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.lit(True).alias("several"))
     told = least.join(several, "key", "left").where("several or least < most").select("key", "hash", "least", F.coalesce("several", F.lit(False)).alias("several"))
     judged = stored(groups.join(told, ["key", "hash"]).where("id > least or several")
                     .select("key", "id", "text_hash", "first", "n", F.when(F.col("id") == F.col("least"), F.col("windows")).alias("windows"), "least"), "judged")
+    discard(groups, least)
     release(spark)
     whole = judged.where("id > least").select("id", "text_hash", "first", "n")
     windows = stored(window_rows(judged.where("id = least")), "windows")
     first = windows.groupBy("key", "window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "window", "least")
     single = windows.join(first, ["key", "window"]).where("id > least").select("id", "text_hash", "first", F.lit(1).alias("n"))
-    return whole.unionByName(single)
+    ranges = whole.unionByName(single).groupBy("id", "text_hash").agg(F.flatten(F.collect_list(F.array("first", F.col("n").cast("long")))).alias("ranges"))
+    ranges = stored(ranges, "ranges")
+    discard(judged, windows)
+    release(spark)
+    return ranges
 
 
 def keep_words(text: str | None, ranges: list[int] | None, window: int) -> tuple[int, int, str, str]:
@@ -320,10 +327,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if window < 1:
         raise ValueError("window must be positive")
     ranges = repeated_ranges(df, id_col, text_col, window)
-    by_doc = (ranges.groupBy("id", "text_hash").agg(F.flatten(F.collect_list(F.array("first", F.col("n").cast("long")))).alias("__ranges"))
-              .select(F.col("id").alias("__doc"), F.col("text_hash").alias("__text_hash"), "__ranges"))
-    by_doc = stored(by_doc, "ranges")
-    release(df.sparkSession)
+    by_doc = ranges.select(F.col("id").alias("__doc"), F.col("text_hash").alias("__text_hash"), F.col("ranges").alias("__ranges"))
     new = ("n_words", "n_removed", "kept_words", "kept_text")
     base = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in new))
     both = base.join(by_doc, (F.col(f"`{id_col}`") == F.col("__doc")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("__text_hash")), "left").drop("__doc", "__text_hash")
