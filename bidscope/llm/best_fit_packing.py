@@ -2,10 +2,11 @@
 
 Only the number of pieces of each length matters to a packing, so the search runs on at most ``capacity`` counts, whatever
 the number of documents. It completes one sequence at a time: the largest remaining length is placed, and the
-undominated fillings of the gap around it (those that use larger lengths where shorter ones would also do) are tried, least
-waste first. A filling is used as often as its lengths allow. Branches whose waste exceeds what the best packing so
-far leaves are pruned; best-fit decreasing gives the first incumbent and completes every dive. The search ends at the lower
-bound or after a stated number of nodes.
+undominated fillings of the gap around it (those that use larger lengths where shorter ones would also do), of any number of
+pieces, are tried, least waste first. A first search tries a few fillings at a node, each as often as its lengths allow, a
+second one all fillings and fewer times as well. Branches whose waste exceeds what the best packing so far leaves are pruned;
+best-fit decreasing gives the first incumbent and completes every dive. The search ends at the lower bound or after a stated
+number of nodes and steps; only then can a packing be above the fewest sequences.
 
 The resulting patterns are dealt to the pieces by their rank among the pieces of their length; ranks come from
 counts by bucket, so no length is gathered in one task.
@@ -14,6 +15,7 @@ counts by bucket, so no length is gathered in one task.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
 import re
 from array import array
@@ -27,9 +29,10 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, stored
 
-#: Nodes of the search over all dives, and fillings tried at a node.
+#: Nodes of a search over all dives, fillings tried at a node of the narrow search, and steps that find the fillings of a search.
 NODES = 5_000
 BRANCHES = 4
+STEPS = 500_000
 _OTHER = re.compile("[^\x00-\u024f]")
 # Fixed value: the split pattern of byte-level tokenizers that use their own.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -126,55 +129,64 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: Counter, sizes: list[int], gap: int, most: int):
-    """Up to ``most`` undominated fillings of ``gap``, least waste first; of equal sums those of few, long pieces first.
+def spread(bits: int, by: int) -> int:
+    """Bits ``x`` such that one of ``x`` to ``x + by`` is set in ``bits``."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits >> step
+        done += step
+    return bits
 
-    One, two or three lengths are matched to each sum; for a full gap that no three fill, best fit tries more pieces.
+
+def fillings(counts: Counter, sizes: list[int], gap: int, steps: list[int]):
+    """All undominated fillings of ``gap``, of any number of pieces: least waste first; of equal sums those of long pieces first.
+
+    A filling is dominated if an unused piece fits into its waste, or fits in place of a shorter piece or of several pieces of
+    it. Sums are walked only where the bounded subset sums (a bit for each sum) say that they can be made. ``steps[0]`` is
+    lowered by one a step; at 0 the fillings end.
     """
     if gap <= 0 or not sizes or sizes[0] > gap:
         yield ()
         return
     fit = sizes[:bisect.bisect_right(sizes, gap)]  # ascending
-    have = np.zeros(gap + 1, dtype=np.int64)
-    for s in fit:
-        have[s] = counts[s]
-    long_first = np.array(fit[::-1])
-    given, seen = 0, set()
-
-    def pair(total):
-        a = long_first[(long_first <= total - fit[0]) & (2 * long_first >= total)]
-        b = total - a
-        ok = (b >= 0) & (have[b] > (a == b))
-        return [(int(x), int(total - x)) for x in a[ok][:most]]
-
-    for waste in range(gap - fit[0] + 1):
-        total = gap - waste
-        found = [(total,)] if have[total] else []
-        found += pair(total) if len(found) < most else []
-        if len(found) < most:
-            for a in long_first[long_first * 3 >= total].tolist():
-                if a < total:
-                    found += [(a, b, c) for b, c in pair(total - a) if b <= a and all(have[s] >= n for s, n in Counter((a, b, c)).items())][:most]
-                if len(found) >= most:
-                    break
-        if not found and waste == 0:  # many short pieces: best fit, the longest that fits again and again
-            rest, taken, left = gap, [], have.copy()
-            while rest >= fit[0]:
-                ok = np.flatnonzero(left[:rest + 1])
-                if not len(ok):
-                    break
-                taken.append(int(ok[-1]))
-                left[ok[-1]] -= 1
-                rest -= int(ok[-1])
-            if rest == 0:
-                found = [tuple(taken)]
-        for f in found:
-            if f not in seen:
-                seen.add(f)
-                yield f
-                given += 1
-                if given >= most:
-                    return
+    most = [min(counts[s], gap // s) for s in fit]
+    every = (1 << gap + 1) - 1
+    made = [1]  # made[j]: sums of the j shortest lengths
+    for s, n in zip(fit, most):
+        sums, k = made[-1], 1
+        while n:
+            k = min(k, n)
+            sums |= sums << k * s & every
+            n -= k
+            k *= 2
+        made.append(sums)
+    free = sum(1 << s for s in fit)  # lengths of which a piece is unused
+
+    def walk(j, rest, waste, taken, single, several, unused):
+        """Fillings of ``rest`` by the ``j`` shortest lengths behind ``taken``; bits of its pieces and of its sums of several."""
+        if not rest:
+            if not unused & ((1 << waste + 1) - 1):
+                yield taken
+            return
+        while j and made[j] >> rest & 1 and steps[0] > 0:
+            j -= 1
+            s = fit[j]
+            for k in range(min(most[j], rest // s), 0, -1):
+                if not made[j] >> rest - k * s & 1:
+                    continue
+                steps[0] -= 1
+                one, more = single, several
+                for _ in range(k):
+                    one, more = one | 1 << s, more | (more | one) << s
+                left = unused ^ 1 << s if k == counts[s] else unused
+                if more & spread(left, waste) or waste and one & spread(left >> 1, waste - 1):
+                    continue
+                yield from walk(j, rest - k * s, waste, taken + (s,) * k, one, more, left)
+
+    for waste in range(gap + 1):
+        if made[-1] >> gap - waste & 1 and gap > waste and steps[0] > 0:
+            yield from walk(len(fit), gap - waste, waste, (), 0, 0, free)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -207,12 +219,24 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
     if any(n < 1 or n > capacity for n in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     counts = {n: k for n, k in counts.items() if k > 0}
-    total, bound = sum(n * k for n, k in counts.items()), lower_bound(counts, capacity)
-    best = best_fit(counts, capacity)
-    fewest = sum(t for _, t in best)
+    bound, best = lower_bound(counts, capacity), best_fit(counts, capacity)
+    for narrow in (True, False):
+        if sum(t for _, t in best) > bound:
+            best = search(counts, capacity, bound, best, nodes, narrow)
+    return best
+
+
+def search(counts: dict[int, int], capacity: int, bound: int, best: list[tuple[tuple[int, ...], int]], nodes: int, narrow: bool) -> list[tuple[tuple[int, ...], int]]:
+    """The better of ``best`` and what a search by depth finds in ``nodes`` nodes and ``STEPS`` steps of their fillings.
+
+    A narrow search tries ``BRANCHES`` fillings at a node, each as often as lengths and waste allow; the other one all
+    fillings, also fewer times, so that only the limits keep it from a best packing.
+    """
+    total, fewest = sum(n * k for n, k in counts.items()), sum(t for _, t in best)
     left, path = Counter(counts), []
     sizes = sorted(left)
-    spent = 0
+    spent, steps = 0, [STEPS]
+    waste = bins = 0
 
     def take(fill: tuple[int, ...], sign: int, times: int) -> None:
         for s in fill:
@@ -223,24 +247,40 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
             elif not before:
                 bisect.insort(sizes, s)
 
-    stack: list[list] = []  # of each open node: its fillings still to try, what is applied now
+    def some(start: int, n: int) -> list[tuple[int, ...]]:
+        """Fillings ``start`` to ``start + n`` of the open node. Its subset sums are made anew, so that deep dives hold none."""
+        top, rest, lengths = sizes[-1], Counter(left), list(sizes)
+        rest[top] -= 1
+        if not rest[top]:
+            lengths.pop()
+        return [(top, *f) for f in itertools.islice(fillings(rest, lengths, capacity - top, steps), start, start + n)]
 
     def options():
-        top = sizes[-1]
-        left[top] -= 1
-        gone = not left[top]
-        if gone:
-            sizes.pop()
-        found = [(top, *f) for f in fillings(left, sizes, capacity - top, BRANCHES)]
-        if gone:
-            sizes.append(top)
-        left[top] += 1
-        return found[::-1]
-
-    waste = bins = 0
-    if fewest > bound and sizes:
-        stack.append([options(), None])
-    while stack and fewest > bound and spent < nodes:
+        """``(filling, times)`` of the open node, asked for one by one, with its lengths as they are then."""
+        given, batch = 0, 1
+        while batch:
+            found = some(given, batch)
+            for fill in found:
+                loss, times = capacity - sum(fill), min(left[s] // k for s, k in Counter(fill).items())
+                spare = (fewest - 1) * capacity - total - waste
+                times = min(times, spare // loss) if loss else times
+                if times < 1:  # later fillings waste as much or more
+                    return
+                while times:
+                    yield fill, times
+                    times = 0 if narrow else times // 2
+            given += len(found)
+            batch = 0 if len(found) < batch else min(given, BRANCHES - given) if narrow else given
+
+    def finish() -> None:
+        """The dive completed by best fit."""
+        nonlocal best, fewest
+        ends = best_fit(left, capacity)
+        if bins + sum(t for _, t in ends) < fewest:
+            best, fewest = [*path, *ends], bins + sum(t for _, t in ends)
+
+    stack: list[list] = [[options(), None]]  # of each open node: its fillings still to try, what is applied now
+    while stack and fewest > bound:
         todo, applied = stack[-1]
         if applied is not None:
             fill, times = applied
@@ -249,25 +289,23 @@ def complete(counts: dict[int, int], capacity: int, nodes: int = NODES) -> list[
             bins -= times
             waste -= times * (capacity - sum(fill))
             stack[-1][1] = None
-        if not todo:
+        ahead = next(todo, None)
+        if ahead is None:
             stack.pop()
             continue
-        fill = todo.pop()
+        fill, times = ahead
         spent += 1
-        need = Counter(fill)
-        times = min(left[s] // k for s, k in need.items())
-        loss = times * (capacity - sum(fill))
-        if waste + loss > (fewest - 1) * capacity - total:
-            continue
         take(fill, 1, times)
         path.append((fill, times))
-        bins, waste = bins + times, waste + loss
-        stack[-1][1] = (fill, times)
-        if not sizes:
-            if bins < fewest:
-                best, fewest = list(path), bins
-            continue
-        stack.append([options(), None])
+        bins, waste = bins + times, waste + times * (capacity - sum(fill))
+        stack[-1][1] = ahead
+        ended = spent >= nodes or steps[0] <= 0
+        if applied is not None or ended or not sizes:  # a new dive starts, or one ends
+            finish()
+        if ended:
+            break
+        if sizes:
+            stack.append([options(), None])
     return best
 
 

@@ -131,6 +131,34 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert sum(t for _, t in patterns) == fewest(items, capacity) >= B.lower_bound(dict(Counter(items)), capacity)
 
 
+def test_sequences_of_five_and_more_pieces():
+    """400 pieces of 419 and 600 of 400 tokens fill 200 sequences only as 2 x 419 + 3 x 400; best fit needs 220."""
+    counts = {419: 400, 400: 600}
+    assert sum(t for _, t in B.best_fit(counts, 2048)) == 220 and B.lower_bound(counts, 2048) == 200
+    assert sum(t for _, t in B.complete(counts, 2048)) == 200
+
+
+def test_fillings_are_the_undominated_ones():
+    """Against every multiset of the lengths: each filling is either offered or dominated by one that is offered."""
+    r = random.Random(11)
+    for _ in range(60):
+        counts = Counter({r.randint(2, 12): r.randint(1, 4) for _ in range(4)})
+        gap = r.randint(8, 26)
+        offered = list(B.fillings(counts, sorted(counts), gap, [10 ** 6]))
+        assert [sum(f) for f in offered] == sorted((sum(f) for f in offered), reverse=True) and len(set(offered)) == len(offered)
+        for ks in itertools.product(*(range(counts[s] + 1) for s in sorted(counts))):
+            fill = tuple(x for s, k in zip(sorted(counts), ks) for x in [s] * k)
+            if sum(fill) <= gap:
+                assert any(fit_into(fill, o) for o in offered), (counts, gap, fill, offered)
+
+
+def fit_into(items, rooms):
+    """Whether the items can be put into rooms of these sizes."""
+    if not items:
+        return True
+    return any(rooms[i] >= items[-1] and fit_into(items[:-1], (*rooms[:i], rooms[i] - items[-1], *rooms[i + 1:])) for i in range(len(rooms)) if rooms[i] not in rooms[:i])
+
+
 def test_pieces_of_long_documents():
     assert B.cut(1, 5) == [(0, 1)] and B.cut(5, 5) == [(0, 5)] and B.cut(12, 5) == [(0, 2), (2, 5), (7, 5)]
 
