@@ -98,27 +98,50 @@ def add_signatures(df: DataFrame, text_col: str = "text", out_col: str = "signat
 def alike_sets(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Near-duplicates by signature sets: ``members(id, class_id)`` and ``pairs(a, b, likeness)`` between classes.
 
-    A class holds the rows of equal sets and is named by their smallest id; pairs have likeness >= ``threshold``. Rows with
-    empty sets (no words) form one class. Rows with a null id are in ``members`` only if others share their set.
+    A class holds the rows of equal sets and is named by their smallest id; pairs have ``text_likeness`` >= ``threshold``:
+    texts with enough spots are joined by their spots; one with few spots is joined to all others by spots and words of both,
+    where a class with enough spots has as many sets as its texts differ in words, and the likest one with an id counts. Rows
+    with empty sets (no words) form one class. Rows with a null id are in ``members`` only if others share their set.
     """
-    signed = add_signatures(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    rows = stored(signed.select("id", "signatures"), "spots")
-    sets = stored(rows.groupBy("signatures").agg(F.min("id").alias("class_id")).where("class_id is not null"), "sets")
-    rare = sets.select(F.explode("signatures").alias("s")).groupBy("s").count()
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+
+    def make():
+        def run(batch):
+            found = [(own, own | word_signatures(t)) for t in batch.column("text").to_pylist() for own in [spots(t)]]
+            few = [len(own) < FEW_SPOTS for own, _ in found]
+            return [pa.array([sorted(full if f else own) for (own, full), f in zip(found, few)], pa.list_(pa.int64())),
+                    pa.array([sorted(full) for _, full in found], pa.list_(pa.int64())), pa.array(few, pa.bool_())]
+
+        return run
+
+    kind = T.ArrayType(T.LongType())
+    signed = add_columns(base, [T.StructField("signatures", kind), T.StructField("whole", kind), T.StructField("few", T.BooleanType())], make)
+    rows = stored(signed.select("id", "signatures", "whole", "few"), "spots")
+    sets = stored(rows.groupBy("signatures", "few").agg(F.min("id").alias("class_id")).where("class_id is not null"), "sets")
+    # what texts with few spots share with a set holds at most FEW_SPOTS - 1 of its spots: sets of more spots than that leaves are not alike
+    able = F.size("signatures") - (FEW_SPOTS - 1) <= F.size("whole") * (1 - threshold) + 1e-9
+    wide = rows.where(~F.col("few") & able).groupBy("signatures", "whole").agg(F.min("id").alias("node")).where("node is not null")
+    wide = wide.join(sets.select("signatures", "class_id"), "signatures").select(F.lit(True).alias("by_words"), "node", "class_id", F.lit(False).alias("few"), F.col("whole").alias("set"))
+    nodes = stored(sets.select(F.col("few").alias("by_words"), F.col("class_id").alias("node"), "class_id", "few", F.col("signatures").alias("set")).unionByName(wide), "nodes")
+    key, n = ["by_words", "node"], F.size("set")
     # partition k holds the lengths from threshold^-k on: alike sets are in the same or in neighbouring partitions
-    part = F.floor(F.log(F.size("signatures").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int") if threshold < 1 else F.size("signatures")
-    placed = sets.where(F.size("signatures") > 0).select("class_id", F.size("signatures").alias("n"), part.alias("part"), F.explode("signatures").alias("s"))
-    ranked = placed.join(rare, "s").groupBy("class_id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("x"))
-    prefix = ranked.select("class_id", "n", "part", F.explode(F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("x")).select("class_id", "n", "part", F.col("x.s").alias("s"))
-    prefix = stored(prefix, "prefix")
-    other = prefix.select(F.col("class_id").alias("b"), F.col("n").alias("m"), F.explode(F.array(F.col("part"), F.col("part") - 1) if threshold < 1 else F.array("part")).alias("part"), "s")
-    near = prefix.select(F.col("class_id").alias("a"), "n", "part", "s").join(other, ["part", "s"])
-    near = near.where((F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9) & (F.col("a") != F.col("b")))
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x = sets.select(F.col("class_id").alias("a"), F.col("signatures").alias("sa"))
-    y = sets.select(F.col("class_id").alias("b"), F.col("signatures").alias("sb"))
+    part = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int") if threshold < 1 else n
+    placed = nodes.where(n > 0).select(*key, "few", n.alias("n"), part.alias("part"), F.explode("set").alias("s"))
+    rare = nodes.select("by_words", F.explode("set").alias("s")).groupBy("by_words", "s").count()
+    ranked = placed.join(rare, ["by_words", "s"]).groupBy(*key, "few", "n", "part").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("x"))
+    prefix = ranked.select(*key, "few", "n", "part", F.explode(F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("x"))
+    prefix = stored(prefix.select(*key, "few", "n", "part", F.col("x.s").alias("s")), "prefix")
+    around = F.array(F.col("part"), F.col("part") - 1, F.col("part") + 1) if threshold < 1 else F.array("part")
+    other = prefix.select("by_words", F.col("node").alias("b"), F.col("few").alias("few_b"), F.col("n").alias("m"), F.explode(around).alias("part"), "s")
+    near = prefix.where(F.col("few") | ~F.col("by_words")).withColumnRenamed("node", "a").join(other, ["by_words", "part", "s"])  # by words: one side has few spots
+    once = (F.col("a") < F.col("b")) | (F.col("few") != F.col("few_b"))
+    near = near.where((F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9) & once).select("by_words", "a", "b", "few_b").distinct()
+    x = nodes.where(F.col("few") | ~F.col("by_words")).select("by_words", F.col("node").alias("a"), F.col("set").alias("sa"))
+    y = nodes.select("by_words", F.col("node").alias("b"), F.col("few").alias("few_b"), F.col("class_id").alias("class_b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    pairs = near.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness")).where(F.col("likeness") >= threshold)
+    found = near.join(x, ["by_words", "a"]).join(y, ["by_words", "b", "few_b"]).select("a", "class_b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness"))
+    found = found.where(F.col("likeness") >= threshold).select(F.least("a", "class_b").alias("a"), F.greatest("a", "class_b").alias("b"), "likeness")
+    pairs = found.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
     return rows.join(sets, "signatures").select("id", "class_id"), pairs
 
 

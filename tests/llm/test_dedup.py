@@ -277,3 +277,28 @@ def test_alike_sets(spark, threshold):
     reps = sorted(set(classes.values()))
     want = {(a, b): S.likeness(sets[a], sets[b]) for a in reps for b in reps if a < b and S.likeness(sets[a], sets[b]) >= threshold}
     assert {(p.a, p.b): p.likeness for p in pairs.collect()} == want
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_alike_sets_near_the_limit_of_spots(spark, threshold):
+    """Texts with few spots and texts with enough of them, against text_likeness of every pair."""
+    r = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [w for k in range(S.FEW_SPOTS) for w in (r.choice(["the", "of", "a"]), f"w{r.randint(0, 400)}", *(f"v{r.randint(0, 900)}" for _ in range(r.randint(0, 3))))]
+        texts += [" ".join(words), " ".join(words[:-8]), " ".join(words[2:]), " ".join(words) + " " + " ".join(words[:4]) + " more"]
+        texts.append(" ".join(f"p{k} p{k}" for k in range(3)) + " " + " ".join(words))
+    found = [S.spots(t) for t in texts]
+    sets = [S.signatures(t) for t in texts]
+    classes = [min(j for j in range(len(texts)) if sets[j] == s) for s in sets]
+    want, mixed = {}, 0
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            alike = S.text_likeness(texts[i], found[i], texts[j], found[j])
+            if classes[i] < classes[j] and alike >= threshold:
+                key = (classes[i], classes[j])
+                want[key] = max(want.get(key, 0), alike)
+                mixed += (len(found[i]) < S.FEW_SPOTS) != (len(found[j]) < S.FEW_SPOTS)
+    members, pairs = S.alike_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold)
+    assert mixed > 5 and {(p.a, p.b): p.likeness for p in pairs.collect()} == want
+    assert {m.id: m.class_id for m in members.collect()} == dict(enumerate(classes))
