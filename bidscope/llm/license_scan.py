@@ -4,7 +4,7 @@ A sparse multinomial logistic regression over word 1- and 2-grams tells licence
 known family (``unknown``) and ordinary text apart. It is trained on variants of public licence notices (words dropped at
 random) and on a bounded sample of the corpus's paragraphs as ordinary text; its probabilities are calibrated by a
 temperature on held-out variants. A predicted family is confirmed by the overlap of the paragraph's 2-grams with
-the family's notices, else the paragraph is reported as unknown.
+the family's notices and by the words and version that tell the family from others, else the paragraph is reported as unknown.
 
 Few n-grams have weights. A paragraph without the rare words of those n-grams scores as ordinary text whatever else it
 holds, so only paragraphs with such a word are scored; that changes no result.
@@ -19,12 +19,13 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-# Short public notices by family.
+# Short public notices by family. BSD stands for the clause that its versions share.
 NOTICES = {
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT license. See LICENSE for details.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "SPDX-License-Identifier: MIT",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -35,23 +36,126 @@ NOTICES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3.",
         "SPDX-License-Identifier: GPL-3.0-only",
+        "Licensed under the GNU GPL v3.",
+    ),
+    "GPL-2.0": (
+        "Released under the GNU General Public License, version 2.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "Licensed under the GNU GPL v2.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "Licensed under the GNU LGPL v2.1.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "Licensed under the GNU LGPL v3.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "Licensed under the GNU AGPL v3.",
     ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-ND-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
+    "CC0-1.0": (
+        "Dedicated to the public domain under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0 Universal.",
+    ),
     "BSD-3-Clause": (
         "Released under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "BSD-2-Clause": (
+        "Released under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "Released under the ISC License.",
     ),
     "all-rights-reserved": (
         "All rights reserved.",
         "Copyright by the authors. All rights reserved.",
     ),
 }
+
+
+def _all_of(*parts: str, none_of: str = "") -> str:
+    return "^" + (f"(?!.*(?:{none_of}))" if none_of else "") + "".join(f"(?=.*(?:{p}))" for p in parts)
+
+
+def _version(short: str, number: str) -> str:
+    return rf"\b(?:version|v|licen[cs]e|{short})[ -]?v?{number}(?![0-9]|\.[0-9])"
+
+
+def _commons(*kinds: str) -> str:
+    told = {"nc": r"\bnc\b|non-? ?commercial", "sa": r"\bsa\b|share-? ?alike", "nd": r"\bnd\b|no-? ?deriv"}
+    return _all_of(r"creative commons|\bcc\b", r"attribution|\bby\b", r"(?<![0-9.])4\.0(?![0-9.])", *(told[k] for k in kinds), none_of="|".join(v for k, v in told.items() if k not in kinds))
+
+
+# What a paragraph's words, joined by blanks, must hold to be named so: the telling words and version of each family.
+TELLING = {
+    "MIT": r"\bmit\b|permission is hereby granted free of charge",
+    "Apache-2.0": _all_of(r"\bapache\b", _version("apache", r"2(?:\.0)?")),
+    "GPL-3.0": _all_of(r"general public licen[cs]e|\bgpl", _version("gpl", r"3(?:\.0)?"), none_of="lesser|library general|affero|lgpl|agpl"),
+    "GPL-2.0": _all_of(r"general public licen[cs]e|\bgpl", _version("gpl", r"2(?:\.0)?"), none_of="lesser|library general|affero|lgpl|agpl"),
+    "LGPL-2.1": _all_of(r"lesser general public licen[cs]e|\blgpl", _version("lgpl", r"2\.1")),
+    "LGPL-3.0": _all_of(r"lesser general public licen[cs]e|\blgpl", _version("lgpl", r"3(?:\.0)?")),
+    "AGPL-3.0": _all_of(r"affero general public licen[cs]e|\bagpl", _version("agpl", r"3(?:\.0)?")),
+    "CC-BY-NC-4.0": _commons("nc"),
+    "CC-BY-4.0": _commons(),
+    "CC-BY-SA-4.0": _commons("sa"),
+    "CC-BY-ND-4.0": _commons("nd"),
+    "CC-BY-NC-SA-4.0": _commons("nc", "sa"),
+    "CC-BY-NC-ND-4.0": _commons("nc", "nd"),
+    "CC0-1.0": _all_of(r"\bcc0\b", r"1\.0"),
+    "BSD-3-Clause": _all_of(r"\bbsd\b", r"\b(?:3|three)[ -]clause"),
+    "BSD-2-Clause": _all_of(r"\bbsd\b", r"\b(?:2|two)[ -]clause"),
+    "BSD": r"redistribution and use in source and binary forms",
+    "MPL-2.0": _all_of(r"mozilla public licen[cs]e|\bmpl\b", _version("mpl", r"2\.0")),
+    "EPL-2.0": _all_of(r"eclipse public licen[cs]e|\bepl\b", _version("epl", r"2\.0")),
+    "ISC": r"\bisc\b|with or without fee is hereby granted",
+    "all-rights-reserved": r"all rights reserved",
+}
 #: Licence-like sentences of no family; ``?`` stands for words of ordinary text.
 OPEN_NOTICES = (
     "Licensed under the ? License.",
@@ -190,7 +294,7 @@ def scan(df: DataFrame, model: LicenseModel, text_col: str = "text", out_col: st
     """Add ``out_col``: array of ``(paragraph, family, probability, overlap)`` for the licence paragraphs (lines) of each text.
 
     ``family`` is the predicted family where the probability is at least 0.5 and half the 2-grams of the shorter of paragraph
-    and notice agree, else ``unknown``; ``overlap`` is that share. Ordinary paragraphs are not listed. Null and empty
+    and notice agree and the family's telling words and version are there, else ``unknown``; ``overlap`` is that share. Ordinary paragraphs are not listed. Null and empty
     texts have an empty array; rows are independent of each other; a column of that name is replaced.
     """
     text = F.col(f"`{text_col}`")
@@ -202,9 +306,9 @@ def scan(df: DataFrame, model: LicenseModel, text_col: str = "text", out_col: st
     pattern, classes = F.lit(model.pattern()), F.array(*(F.lit(c) for c in model.classes))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("int").alias("paragraph"), F.lower(x).alias("line"))), lambda p: F.rlike(p["line"], pattern))
     split = F.transform(lines, lambda p: F.struct(p["paragraph"].alias("paragraph"), words(p["line"]).alias("w")))
-    scored = F.transform(split, lambda p: F.struct(p["paragraph"].alias("paragraph"), bigrams(p["w"]).alias("pairs"), model.logits(grams(p["w"])).alias("z")))
-    topped = F.transform(scored, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), p["z"].alias("z"), F.array_max(p["z"]).alias("top")))
-    best = F.transform(topped, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["pairs"].alias("pairs"), (1 / softmax_sum(p["z"], p["top"], model.temperature)).alias("probability"),
+    scored = F.transform(split, lambda p: F.struct(p["paragraph"].alias("paragraph"), F.array_join(p["w"], " ").alias("said"), bigrams(p["w"]).alias("pairs"), model.logits(grams(p["w"])).alias("z")))
+    topped = F.transform(scored, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["said"].alias("said"), p["pairs"].alias("pairs"), p["z"].alias("z"), F.array_max(p["z"]).alias("top")))
+    best = F.transform(topped, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["said"].alias("said"), p["pairs"].alias("pairs"), (1 / softmax_sum(p["z"], p["top"], model.temperature)).alias("probability"),
                                                   F.element_at(classes, F.array_position(p["z"], p["top"]).cast("int")).alias("family")))
     found = F.filter(best, lambda p: p["family"] != NONE)
 
@@ -213,9 +317,15 @@ def scan(df: DataFrame, model: LicenseModel, text_col: str = "text", out_col: st
                              lambda s: F.size(F.array_intersect(p["pairs"], s["grams"])) / F.greatest(F.least(F.size(p["pairs"]), F.size(s["grams"])), F.lit(1)))
         return F.coalesce(F.array_max(shares), F.lit(0.0))
 
-    compared = F.transform(found, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), overlap(p).alias("overlap")))
+    def telling(p):
+        holds = F.lit(False)
+        for f, told in TELLING.items():
+            holds = F.when(p["family"] == f, F.rlike(p["said"], F.lit(told))).otherwise(holds)
+        return holds
+
+    compared = F.transform(found, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), overlap(p).alias("overlap"), telling(p).alias("telling")))
     told = F.transform(compared, lambda p: F.struct(p["paragraph"].alias("paragraph"),
-                                                    F.when((p["probability"] >= MIN_PROBABILITY) & (p["overlap"] >= MIN_OVERLAP), p["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
+                                                    F.when((p["probability"] >= MIN_PROBABILITY) & (p["overlap"] >= MIN_OVERLAP) & p["telling"], p["family"]).otherwise(F.lit(UNKNOWN)).alias("family"),
                                                     p["probability"].alias("probability"), p["overlap"].alias("overlap")))
     return base.withColumn(out_col, F.when(F.rlike(F.lower(text), pattern), told).otherwise(F.array().cast(kind)))
 

@@ -88,6 +88,28 @@ def test_licence_scan(spark, edge_docs, no_docs):
     assert LS.scan(no_docs, model).count() == 0
 
 
+def test_licences_not_in_the_training_notices(spark):
+    """Telling words and versions decide: another version or kind of a known notice is never named as the known one."""
+    known = {
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "Released under the GNU General Public License, version 3.": "GPL-3.0",
+        "Released under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "Released under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "Licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "Distributed under the BSD 2-Clause License.": "BSD-2-Clause",
+    }
+    other = ["This work is licensed under the GNU General Public License, version 1.", "Licensed under the Apache License, Version 1.1.", "Licensed under CC BY-NC 3.0.",
+             "This work is licensed under a Creative Commons Attribution 2.0 Generic License.", "Released under the BSD 4-Clause License.",
+             "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."]
+    assert not (set(known) | set(other)) & {t for texts in LS.NOTICES.values() for t in texts} and set(LS.TELLING) == set(LS.NOTICES)
+    model = LS.fit(table(spark, SF001, "documents").select("doc_id", "text"))
+    rows = LS.scan(spark.createDataFrame([(t,) for t in [*known, *other]], "text string"), model).collect()
+    got = {r.text: [x.family for x in r.licences] for r in rows}
+    assert {t: got[t] for t in known} == {t: [f] for t, f in known.items()}
+    assert {t: got[t] for t in other} == {t: [LS.UNKNOWN] for t in other}
+
+
 def test_licence_screen_changes_no_result(spark):
     """Paragraphs without a screening word score as ordinary text under the full model."""
     docs = table(spark, SF001, "documents").select("doc_id", "text")
