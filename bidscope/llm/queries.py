@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe_automaton, embedding_join, license_scan, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
+from . import best_fit_packing, bpe_automaton, embedding_join, lexical_search, license_scan, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(families, lambda x: x != license_scan.UNKNOWN))), ",").alias("families"),
                         F.size("licences").alias("n_paragraphs"), F.size(F.filter(families, lambda x: x == license_scan.UNKNOWN)).alias("n_unknown"),
                         F.array_max(F.transform("licences", lambda x: x["probability"])).alias("top_probability"))
+
+
+@query
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+SQL["op11_ranked_lexical_search"] = lexical_search.sql(20)
