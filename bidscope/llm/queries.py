@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe_automaton, embedding_join, lexical_search, license_scan, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
+from . import best_fit_packing, bpe_automaton, collocations, embedding_join, html_text, lexical_search, license_scan, line_dedup, quality_gam, simhash_join, spot_signatures, substring_dedup, unigram_counts
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,18 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_ranked_lexical_search"] = lexical_search.sql(20)
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, covered_percent=50, top=2000)
+
+
+SQL["op13_phrase_collocations"] = collocations.sql()
+
+
+@query
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
