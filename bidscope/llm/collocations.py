@@ -5,9 +5,9 @@ the piece ends. Spark's ROLLUP over the columns then sums the windows to all sho
 the shorter phrases, so no phrase length is exploded on its own.
 
 A window is also padded where no phrase can go on: every part of a phrase that occurs ``min_count`` times occurs as often, so a window
-need not go past a pair of neighbours that is rarer. The pairs are counted first, by a 64-bit hash; a bitmap of fixed size
-holds the places of those that reach ``min_count`` together with whatever shares their hash. It lets no frequent pair out, so all
-counts from ``min_count`` on are exact; the rest is only merged into fewer rows.
+need not go past a run of words that is rarer. Runs of two, three, ... words are counted beforehand by a 64-bit hash, each length only
+where both its shorter runs are left; a bitmap of fixed size holds the places of those that reach ``min_count``, with whatever shares
+them. It lets no frequent run out, so all counts from ``min_count`` on are exact; the rest is only merged into fewer rows.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, discard, release, stored
 from .substring_dedup import MAP_BITS, mix, shared_map
 
+#: A bitmap has ``2 ** MAP_BITS`` places (16 MB, whatever the input); where it fills up, more rare windows are counted and the result is the same.
 #: Bytes of text that are taken apart at once; longer runs of text are cut between words, and the windows go on over the cut.
 PART_BYTES = 1 << 22
 #: Parts in which a language's best phrases are found before they meet.
@@ -62,49 +63,55 @@ def word_codes(batch: pa.RecordBatch, reach: int):
         yield lang, np.where(codes == stop, -1, codes), found.dictionary, len(tokens) - len(held)
 
 
-def pair_hashes(lang: str, codes: np.ndarray, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word with the next one, and whether both are of one piece."""
+def runs(lang: str, codes: np.ndarray, words: pa.Array, longest: int, maps: dict[int, np.ndarray]):
+    """``(hash, stands)`` by number of words: hash of the run of 1 to ``longest`` words that begins at each place, and whether it stands in
+    one piece, both its runs of one word less are in the ``maps`` and, where there is a map of its length, it is itself."""
     names = np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), dtype=np.uint64, count=len(words))
-    seed = _U(xxhash.xxh64_intdigest(lang.encode()))
-    inside = (codes[:-1] >= 0) & (codes[1:] >= 0)
-    with np.errstate(over="ignore"):
-        return mix(mix(names[codes[:-1]] ^ seed) * _U(0x9E3779B97F4A7C15) + names[codes[1:]]), inside
+    stands = codes >= 0
+    first = np.where(stands, mix(names[codes] ^ _U(xxhash.xxh64_intdigest(lang.encode()))), _U(0)) if len(names) else np.zeros(len(codes), dtype=np.uint64)
+    out = [(first, stands)]
+    for k in range(2, longest + 1):
+        hashes, before = out[-1]
+        hashes, stands = mix(hashes[:-1] * _U(0x9E3779B97F4A7C15) + first[k - 1:]), before[:-1] & before[1:]
+        if k in maps:
+            place = hashes >> _U(64 - MAP_BITS)
+            stands = stands & ((maps[k][(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1)).astype(bool)
+        out.append((hashes, stands))
+    return out
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """Rows ``(key, n)``: pairs of neighbours by hash."""
+def run_counts(docs: DataFrame, length: int, maps: dict) -> DataFrame:
+    """Rows ``(key, n)``: runs of ``length`` words, by hash, whose shorter runs are in the maps."""
 
     def run(batches):
+        known = {k: m.value for k, m in maps.items()}
         for b in batches:
-            for lang, codes, words, n in word_codes(b, 1):
-                h, inside = pair_hashes(lang, codes, words)
-                key, count = np.unique(h[:n][inside[:n]], return_counts=True)
-                if len(key):
+            for lang, codes, words, n in word_codes(b, length - 1):
+                if len(codes) >= length:
+                    hashes, stands = runs(lang, codes, words, length, known)[-1]
+                    key, count = np.unique(hashes[:n][stands[:n]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], names=["key", "n"])
 
     return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def windows(docs: DataFrame, order: int, frequent) -> DataFrame:
+def windows(docs: DataFrame, order: int, maps: dict) -> DataFrame:
     """Padded windows ``(lang, w1 .. w<order>, n)``, counted within a part; '' is the padding."""
     names = ["lang", *(f"w{k + 1}" for k in range(order)), "n"]
 
     def run(batches):
-        bits = frequent.value
+        known = {k: m.value for k, m in maps.items()}
         for b in batches:
             for lang, codes, words, n in word_codes(b, order - 1):
-                if not len(codes):
-                    continue
-                h, inside = pair_hashes(lang, codes, words)
-                place = h >> _U(64 - MAP_BITS)
-                goes_on = inside & ((bits[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1)).astype(bool)
                 start = np.flatnonzero(codes[:n] >= 0)
-                goes_on, codes = np.append(goes_on, np.zeros(order, dtype=bool)), np.append(codes, np.full(order, -1))
-                open_, columns, key, base = np.ones(len(start), dtype=bool), [codes[start]], codes[start], len(words) + 1
+                if not len(start):
+                    continue
+                goes_on = [np.append(s, np.zeros(len(codes) - len(s), dtype=bool)) for _, s in runs(lang, codes, words, min(order, len(codes)), known)]
+                codes = np.append(codes, np.full(order, -1))
+                columns, key, base = [codes[start]], codes[start], len(words) + 1
                 for k in range(1, order):
-                    open_ = open_ & goes_on[start + k - 1]
-                    columns.append(np.where(open_, codes[start + k], -1))
-                    if len(key) and int(key.max()) >= (1 << 62) // base:
+                    columns.append(np.where(goes_on[k][start], codes[start + k], -1) if k < len(goes_on) else np.full(len(start), -1))
+                    if int(key.max()) >= (1 << 62) // base:
                         key = np.unique(key, return_inverse=True)[1]
                     key = key * base + columns[-1] + 1
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
@@ -118,10 +125,12 @@ def phrase_counts(docs: DataFrame, order: int, min_count: int) -> DataFrame:
     """Rows ``(lang, words, f)`` of the phrases of 1 to ``order`` words that occur ``min_count`` times or more, and of each language
     with no words, whose ``f`` counts all its words."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(shared_map(pair_counts(docs).where(F.col("n") >= min_count).select("key")))
-    release(spark)
+    maps: dict = {}  # of fixed size, one for each length from 2 on
+    for length in range(2, order + 1):
+        maps[length] = spark.sparkContext.broadcast(shared_map(run_counts(docs, length, maps).where(F.col("n") >= min_count).select("key")))
+        release(spark)
     columns = [f"w{k + 1}" for k in range(order)]
-    longest = stored(windows(docs, order, frequent).groupBy("lang", *columns).agg(F.sum("n").alias("n")), "windows")
+    longest = stored(windows(docs, order, maps).groupBy("lang", *columns).agg(F.sum("n").alias("n")), "windows")
     release(spark)
     summed = longest.rollup("lang", *columns).agg(F.sum("n").alias("f")).where("lang is not null")
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())
