@@ -7,8 +7,9 @@ Afterwards every string has exactly one path, whose labels are its BPE tokens, a
 one state. States are kept as differences to the state they were copied from: ``cut`` has the arcs that a copy
 lost, ``born`` the step at which a label's arcs appeared, so that an arc is looked up along the copies.
 
-A word is encoded left to right: the state of each prefix is the one arc that extends an earlier prefix's path, a
-lookup in these tables. Decoding emits the labels of the arcs.
+A label's arcs all end in one state, so the state of a prefix is the last label of its path. A word is encoded left to right: an
+Aho-Corasick automaton over the labels' texts gives the labels that end at each place, and the transition table, filled from the
+gadgets' tables as its cells are first used, tells which one has an arc from the state where it begins. Decoding emits the labels.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,8 +30,9 @@ from pyspark.sql import types as T
 
 from .common import add_columns
 
-#: Entries of a worker's table from text chunks to ids; it is emptied when full (memory bound, no effect on results).
-CHUNK_ENTRIES = 300_000
+#: Entries of a worker's tables from text chunks and words to ids; a full one becomes the older one, whose entries come back as they are
+#: used, and the older one goes (memory bound, no effect on results).
+CHUNK_ENTRIES = 150_000
 STEP_ENTRIES = 1_000_000
 #: str.split() also takes these four control characters for white space; the library doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -53,7 +57,7 @@ class MergeAutomaton:
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
-        self._step: dict[tuple[int, int], bool] = {}
+        self._step: dict[int, bool] = {}
         made = {a + b for a, b in merges}
         for s, i in vocab.items():
             if s not in made:
@@ -73,19 +77,21 @@ class MergeAutomaton:
                 self.final[(a + b)[:-len(end)]] = c_id
             else:
                 self.inner[a + b] = c_id
-        self.longest = max((len(s) for s in (*self.inner, *self.final)), default=1)
+        self.size = max(self.labels, default=0) + 1
+        self.ending = ahocorasick.Automaton()
+        for text in self.inner.keys() | self.final.keys():
+            self.ending.add_word(text, (len(text), self.inner.get(text, -1), self.final.get(text, -1)))
+        self.ending.make_automaton()
 
     def _gadget(self, at: int, a: int, b: int, c: int) -> None:
         self.cut[a, b] = at
         self.born[c], self.left[c], self.right[c] = at, a, b
 
     def step(self, u: int, v: int) -> bool:
-        """Whether the state that arcs labelled ``u`` lead to has an arc labelled ``v``."""
-        known = self._step.get((u, v))
-        if known is None:
-            if len(self._step) > STEP_ENTRIES:
-                self._step.clear()
-            known = self._step[u, v] = self._find(u, v)
+        """Whether the state that arcs labelled ``u`` lead to has an arc labelled ``v``; fills the table's cell."""
+        if len(self._step) > STEP_ENTRIES:
+            self._step.clear()
+        known = self._step[u * self.size + v] = self._find(u, v)
         return known
 
     def _find(self, u: int, v: int) -> bool:
@@ -106,21 +112,32 @@ class MergeAutomaton:
         n = len(word)
         if (whole := self.final.get(word)) is not None:
             return [whole]
-        came: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        inner, step = self.inner, self.step
-        for i in range(1, n + 1):
-            have = self.final if i == n else inner
-            for j in range(max(0, i - self.longest), i):
-                t = have.get(word[j:i])
-                if t is not None and (j == 0 or ((u := came[j][1]) >= 0 and step(u, t))):
-                    came[i] = (j, t)
-                    break
+        if n < 2:
+            return self._with_gaps(word)
+        state, came = [-1] * (n + 1), [0] * (n + 1)
+        table, size = self._step, self.size
+        for end, (length, inside, last) in self.ending.iter(word):
+            i = end + 1
+            if state[i] >= 0:
+                continue
+            t = inside if i < n else last
+            if t < 0:
+                continue
+            if j := i - length:
+                u = state[j]
+                if u < 0:
+                    continue
+                arc = table.get(u * size + t)
+                if not (self.step(u, t) if arc is None else arc):
+                    continue
+            state[i], came[i] = t, j
         out = []
         while n:
-            n, t = came[n]
+            t = state[n]
             if t < 0:  # a symbol outside the vocabulary has no arc
                 return self._with_gaps(word)
             out.append(t)
+            n = came[n]
         return out[::-1]
 
     def _with_gaps(self, word: str) -> list[int]:
@@ -152,21 +169,27 @@ class WordBpe:
         self.bytes = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
         self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
         self._chunks: dict[str, bytes] = {}
+        self._old_chunks: dict[str, bytes] = {}
         self._words: dict[str, list[int]] = {}
+        self._old_words: dict[str, list[int]] = {}
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of one piece of text without white space, as little-endian 32-bit numbers."""
         text = unicodedata.normalize("NFC", chunk)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # letter by letter
-        ids: list[int] = []
+        ids = array("i")
+        words = self._words
         for w in self.words.findall(text):
-            known = self._words.get(w)
+            known = words.get(w)
             if known is None:
-                known = self._words[w] = self.automaton.encode(w.encode("utf-8").decode("latin-1").translate(self.bytes))
-            ids += known
-        if len(self._words) > CHUNK_ENTRIES:
-            self._words.clear()
-        return np.array(ids, dtype="<i4").tobytes()
+                known = self._old_words.get(w)
+                if known is None:
+                    known = self.automaton.encode(w.encode("utf-8").decode("latin-1").translate(self.bytes))
+                words[w] = known
+            ids.extend(known)
+        if len(words) > CHUNK_ENTRIES:
+            self._old_words, self._words = words, {}
+        return ids.tobytes()
 
     def _plain(self, text: str) -> bytes:
         chunks, known = text.split() if not _SEPARATORS.search(text) else _SPACES.split(text), self._chunks
@@ -175,10 +198,12 @@ class WordBpe:
         except KeyError:
             pass
         if len(known) > CHUNK_ENTRIES:
-            known.clear()
+            self._old_chunks = known
+            known = self._chunks = {}
+        old = self._old_chunks
         for c in chunks:
             if c not in known:
-                known[c] = self._chunk(c)
+                known[c] = old[c] if c in old else self._chunk(c)
         return b"".join([known[c] for c in chunks])
 
     def encode(self, text: str) -> bytes:
