@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, stored
+from .common import bound_batches, stored, tidy
 
 #: Nodes of a search over all dives, fillings tried at a node of the narrow search, and steps that find the fillings of a search.
 NODES = 5_000
@@ -109,7 +109,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
     names = [id_col, "piece", "start", "length", "ids"]
     schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.LongType(), T.IntegerType(), T.LongType(), T.LongType(), T.BinaryType()))])
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), schema)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -357,4 +357,4 @@ def pack(df: DataFrame, capacity: int = 2048, length_col: str = "length", order_
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(at[:, 3] + k // at[:, 2]), pa.array(at[:, 4] + k % at[:, 2] * n)],
                                              names=[*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return ranked.mapInArrow(tidy(run), T.StructType([*base.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))

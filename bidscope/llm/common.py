@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,6 +52,26 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def _trim() -> None:
+    """Return what the allocators of this process hold free."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving memory back when a task ends: Spark keeps its Python workers, and with them what they once took."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return tidied
+
+
 def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[pa.RecordBatch], list]]) -> DataFrame:
     """Append ``fields`` computed batch by batch; a column of the same name (any case) is replaced.
 
@@ -69,7 +90,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[], C
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *work(b)], names=out_names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, components, stored
+from .common import add_columns, components, stored, tidy
 
 BITS = 64
 SEED = 42
@@ -121,7 +121,7 @@ def close_links(classes: DataFrame, max_bits: int, agree: int = 3) -> DataFrame:
             out += forest(bits[a:a + n], nodes[a:a + n], max_bits)
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["src", "dst"])
 
-    return keyed.mapInArrow(run, "src long, dst long")
+    return keyed.mapInArrow(tidy(run), "src long, dst long")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, bound_batches, discard, release, stored
+from .common import add_columns, bound_batches, discard, release, stored, tidy
 
 ROUNDS = 2
 #: Bits of the map of shared symbols (16 MB, whatever the input): it only spares rows from the exact joins that follow.
 MAP_BITS = 27
 #: Words that are looked at together; longer documents are taken in parts that overlap by a window less one word.
-PART_WORDS = 1 << 19
+PART_WORDS = 1 << 16
 FAR = 1 << 40
 SEED = 42
 _U = np.uint64
@@ -207,7 +207,7 @@ def symbol_counts(docs: DataFrame, window: int) -> DataFrame:
                 new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(ids[owner[new]].astype(np.int64))], names=["key", "id"])
 
-    return docs.mapInArrow(run, "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
+    return docs.mapInArrow(tidy(run), "key long, id long").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("key")
 
 
 def shared_map(keys: DataFrame) -> np.ndarray:
@@ -244,7 +244,7 @@ def shared_groups(docs: DataFrame, window: int, shared) -> DataFrame:
                     pa.array(np.array([hashes[i] for i in owner.tolist()], dtype=np.int64)), pa.array((first - starts[part] + offset[part]).astype(np.int64)),
                     pa.array(n.astype(np.int32)), windows], names=["key", "hash", "id", "text_hash", "first", "n", "windows"])
 
-    return docs.mapInArrow(run, "key long, hash long, id long, text_hash long, first long, n int, windows binary")
+    return docs.mapInArrow(tidy(run), "key long, hash long, id long, text_hash long, first long, n int, windows binary")
 
 
 def window_rows(groups: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def window_rows(groups: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rep)), pa.array(data), b.column("id").take(pa.array(rep)), b.column("text_hash").take(pa.array(rep)),
                                               pa.array(b.column("first").to_numpy()[rep] + step)], names=["key", "window", "id", "text_hash", "first"])
 
-    return groups.select("key", "n", "windows", "id", "text_hash", "first").mapInArrow(run, "key long, window long, id long, text_hash long, first long")
+    return groups.select("key", "n", "windows", "id", "text_hash", "first").mapInArrow(tidy(run), "key long, window long, id long, text_hash long, first long")
 
 
 def repeated_ranges(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
