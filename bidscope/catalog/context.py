@@ -31,6 +31,19 @@ def obsn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blanks_to_null(obs(spark, sf_dir))
 
 
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations with their resolved entity (D4), stored once per session."""
+    from ..operators.resolve import resolve_entities
+
+    key = (spark.sparkContext.applicationId, "resolved:" + sf_dir)
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = scratch_path(spark, "resolved")
+        resolve_entities(obsn(spark, sf_dir)).write.parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
 def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest state per true entity (F4 keyed by p_partkey)."""
     return current_state(obsn(spark, sf_dir), ENTITY)

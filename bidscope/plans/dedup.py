@@ -19,10 +19,11 @@ join fans out and no group is collected into one task. Histories are merged as l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import norm_address, norm_size, norm_text, parse_any_date, property_slug, scheme_from_header
+from ..operators.asof import hot_keys, last_before
 from ..operators.history import merge_histories
 from ..operators.predicates import is_expired, is_junk
 from ..operators.rank import first_per_key
@@ -185,23 +186,70 @@ def rank_within(df: DataFrame, key: str, order: list, name: str) -> DataFrame:
     return idx.join(base, key).withColumn(name, F.col("_gidx") - F.col("_kmin") + 1).drop("_gidx", "_kmin")
 
 
+#: A slug that reads as another slug's second, third, ... name.
+NUMBERED = r"^(.+)_([2-9]|[1-9][0-9]{1,17})$"
+
+
+def _rivals(groups: DataFrame, slug_col: str) -> DataFrame:
+    """Slugs that are also a numbered name of another slug: ``(owner, k, slug, free)``. ``owner`` is the other slug and ``k`` the number;
+    up to ``free`` groups of the owner come before the first group of the slug and so can have the name before it."""
+    firsts = groups.groupBy(F.col(slug_col).alias("slug")).agg(F.min("group_order").alias("_o"))
+    split = firsts.select("slug", "_o", F.regexp_extract("slug", NUMBERED, 1).alias("owner"), F.regexp_extract("slug", NUMBERED, 2).try_cast("long").alias("k"))
+    split = split.where("k is not null").join(firsts.select(F.col("slug").alias("owner")), "owner", "left_semi")
+    split = cut_lineage(split)
+    theirs = groups.select(F.col(slug_col).alias("owner"), F.col("group_order").alias("_o"), F.lit(None).cast("string").alias("slug"))
+    theirs = theirs.join(split.select("owner").distinct(), "owner", "left_semi")
+    placed = rank_within(theirs.unionByName(split.select("owner", "_o", "slug")), "owner", ["_o"], "_p").where("slug is not null")
+    # rivals of one owner are one row per slug; among them, only their own order is counted off
+    nth = F.row_number().over(Window.partitionBy("owner").orderBy("_p"))
+    return cut_lineage(placed.select("owner", "slug", (F.col("_p") - nth).alias("free")).join(split.select("slug", "k"), "slug"))
+
+
+def _gaps(rivals: DataFrame) -> DataFrame:
+    """``(owner, k, slug, skips, shift, gone)``: whether the owner skips number ``k`` because its rival has the name, the numbers that it
+    skips below ``k`` (``gone``), and its ``shift``, 1 where the owner's own name went to the slug that it is a numbered name of.
+
+    The owner reaches ``k`` with its group number ``k - shift - gone``, and skips it if that group comes after the rival's first. ``gone`` and
+    ``shift`` follow from the smaller numbers and from the owner's owner, so repeating the rule settles them in that order; the
+    table has a row for each rival only.
+    """
+    below = Window.partitionBy("owner").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    now = rivals.withColumn("skips", F.lit(True))
+    while True:
+        shift = now.select(F.col("slug").alias("owner"), F.when(F.col("skips"), 0).otherwise(1).alias("shift"))
+        told = now.join(shift, "owner", "left").fillna({"shift": 0})
+        told = told.withColumn("gone", F.coalesce(F.sum(F.col("skips").cast("long")).over(below), F.lit(0)))
+        told = told.withColumn("_now", F.col("k") - F.col("shift") - F.col("gone") > F.col("free"))
+        told = cut_lineage(told.withColumn("_moved", F.col("_now") != F.col("skips")))
+        if not told.where("_moved").limit(1).count():
+            return told.drop("_now", "_moved")
+        now = told.select("owner", "k", "slug", "free", F.col("_now").alias("skips"))
+
+
 def unique_slug(groups: DataFrame, slug_col: str = "_slug") -> DataFrame:
     """every group gets the first free name of its slug, slug_2, slug_3, ..., earlier groups (output order) first.
 
-    The n-th group of a slug cannot get a name before the n-th, so all start there. Then, round by round, of the groups
-    that want one name the earliest keeps it and the others move to their next name, until no two want the same. The
-    result is that of serving the groups one after the other; a round is one aggregate by name and a join.
+    A name is wanted by two slugs at most: the slug that reads so, whose first group asks for it, and the slug without its number.
+    So the n-th group of a slug has the number n, one more if the slug's own name was gone, and one more for each number that it
+    skips because another slug had the name before; these gaps are few rows (``_gaps``), added up by an as-of look-up. The number of jobs does
+    not grow with the groups.
     """
     g = rank_within(groups, slug_col, ["group_order"], "_n")
+    rivals = _rivals(groups, slug_col)
+    if rivals.limit(1).count():
+        gaps = _gaps(rivals)
+        moved = gaps.where("not skips").select(F.col("slug").alias(slug_col), F.lit(1).alias("_shift"))
+        g = g.join(moved, slug_col, "left").fillna({"_shift": 0})
+        # the number that group n would have without gaps is n + shift; from k - gone on, a gap adds one
+        steps = gaps.where("skips").select(F.col("owner").alias(slug_col), (F.col("k") - F.col("gone")).alias("_at"), (F.col("gone") + 1).alias("_add"))
+        steps = steps.groupBy(slug_col, "_at").agg(F.max("_add").alias("_add")).select(slug_col, (F.col("_at") * 2).alias("_pos"), "_add")
+        few = g.join(steps.select(slug_col).distinct(), slug_col, "left_semi").withColumn("_pos", (F.col("_n") + F.col("_shift")) * 2 + 1)
+        both = last_before(few.unionByName(steps, allowMissingColumns=True), slug_col, "_pos", {"_gone": F.col("_add")}, hot_keys(few, slug_col))
+        few = both.where("_n is not null").drop("_pos", "_add")
+        rest = g.join(steps.select(slug_col).distinct(), slug_col, "left_anti").withColumn("_gone", F.lit(0).cast("long"))
+        g = few.unionByName(rest).withColumn("_n", F.col("_n") + F.col("_shift") + F.coalesce("_gone", F.lit(0))).drop("_shift", "_gone")
     name = F.when(F.col("_n") == 1, F.col(slug_col)).otherwise(F.concat(F.col(slug_col), F.lit("_"), F.col("_n").cast("string")))
-    g = cut_lineage(g.withColumn("slug", name))
-    while True:
-        wanted = g.groupBy("slug").agg(F.min("group_order").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k")
-        if not wanted.limit(1).count():
-            return g.drop("_n", slug_col)
-        gives_way = F.coalesce(F.col("group_order") != F.col("_first"), F.lit(False))
-        moved = g.join(wanted, "slug", "left").withColumn("_n", F.col("_n") + gives_way.cast("int")).drop("_first", "slug")
-        g = cut_lineage(moved.withColumn("slug", name))
+    return g.withColumn("slug", name).drop("_n", slug_col)
 
 
 def dedup_report(entries: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:

@@ -176,11 +176,16 @@ def scan_digest(obs: DataFrame, state: DataFrame, entity: str, scan, k: int = 5)
 def rebuild_entities(obs: DataFrame) -> dict:
     """The rebuild of one history: observations -> entities (D4) -> current state (F4) -> change rows (F2)
     -> scan log (A4), all keyed by the resolved ``entity_id``. Returns the four DataFrames by name."""
-    from ..operators.history import current_state
     from ..operators.resolve import resolve_entities
     from ..session import cut_lineage
 
-    labelled = cut_lineage(resolve_entities(obs))  # read by every later step
+    return rebuilt(cut_lineage(resolve_entities(obs)))  # read by every later step
+
+
+def rebuilt(labelled: DataFrame) -> dict:
+    """:func:`rebuild_entities` for observations that have their ``entity_id``."""
+    from ..operators.history import current_state
+
     return {
         "labelled": labelled,
         "state": current_state(labelled, "entity_id"),

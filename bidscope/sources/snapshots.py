@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import LISTING, SNAPSHOT
+from ..operators.sequence import dense_index
 from ..session import checkpoint_dir
+from . import versions
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -73,6 +75,30 @@ def read_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> D
     return ex.select("scan_date", "position", "raw_id", "p.*")
 
 
+def write_snapshot_files(obs: DataFrame, path: str, order_col: str = "obs_seq", rows_per_doc: int = 5000) -> None:
+    """Write scans as snapshot documents in arrival order: ``scan_date=<day>/part=<number>`` with ``rows_per_doc`` listings each, in the
+    order of ``order_col`` (the position of a listing in its document, and of a document in its scan)."""
+    fields = [f.name for f in LISTING.fields if f.name in obs.columns]
+    idx = dense_index(obs, ["scan_date", order_col], "_i")
+    first = idx.groupBy("scan_date").agg(F.min("_i").alias("_f"))
+    doc = idx.join(first, "scan_date").select(
+        "scan_date", F.lpad(F.floor((F.col("_i") - F.col("_f")) / rows_per_doc).cast("string"), 9, "0").alias("part"), "_i", F.col(order_col).cast("string").alias("_rid"), F.struct(*fields).alias("_l"))
+    doc = doc.groupBy("scan_date", "part").agg(F.sort_array(F.collect_list(F.struct("_i", "_rid", "_l"))).alias("_a"))
+    properties = F.map_from_entries(F.transform("_a", lambda x: F.struct(x["_rid"], x["_l"])))
+    out = doc.select(F.date_format("scan_date", "yyyy-MM-dd'T'HH:mm:ss").alias("scan_date"), properties.alias("properties"), F.col("scan_date").alias("_d"), "part")
+    out = out.withColumn("_line", F.to_json(F.struct("scan_date", "properties"))).select("_line", F.col("_d").alias("scan_date"), "part")
+    out.repartition("scan_date", "part").write.partitionBy("scan_date", "part").option("compression", "none").text(path)
+
+
+def read_snapshot_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """A1: the listings of snapshot files with ``scan_date``, ``document`` (the file), ``position`` in it and ``raw_id``. Unreadable
+    documents give no rows."""
+    raw = (spark.read.schema(SNAPSHOT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("multiLine", True).json(paths))
+    ok = raw.select("*", F.col("_metadata.file_path").alias("document")).filter(F.col("_corrupt_record").isNull() & F.col("scan_date").isNotNull())
+    ex = ok.select(F.to_date(F.substring("scan_date", 1, 10)).alias("scan_date"), "document", F.posexplode("properties").alias("position", "raw_id", "p"))
+    return ex.select("scan_date", "document", "position", "raw_id", "p.*")
+
+
 def read_properties(spark: SparkSession, path: str, schema) -> DataFrame:
     """A3: the state table; a missing table reads as empty with the declared schema. Any other failure (no access, an
     unknown file system) is raised: an outage must not look like an empty state."""
@@ -92,6 +118,23 @@ def write_properties(df: DataFrame, base_path: str) -> str:
     return path
 
 
+def commit_properties(df: DataFrame, base: str, keep: int = 2) -> versions.Version:
+    """A3: full overwrite behind the version pointer: the data is written to a new folder, then the pointer moves by a rename. A writer
+    that dies in between leaves the old state; readers of the last ``keep`` versions go on undisturbed, older ones are deleted."""
+    spark = df.sparkSession
+    before = versions.current(spark, base)
+    folder = versions.new_folder(base, "properties")
+    df.write.parquet(folder)
+    done = versions.commit(spark, base, before, {"properties": folder})
+    versions.retire(spark, base, keep)
+    return done
+
+
+def current_properties(spark: SparkSession, base: str, schema) -> DataFrame:
+    """A3: the committed state table; empty with the declared schema before the first commit."""
+    return versions.read_part(spark, versions.current(spark, base), "properties", schema)
+
+
 def write_scan_log(log: DataFrame, path: str) -> None:
     """A4: add one log entry per scan (scan_date partitions). Writing a scan again replaces its entry
     (dynamic partition overwrite), so a re-run scan is logged once."""

@@ -26,6 +26,17 @@ def spark():
     yield s
 
 
+@pytest.fixture
+def small_plans(spark):
+    """For many jobs over a handful of rows: one task a stage, plans fixed beforehand."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in keep.items():
+        spark.conf.set(k, v)
+
+
 def one(spark, expr, **cols):
     """Evaluate a Column expression on a one-row DataFrame built from keyword string columns."""
     from pyspark.sql import types as T

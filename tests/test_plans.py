@@ -47,9 +47,9 @@ def test_lag_segments_include_sequence_block(spark):
 
 
 def test_resolver_keys_are_null_for_blank_values(spark):
-    from pyspark.sql import functions as F
-    from bidscope.operators.resolve import with_match_keys
+    from bidscope.operators.resolve import key_rows
 
-    df = spark.createDataFrame([("", "", "T", "KL", "", 1)], "listing_id string, header_full string, title string, location string, size string, obs_seq long")
-    r = with_match_keys(df.withColumn("scan_date", F.to_date(F.lit("2001-01-01")))).first()
-    assert r["id_key"] is None and r["as_key"] is None and r["sk"] == "t|kl||"
+    df = spark.createDataFrame([("", "", "T", "KL", "", 1), (None, None, "T", "KL", None, 2)], "listing_id string, header_full string, title string, location string, size string, obs_seq long")
+    blank, missing = key_rows(df).orderBy("seq").collect()
+    assert blank["lid"] is None and blank["home"] is None and blank["addr"] == b"" and blank["size"] == "" and blank["sk"] == missing["sk"]
+    assert missing["lid"] is None and missing["home"] is None and missing["addr"] is None and missing["size"] is None

@@ -1,13 +1,13 @@
 """Cases found in review: entity matching, slugs, saved filters, caches, state files, card finder."""
 
 import datetime
+import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from bidscope import functions as X
 from bidscope.operators.filters import match_saved_filters
-from bidscope.operators.resolve import assign_entities, id_address, resolve_entities
+from bidscope.operators.resolve import assign_entities, resolve_entities
 from bidscope.plans.dedup import unique_slug
 from bidscope.plans.publish import one_per_address
 from bidscope.sources.harvest import cards_of_page, page_inventory
@@ -34,51 +34,6 @@ def test_one_listing_id_with_two_addresses_is_two_entities(spark):
     assert a != b
 
 
-def test_rows_without_address_follow_the_id_through_scans_and_blocks(spark):
-    rows = [("t", "KL", str(k), a, "L1") for k, a in enumerate([None, "X road", None, "Y road", None, None])]
-    far = spark.createDataFrame([(1 << 30, datetime.date(2024, 1, 1), "t", "KL", "9", None, "L1"), (1 << 40, datetime.date(2024, 3, 1), "t", "KL", "9", None, "L1")], OBS)
-    got = id_address(observations(spark, rows).unionByName(far)).orderBy("obs_seq").collect()
-    assert [r["_id_addr"] for r in got] == ["x road", "x road", "x road", "y road", "y road", "y road", "y road", "y road"]
-
-
-def follow(rows):
-    """Entities by walking through the rows one by one: (title, location, size, address, id) -> number."""
-    by_id, by_row, by_place, out = {}, {}, {}, []
-    for row in rows:
-        title, place, size, address, lid = row
-        whole, spot = (title, place, size, address), (address, size) if len(address) > 20 and size else None
-        held = by_id.get(lid) if lid else None
-        if held is not None and (not address or not held[1] or address == held[1]):
-            n = held[0]
-        else:
-            n = by_row.get(whole, by_place.get(spot) if spot else None)
-            n = len(out) if n is None else n
-        out.append(n)
-        by_row.setdefault(whole, n)
-        if spot:
-            by_place.setdefault(spot, n)
-        if lid:
-            by_id[lid] = (n, address or (held[1] if held else ""))
-    return out
-
-
-def test_resolution_agrees_with_walking_through_the_rows(spark):
-    from bidscope.catalog import context as C
-    from conftest import SF001
-
-    obs = C.obsn(spark, SF001)
-    lab = resolve_entities(obs).select("obs_seq", "entity_id", X.norm_text("title").alias("t"), X.norm_text("location").alias("l"), X.norm_size("size").alias("s"),
-                                       X.norm_text("header_full").alias("a"), F.coalesce("listing_id", F.lit("")).alias("i")).orderBy("obs_seq").collect()
-    walked = follow([(r["t"], r["l"], r["s"], r["a"], r["i"]) for r in lab])
-    pairs = list(zip(walked, (r["entity_id"] for r in lab)))
-    best = {}
-    for w, e in pairs:
-        best.setdefault(w, {}).setdefault(e, 0)
-        best[w][e] += 1
-    agree = sum(max(c.values()) for c in best.values()) / len(pairs)
-    assert agree > 0.95, agree
-
-
 def test_equal_new_rows_of_a_batch_share_an_entity(spark):
     row = ("New", "KL", "5 sqft", "No 5, Jalan Lima", "N1")
     old = resolve_entities(observations(spark, [("A", "KL", "1 sqft", "No 1, Jalan Satu", "L1"), ("A", "KL", "1 sqft", "No 1, Jalan Satu", None)]))
@@ -96,6 +51,44 @@ def test_slugs_are_unique_and_earlier_groups_choose_first(spark):
     assert [got[f"g{k}"] for k in range(6)] == ["a", "a_2", "a_2_2", "a_2_2_2", "a_3", "b"]
 
 
+def served(slugs):
+    """Names by serving the groups one after the other."""
+    used, out = set(), []
+    for s in slugs:
+        name, n = s, 2
+        while name in used:
+            name, n = f"{s}_{n}", n + 1
+        used.add(name)
+        out.append(name)
+    return out
+
+
+def slug_groups(spark, slugs):
+    return spark.createDataFrame([(f"g{k}", s, (0, k)) for k, s in enumerate(slugs)], "group_id string, _slug string, group_order struct<k:int,o:long>")
+
+
+@pytest.mark.parametrize("seed,pool", [(1, ["a", "a_2", "a_3", "a_2_2", "a_4", "a_2_3", "b", "a_5", "a_02", "a_1", "a_3_2"]), (2, ["a", "a", "a", "a_2", "a_3", "a_5", "a_6", "a_2_2"]), (3, ["a", *(f"a_{k}" for k in range(2, 60))])])
+def test_slugs_as_if_served_one_after_the_other(spark, seed, pool):
+    r = random.Random(seed)
+    for n in (30, 150):
+        slugs = [r.choice(pool) for _ in range(n)]
+        got = {x.group_id: x.slug for x in unique_slug(slug_groups(spark, slugs)).collect()}
+        assert [got[f"g{k}"] for k in range(n)] == served(slugs)
+
+
+def test_jobs_for_slugs_do_not_grow_with_the_groups(spark):
+    """A slug with 5, 50 and 500 groups behind one foreign ``x_2``: the same number of jobs."""
+    jobs = []
+    for n in (5, 50, 500):
+        slugs = ["x", "x_2", *["x"] * n]
+        spark.sparkContext.setJobGroup(f"slugs-{n}", "slugs")
+        got = {x.group_id: x.slug for x in unique_slug(slug_groups(spark, slugs)).collect()}
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"slugs-{n}")))
+        assert [got[f"g{k}"] for k in range(n + 2)] == served(slugs)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(jobs) <= min(jobs) + 3, jobs  # AQE may add a stage for an empty or a larger side
+
+
 def test_blank_dedup_slug_is_property(spark):
     df = spark.createDataFrame([("", "", "")], "t string, l string, s string")
     assert df.select(X.property_slug("t", "l", "s", None, 120)).first()[0] == "property"
