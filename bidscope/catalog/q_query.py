@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import market, predicates as P, rank as R
 from ..operators.history import price_drop_pct, price_points, recent_prices
-from ..plans.listing_query import LISTING_SPECS, listing_query, chat_query, CHAT_SPECS
+from ..plans.listing_query import CHAT_SPECS, LISTING_SPECS, chat_queries, listing_queries
 from . import context as C
 from .registry import register
 from .sqlviews import AS_OF_DATE_SQL, register_published
@@ -139,14 +139,7 @@ WHERE rank > {lo} AND rank <= {lo + spec.page_size}"""
 @register("c15_listing_query", "C15, G1, G3, C3-C10", views=("dedup_pub",),
           sql="\nUNION ALL\n".join(_spec_sql(n, s) for n, s in LISTING_SPECS.items()))
 def c15_listing_query(spark, sf_dir):
-    pub = C.published(spark, sf_dir)
-    outs = []
-    for name, spec in LISTING_SPECS.items():
-        rows, filtered = listing_query(pub, spec, C.AS_OF)
-        total = filtered.count()
-        outs.append(rows.select(F.lit(name).alias("spec"), F.col("rank").cast("bigint").alias("rank"), "p_partkey",
-                                F.lit(total).cast("bigint").alias("total")))
-    return reduce(DataFrame.unionByName, outs)
+    return listing_queries(C.published(spark, sf_dir), LISTING_SPECS, C.AS_OF, ["p_partkey"]).select("spec", "rank", "p_partkey", "total")
 
 
 @register("g2_table_sort", "G2, G3", views=("dedup_pub",), sql=f"""
@@ -227,14 +220,7 @@ SELECT '{name}' AS spec, rank, p_partkey, total FROM (
 @register("g9_chat_top_matches", "G9, C10, C11, C12, B24, B25", views=("statet",),
           sql="\nUNION ALL\n".join(_chat_sql(n, k, a) for n, (k, a) in CHAT_SPECS.items()))
 def g9_chat_top_matches(spark, sf_dir):
-    st = C.state(spark, sf_dir)
-    outs = []
-    for name, (kind, arg) in CHAT_SPECS.items():
-        top, matched = chat_query(st, kind, arg)
-        total = matched.count()
-        outs.append(top.select(F.lit(name).alias("spec"), F.col("rank").cast("bigint").alias("rank"), "p_partkey",
-                               F.lit(total).cast("bigint").alias("total")))
-    return reduce(DataFrame.unionByName, outs)
+    return chat_queries(C.state(spark, sf_dir), CHAT_SPECS, ["p_partkey"]).select("spec", "rank", "p_partkey", "total")
 
 
 @register("e2_type_share", "E2, F3", views=("published",), sql=f"""

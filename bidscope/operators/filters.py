@@ -1,10 +1,10 @@
 """Saved filters: free-text parsing (B26) and matching against active listings.
 
-Parsing is an expression chain over a ``saved_filters(filter_id, text)`` table. Matching joins listings with
-filters on the property type (filters without a type are expanded to the observed types), broadcasting the
-filter table behind a row-count check; above that bound the join is salted on the listing side so a type
-holding a third of the listings is spread over many tasks. The remaining predicates are evaluated on the
-joined rows and counts are aggregated per filter, keeping filters without matches (count 0).
+Parsing looks words up in fixed lexicons: one pattern finds all type words of a text, and the longest decides; places are looked up in
+an array, longest first. Matching goes by an index instead of comparing every filter with every listing: a listing has a key
+for each three-letter run of its texts and for each dyadic price interval that its price lies in, by type and for all types; a filter
+asks either for the rarest run that its words need or for the few intervals that make up its price range, whichever fewer listings have.
+The pairs that meet are then verified.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 
 # Type keywords and the type each stands for.
 FILTER_TYPE_WORDS = {
@@ -38,8 +39,10 @@ FILTER_STATE_PLACES = (
     "kuala lumpur", "kl", "selangor", "johor", "penang", "perak", "kedah", "kelantan", "terengganu", "pahang",
     "negeri sembilan", "melaka", "sabah", "sarawak", "putrajaya", "labuan", "kl/selangor",
 )
+# Words that a filter's keywords leave out.
 STOP_WORDS = ("under", "below", "above", "over", "less", "more", "than", "max", "min", "from", "budget", "rm", "in")
 
+# The forms of price bounds in filter text.
 _NUM = r"(\d[\d,.]*)\s*(k|m)?"
 RANGE_RE = r"(?i)(?:rm\s*)?" + _NUM + r"\s*(?:to|-)\s*(?:rm\s*)?" + _NUM
 UNDER_RE = r"(?i)(?:under|below|less\s+than|max|budget)\s+(?:rm\s*)?" + _NUM
@@ -76,11 +79,10 @@ def parse_filter_query(text) -> Column:
     with recognised words, amounts and places removed, kept when longer than 2 chars (stop words removed as
     intended, Q4)."""
     q = F.lower(F.trim(F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit(""))))
-    typ = None
-    for kw in sorted(FILTER_TYPE_WORDS, key=len, reverse=True):
-        cond = q.rlike(r"(^|[^a-z0-9])" + _re_escape(kw) + r"($|[^a-z0-9])")
-        typ = F.when(cond, F.lit(FILTER_TYPE_WORDS[kw])) if typ is None else typ.when(cond, F.lit(FILTER_TYPE_WORDS[kw]))
-    typ = typ.otherwise(F.lit(None).cast("string"))
+    words = sorted(FILTER_TYPE_WORDS, key=len, reverse=True)
+    found = F.regexp_extract_all(q, F.lit("(?<![a-z0-9])(" + "|".join(map(_re_escape, words)) + ")(?![a-z0-9])"), F.lit(1))
+    first = F.array_min(F.transform(found, lambda w: F.array_position(F.array(*map(F.lit, words)), w)))
+    typ = F.get(F.array(*(F.lit(FILTER_TYPE_WORDS[w]) for w in words)), first.cast("int") - 1)
 
     r1, ru1, r2, ru2 = (F.regexp_extract(q, RANGE_RE, i) for i in (1, 2, 3, 4))
     whole_range = F.regexp_extract(q, RANGE_RE, 0)
@@ -93,28 +95,19 @@ def parse_filter_query(text) -> Column:
     max_price = F.when(is_price_range, _amount(r2, ru2)).otherwise(under)
 
     places = _ordered_places()
-    loc = None
-    city = None
-    for p in places:
-        shown = "Kuala Lumpur" if p == "kl" else " ".join(w[:1].upper() + w[1:] for w in p.split(" "))
-        cond = q.contains(p)
-        loc = F.when(cond, F.lit(shown)) if loc is None else loc.when(cond, F.lit(shown))
-        cval = F.lit(None).cast("string") if p in FILTER_STATE_PLACES else F.lit(p)
-        city = F.when(cond, cval) if city is None else city.when(cond, cval)
-
-    rem = q
-    for kw in FILTER_TYPE_WORDS:
-        rem = F.regexp_replace(rem, r"(?i)\b" + _re_escape(kw) + r"s?\b", "")
+    shown = ["Kuala Lumpur" if p == "kl" else " ".join(w[:1].upper() + w[1:] for w in p.split(" ")) for p in places]
+    lexicon = F.array(*(F.struct(F.lit(p).alias("place"), F.lit(n).alias("shown"), F.lit(None if p in FILTER_STATE_PLACES else p).cast("string").alias("city")) for p, n in zip(places, shown)))
+    place = F.get(F.filter(lexicon, lambda x: q.contains(x["place"])), F.lit(0))
+
+    rem = F.regexp_replace(q, r"(?i)\b(?:" + "|".join(map(_re_escape, words)) + r")s?\b", "")
     rem = F.regexp_replace(rem, r"(?i)\b(?:" + "|".join(STOP_WORDS) + r")\b\s*", "")
     rem = F.regexp_replace(rem, r"(?i)\d[\d,.]*\s*[km]?\s*(?:to|-)\s*\d[\d,.]*\s*[km]?", "")
     rem = F.regexp_replace(rem, r"(?i)\d[\d,.]*\s*[km]?", "")
-    for p in places:
-        rem = F.regexp_replace(rem, "(?i)" + _re_escape(p), "")
+    rem = F.regexp_replace(rem, "(?i)(?:" + "|".join(map(_re_escape, places)) + ")", "")
     rem = F.trim(F.regexp_replace(rem, r"\s+", " "))
     search = F.when(F.length(rem) > 2, rem)
     return F.struct(typ.alias("type"), min_price.alias("min_price"), max_price.alias("max_price"),
-                    loc.otherwise(F.lit(None).cast("string")).alias("location"),
-                    city.otherwise(F.lit(None).cast("string")).alias("city"), search.alias("search"))
+                    place["shown"].alias("location"), place["city"].alias("city"), search.alias("search"))
 
 
 def parsed_filters(saved: DataFrame) -> DataFrame:
@@ -122,7 +115,65 @@ def parsed_filters(saved: DataFrame) -> DataFrame:
     return saved.select("filter_id", "text", parse_filter_query(F.col("text")).alias("f")).select("filter_id", "text", "f.*")
 
 
-SALT = 32
+#: Prices are indexed in steps of ``CELL``, in intervals of 1, 2, 4, ... ``2 ** LEVELS`` steps; what lies beyond is in the last step.
+CELL, LEVELS = 1000, 20
+ANY_TYPE = "*"
+
+
+def _runs(text: Column, kind: str) -> Column:
+    """The keys of the three-letter runs of a text."""
+    starts = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.concat(F.lit(kind), F.substring(text, i, F.lit(3)))))
+
+
+def _interval(level: Column, cell: Column, of_type: Column) -> Column:
+    return F.concat_ws(":", F.lit("p"), level.cast("string"), cell.cast("string"), of_type)
+
+
+def _type_key(c: str) -> Column:
+    return F.concat(F.lit("="), F.coalesce(c, F.lit("")))
+
+
+def _cell(price: Column) -> Column:
+    return F.least(F.greatest(F.floor(price / CELL), F.lit(0)), F.lit((1 << LEVELS) - 1)).cast("long")
+
+
+def listing_keys(act: DataFrame, entity: str) -> DataFrame:
+    """``(entity, key)``: the index entries of the listings."""
+    cell, levels = _cell(F.coalesce("price_value", F.lit(0))), F.sequence(F.lit(0), F.lit(LEVELS))
+    at = lambda t: F.transform(levels, lambda k: _interval(k, F.call_function("shiftright", cell, k), t))
+    keys = F.concat(at(_type_key("property_type")), at(F.lit(ANY_TYPE)), _runs(F.col("_st"), "s:"), _runs(F.col("_loc"), "l:"))
+    return act.select(entity, F.explode(keys).alias("key"))
+
+
+def filter_keys(filters: DataFrame) -> DataFrame:
+    """``(filter_id, by_run, key)``: the intervals that make up a filter's price range, and the runs that its words need, each
+    enough to find all its matches."""
+    lo = F.when(F.coalesce("min_price", F.lit(0.0)) > 0, _cell(F.col("min_price"))).otherwise(F.lit(0).cast("long"))
+    hi = F.when(F.coalesce("max_price", F.lit(0.0)) > 0, _cell(F.col("max_price"))).otherwise(F.lit((1 << LEVELS) - 1).cast("long")) + 1
+    of_type = F.when(F.col("type").isNull(), F.lit(ANY_TYPE)).otherwise(_type_key("type"))
+    # at each level, the interval at either end that its parent would overstep
+    f = filters.select("filter_id", of_type.alias("t"), lo.alias("lo"), hi.alias("hi"), F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("k"))
+    f = f.withColumn("a", F.expr("shiftright(lo + shiftleft(1L, k) - 1, k)")).withColumn("b", F.expr("shiftright(hi, k)")).where("a < b")
+    ends = F.array_compact(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 1, F.col("b") - 1)))
+    by_price = f.select("filter_id", "t", "k", F.explode(F.array_distinct(ends)).alias("c")).select("filter_id", F.lit(False).alias("by_run"), _interval(F.col("k"), F.col("c"), F.col("t")).alias("key"))
+    tokens = F.split(F.lower(F.coalesce("search", F.lit(""))), r"\s+")
+    wanted = F.concat(F.flatten(F.transform(tokens, lambda t: _runs(t, "s:"))), _runs(F.coalesce("city", F.lit("")), "s:"),
+                      F.when(F.col("city").isNull(), _runs(F.lower(F.coalesce("location", F.lit(""))), "l:")).otherwise(F.array().cast("array<string>")))
+    by_run = filters.select("filter_id", F.explode(F.array_distinct(wanted)).alias("key")).select("filter_id", F.lit(True).alias("by_run"), "key")
+    return by_price.unionByName(by_run)
+
+
+def filter_candidates(filters: DataFrame, act: DataFrame, entity: str) -> DataFrame:
+    """``(filter_id, entity)``: pairs that share the key with the fewest listings that finds all matches of the filter; no pair twice."""
+    asked = filter_keys(filters)
+    entries = stored(listing_keys(act, entity).join(asked.select("key").distinct(), "key", "left_semi"), "filter-index")
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    sized = asked.join(sizes, "key", "left").select("filter_id", "by_run", "key", F.coalesce("n", F.lit(0)).alias("n"))
+    best = sized.groupBy("filter_id").agg(F.min(F.when(F.col("by_run"), F.struct("n", "key"))).alias("run"), F.sum(F.when(~F.col("by_run"), F.col("n"))).alias("n_price"))
+    chosen = sized.join(best, "filter_id").where(
+        F.when(F.coalesce(F.col("run.n") <= F.coalesce("n_price", F.lit(0)), F.lit(False)), F.col("by_run") & (F.col("key") == F.col("run.key"))).otherwise(~F.col("by_run")))
+    return entries.join(chosen.select("filter_id", "key"), "key").select("filter_id", entity)
 
 
 def match_saved_filters(filters: DataFrame, listings: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
@@ -133,27 +184,19 @@ def match_saved_filters(filters: DataFrame, listings: DataFrame, entity: str) ->
     act = listings.filter(~F.col("is_expired")).select(
         entity, "property_type", "price_value", F.lower(F.coalesce("location", F.lit(""))).alias("_loc"),
         F.coalesce("search_text", F.lit("")).alias("_st"))
-    # the observed property types are a handful of facet values: untyped filters are expanded to them
-    types = [r[0] for r in act.select("property_type").distinct().collect()]
-    typed = filters.filter(F.col("type").isNotNull()).select("*", F.col("type").alias("_t"))
-    type_arr = F.array(*[F.lit(t).cast("string") for t in types]) if types else F.array().cast("array<string>")
-    untyped = filters.filter(F.col("type").isNull()).select("*", F.explode(type_arr).alias("_t"))
-    expanded = typed.unionByName(untyped)
-    # one plan for all sizes: listings of a type are spread over SALT parts and each filter goes to all parts; Spark
-    # broadcasts the filters instead where they are under its own size threshold
-    salted = act.withColumn("_salt", F.pmod(F.xxhash64(F.col(entity)), F.lit(SALT)).cast("int"))
-    rep = expanded.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    pairs = salted.join(rep, salted["property_type"].eqNullSafe(rep["_t"]) & (salted["_salt"] == rep["_salt"]))
+    pairs = filter_candidates(filters, act, entity)
+    rows = pairs.join(filters.select("filter_id", "type", "min_price", "max_price", "location", "city", "search"), "filter_id").join(act, entity)
     pv = F.coalesce(F.col("price_value"), F.lit(0))
     cond = (
-        (F.col("min_price").isNull() | (F.col("min_price") == 0) | (pv >= F.col("min_price")))
+        (F.col("type").isNull() | F.col("property_type").eqNullSafe(F.col("type")))
+        & (F.col("min_price").isNull() | (F.col("min_price") == 0) | (pv >= F.col("min_price")))
         & (F.col("max_price").isNull() | (F.col("max_price") == 0) | (pv <= F.col("max_price")))
         & (F.col("location").isNull() | F.col("city").isNotNull() | F.col("_loc").contains(F.lower(F.col("location"))))
         & (F.col("city").isNull() | F.col("_st").contains(F.col("city")))
     )
     tokens = F.split(F.lower(F.coalesce(F.col("search"), F.lit(""))), r"\s+")
     kw = F.col("search").isNull() | F.forall(tokens, lambda t: F.col("_st").contains(t))
-    matched = pairs.filter(cond).filter(kw).select("filter_id", entity)
+    matched = rows.filter(cond).filter(kw).select("filter_id", entity)
     counts = filters.select("filter_id", "text").join(
         matched.groupBy("filter_id").agg(F.count(F.lit(1)).alias("n")), "filter_id", "left"
     ).select("filter_id", "text", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_matches"))

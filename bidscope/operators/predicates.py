@@ -230,18 +230,34 @@ class ListingSpec:
     page_size: int = 20
 
 
-def apply_listing_filters(df: DataFrame, spec: ListingSpec, as_of) -> DataFrame:
-    """C15 filters in the dashboard's order: tokens, types, locations, status, price, size, days ahead,
-    discount, week range. ``df`` carries search_text, property_type, location_clean, is_expired."""
-    out = keyword_all(df, spec.query)
-    out = type_in(out, spec.types)
-    out = location_in(out, spec.locations)
-    out = status(out, spec.status)
-    out = price_between(out, spec.min_price, spec.max_price)
-    out = size_between(out, spec.min_size, spec.max_size)
-    out = auction_within(out, spec.days_ahead, as_of)
-    out = discount_at_least(out, spec.min_discount)
+def listing_condition(spec: ListingSpec, as_of) -> Column:
+    """C15 as one condition: tokens, types, locations, status, price, size, days ahead, discount and week range of a spec, those that are
+    on. For rows with search_text, property_type, location, is_expired, price_value, size, auction_date and discount."""
+    conds = [keyword_all_expr(F.col("search_text"), spec.query)]
+    if spec.types:
+        conds.append(F.col("property_type").isin(list(spec.types)))
+    if spec.locations:
+        conds.append(F.col("location").isin(list(spec.locations)))
+    if spec.status in ("active", "expired"):
+        conds.append(F.col("is_expired") if spec.status == "expired" else ~F.col("is_expired"))
+    pv, sz = F.coalesce(F.col("price_value"), F.lit(0)), size_number("size")
+    for lo, hi, value in ((spec.min_price, spec.max_price, pv), (spec.min_size, spec.max_size, sz)):
+        if lo and lo > 0:
+            conds.append(value >= lo)
+        if hi and hi > 0:
+            conds.append(value <= hi)
+    if spec.days_ahead and spec.days_ahead > 0:
+        conds.append(days_until("auction_date", as_of).between(0, spec.days_ahead))
+    if spec.min_discount and spec.min_discount > 0:
+        conds.append(discount_value("discount") >= spec.min_discount)
     if spec.week:
-        out = auction_between(out, spec.week[0], spec.week[1])
-    return out
+        conds.append(parse_date_anywhere("auction_date").between(F.to_date(F.lit(spec.week[0])), F.to_date(F.lit(spec.week[1]))))
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return F.coalesce(out, F.lit(False))
+
 
+def apply_listing_filters(df: DataFrame, spec: ListingSpec, as_of) -> DataFrame:
+    """C15 as a filter."""
+    return df.filter(listing_condition(spec, as_of))

@@ -55,6 +55,35 @@ def listing_sort_order(key: str, as_of) -> list[Column]:
     return orders.get(key, orders["price_asc"]) + _tie()
 
 
+def listing_sort_key(key: str, as_of) -> Column:
+    """G1 as one number that rises in the order of the sort, so that specs with different sorts share a window."""
+    pv = F.coalesce(F.col("price_value"), F.lit(0))
+    keys = {"price_asc": pv, "price_desc": -pv, "date_asc": days_until("auction_text", as_of), "discount": -discount_value("discount"), "size_desc": -size_value("size"), "size_asc": size_value("size")}
+    return keys.get(key, pv).cast("double")
+
+
+def rank_by_spec(df: DataFrame, specs: dict[str, tuple[Column, Column]], tie: str, upto: int, keep: list[str], after: dict[str, tuple[float, int]] | None = None) -> DataFrame:
+    """Many queries over one table in one pass: ``(spec, rank, total, sort_key, tie, *keep)`` of the first ``upto`` rows of each spec, given as
+    ``name: (condition, sort key)`` and ordered by the key and ``tie``.
+
+    A row goes to every spec whose condition it meets; a limit per spec keeps ``upto`` of them in each task before the shuffle, and the totals are
+    counts that combine map-side. ``after`` gives, by spec, the sort key and tie of the row where the page before ended: the ranks
+    then begin after it, and no task holds the pages in between.
+    """
+    hits = []
+    for name, (cond, key) in specs.items():
+        later = F.lit(True)
+        if after and name in after:
+            last_key, last_tie = after[name]
+            later = (key > last_key) | ((key == last_key) & (F.col(tie) > last_tie))
+        hits.append(F.when(cond, F.struct(F.lit(name).alias("spec"), key.alias("sort_key"), later.alias("later"))))
+    rows = df.select(tie, *keep, F.explode(F.array_compact(F.array(*hits))).alias("_s")).select("_s.spec", "_s.sort_key", "_s.later", tie, *keep)
+    totals = rows.groupBy("spec").agg(F.count(F.lit(1)).alias("total"))
+    w = Window.partitionBy("spec").orderBy("sort_key", tie)
+    first = rows.where("later").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= upto)
+    return first.join(totals, "spec").select("spec", F.col("rank").cast("bigint").alias("rank"), "total", "sort_key", tie, *keep)
+
+
 def table_sort_order(col: str, direction: str, as_of) -> list[Column]:
     """Title, price, type, location, size, auction (default), discount; asc or desc."""
     exprs = {

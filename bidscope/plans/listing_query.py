@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chat_search_text, price_value_all
+from ..functions import chat_search_text, parse_amount, price_value_all, resolve_type_alias
 from ..operators import predicates as P
 from ..operators import rank as R
 from ..operators.predicates import ListingSpec
@@ -32,6 +32,20 @@ def listing_query(published: DataFrame, spec: ListingSpec, as_of, dedup: bool =
     return R.page(filtered, order, spec.page, spec.page_size), filtered
 
 
+def listing_queries(published: DataFrame, specs: dict[str, ListingSpec], as_of, keep: list[str], dedup: bool = True, after: dict[str, tuple[float, int]] | None = None) -> DataFrame:
+    """C15 for many specs in one pass: ``(spec, rank, total, sort_key, arrival, *keep)`` of each spec's page. With ``after`` (spec -> sort key
+    and arrival of the last row seen) a spec's page is the one that follows (G3 by position in the order instead of by number)."""
+    src = R.dedup_listings(published) if dedup else published
+    wanted = {name: (P.listing_condition(spec, as_of), R.listing_sort_key(spec.sort, as_of)) for name, spec in specs.items()}
+    start = {name: 0 if after and name in after else (spec.page - 1) * spec.page_size for name, spec in specs.items()}
+    ends = {name: start[name] + spec.page_size for name, spec in specs.items()}
+    rows = R.rank_by_spec(src, wanted, "arrival", max(ends.values()), keep, after)
+    on_page = F.lit(False)
+    for name in specs:
+        on_page = on_page | ((F.col("spec") == name) & F.col("rank").between(start[name] + 1, ends[name]))
+    return rows.where(on_page)
+
+
 def table_query(published: DataFrame, query: str, status: str, col: str, direction: str, as_of,
                 page_no: int = 1) -> tuple[DataFrame, DataFrame]:
     """C15, table variant: tokens and status only, G2 sort, 50 rows a page."""
@@ -50,22 +64,21 @@ CHAT_SPECS = {
 }
 
 
-def chat_query(state: DataFrame, kind: str, arg: str, k: int = 15) -> tuple[DataFrame, DataFrame]:
-    """G9 over C10 / C11 / C12: (first k rows by price with rank, all matching rows)."""
-    from ..functions import parse_amount
-
-    s = state.withColumn("_price_num", price_value_all("price"))
+def chat_condition(kind: str, arg: str) -> Column:
+    """The condition of a chat query on the state (with ``chat_text``)."""
     if kind == "search":
-        if "scheme_name" not in s.columns:
-            s = s.withColumn("scheme_name", F.lit(None).cast("string"))
-        s = s.withColumn("chat_text", chat_search_text("title", "location", "property_type", "size", "scheme_name"))
-        m = P.keyword_all(s, arg, c="chat_text")
-    elif kind == "type":
-        m = P.type_contains(s, arg)
-    elif kind == "location":
-        m = P.location_contains(s, arg)
-    else:
-        amount = s.sparkSession.range(1).select(parse_amount(F.lit(arg)).alias("a")).first()["a"]
-        m = P.price_under(s, amount) if kind == "under" else P.price_above(s, amount)
-    order = [F.col("_price_num").asc(), F.col("first_obs_seq").asc()]
-    return R.top_k(m, order, k), m
+        return P.keyword_all_expr(F.col("chat_text"), arg)
+    if kind == "type":
+        return F.lower(F.coalesce("property_type", F.lit(""))) == resolve_type_alias(arg).lower()
+    if kind == "location":
+        return F.lower(F.coalesce("location", F.lit(""))).contains(arg.lower())
+    amount, price = parse_amount(F.lit(arg)), F.col("_price_num")
+    return (price > 0) & (price <= amount) if kind == "under" else price >= amount
+
+
+def chat_queries(state: DataFrame, specs: dict[str, tuple[str, str]], keep: list[str], k: int = 15) -> DataFrame:
+    """G9 for many chat queries in one pass: ``(spec, rank, total, sort_key, first_obs_seq, *keep)`` of the first ``k`` rows by price."""
+    s = state if "scheme_name" in state.columns else state.withColumn("scheme_name", F.lit(None).cast("string"))
+    s = s.withColumn("_price_num", price_value_all("price")).withColumn("chat_text", chat_search_text("title", "location", "property_type", "size", "scheme_name"))
+    wanted = {name: (F.coalesce(chat_condition(kind, arg), F.lit(False)), F.col("_price_num").cast("double")) for name, (kind, arg) in specs.items()}
+    return R.rank_by_spec(s, wanted, "first_obs_seq", k, keep)

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from bidscope import functions as X
-from bidscope.operators.filters import match_saved_filters
+from bidscope.operators.filters import ANY_TYPE, filter_candidates, filter_keys, match_saved_filters, parsed_filters
 from bidscope.operators.resolve import assign_entities, resolve_entities
 from bidscope.plans.dedup import unique_slug
 from bidscope.plans.publish import one_per_address
@@ -103,6 +103,80 @@ def test_listing_without_type_matches_a_filter_without_type(spark):
     assert counts.first()["n_matches"] == 2 and pairs.count() == 2
 
 
+FILTER = "filter_id long, text string, type string, min_price double, max_price double, location string, city string, search string"
+LISTING = "p_partkey long, property_type string, price_value long, location string, search_text string, is_expired boolean"
+
+
+def fits(f, x):
+    """Whether a listing meets a filter, condition by condition."""
+    _, _, kind, lo, hi, location, city, search = f
+    _, of_type, price, place, text, expired = x
+    price, text = price or 0, text or ""
+    return (not expired and (kind is None or of_type == kind) and (not lo or price >= lo) and (not hi or price <= hi) and (location is None or city is not None or location.lower() in (place or "").lower())
+            and (city is None or city in text) and (search is None or all(t in text for t in search.lower().split())))
+
+
+def test_saved_filters_by_index_equal_all_pairs(spark):
+    r = random.Random(8)
+    words = ["shah", "alam", "jalan", "kl", "taman", "ab", "residensi"]
+    listings = [(k, r.choice(["Land", "Landed", None]), r.choice([None, 0, 999, 1000, 1001, r.randint(0, 3_000_000), 3 * 10 ** 9]), r.choice(["Kuala Lumpur", "Selangor", None, "KL"]),
+                 r.choice([None, " ".join(r.choice(words) for _ in range(5))]), r.random() < 0.1) for k in range(300)]
+    filters = [(k, "t", r.choice([None, "Land", "Landed"]), r.choice([None, 0.0, 1000.0, 500_000.5, 2e9]), r.choice([None, 0.0, 999.0, 1000.0, 1_500_000.0, 4e9]), r.choice([None, None, "Selangor", "kl"]),
+                r.choice([None, None, "shah alam", "taman"]), r.choice([None, None, "jalan", "Shah ab", "kl"])) for k in range(80)]
+    f, x = spark.createDataFrame(filters, FILTER), spark.createDataFrame(listings, LISTING)
+    counts, pairs = match_saved_filters(f, x, "p_partkey")
+    want = {(a[0], b[0]) for a in filters for b in listings if fits(a, b)}
+    got = [tuple(p) for p in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {c.filter_id: c.n_matches for c in counts.collect()} == {a[0]: sum(1 for p in want if p[0] == a[0]) for a in filters}
+
+
+def test_price_ranges_are_made_of_few_disjoint_intervals(spark):
+    ranges = [(0, 0), (1, 1), (5, 9), (0, 1), (7, 1000), (333, 99_999)]
+    f = spark.createDataFrame([(k, "t", None, lo * 1000.0, hi * 1000.0, None, None, None) for k, (lo, hi) in enumerate(ranges)], FILTER)
+    cells = {k: [] for k in range(len(ranges))}
+    for row in filter_keys(f).collect():
+        _, level, cell, of_type = row.key.split(":")
+        assert of_type == ANY_TYPE and not row.by_run
+        cells[row.filter_id] += [(int(cell) << int(level), (int(cell) + 1) << int(level))]
+    for k, (lo, hi) in enumerate(ranges):
+        spans = sorted(cells[k])
+        assert spans[0][0] == lo and spans[-1][1] == (hi + 1 if hi else 1 << 20) and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and len(spans) <= 40
+
+
+def test_candidates_of_saved_filters_are_few(spark):
+    """On the fixture's filters and listings: fewer than ten candidates for each match."""
+    from bidscope.catalog import context as C
+    from bidscope.catalog.q_enrich import _saved
+    from bidscope.operators.rank import dedup_listings
+    from conftest import SF01
+
+    f, x = parsed_filters(_saved(spark, SF01)), dedup_listings(C.published(spark, SF01))
+    _, pairs = match_saved_filters(f, x, C.ENTITY)
+    act = x.where("not is_expired").selectExpr(C.ENTITY, "property_type", "price_value", "lower(coalesce(location, '')) as _loc", "coalesce(search_text, '') as _st")
+    assert filter_candidates(f, act, C.ENTITY).count() < 10 * pairs.count()
+
+
+def test_pages_by_position_follow_each_other(spark):
+    """Page after page by the last row seen gives the rows of the whole order."""
+    from bidscope.operators.predicates import ListingSpec
+    from bidscope.plans.listing_query import listing_queries
+
+    r = random.Random(4)
+    rows = [(k, r.randint(1, 6) * 1000, r.choice(["1 sqft", "2 sqft", None]), r.choice(["Land", "Landed"]), False, "x", "KL", None, None, None, "t", "a") for k in range(50)]
+    df = spark.createDataFrame(rows, "arrival long, price_value long, size string, property_type string, is_expired boolean, search_text string, location string, auction_date string, auction_text string, discount string, title string, address string")
+    specs = {"dear": ListingSpec(sort="price_desc", page_size=7), "land": ListingSpec(types=["Land"], sort="size_asc", page_size=4)}
+    order = {"dear": sorted(rows, key=lambda x: (-x[1], x[0])), "land": sorted((x for x in rows if x[3] == "Land"), key=lambda x: (int((x[2] or "0")[0]), x[0]))}
+    seen, after = {"dear": [], "land": []}, {}
+    for _ in range(4):
+        page = sorted(listing_queries(df, specs, "2024-01-01", [], dedup=False, after=after).collect(), key=lambda x: x["rank"])
+        for x in page:
+            seen[x.spec].append(x.arrival)
+            after[x.spec] = (x.sort_key, x.arrival)
+            assert x.total == len(order[x.spec])
+    assert seen["dear"] == [x[0] for x in order["dear"][:28]] and seen["land"] == [x[0] for x in order["land"][:16]]
+
+
 def test_caches_with_repeated_addresses_do_not_fan_out(spark):
     cache = spark.createDataFrame([(" A ", 1.0, 2.0, "full"), ("A", 0.5, 2.0, "full"), ("", 1.0, 1.0, "full")], "address string, lat double, lng double, q string")
     assert [tuple(r) for r in one_per_address(cache, "lat", "lng", "q").collect()] == [("A", 0.5, 2.0, "full")]
