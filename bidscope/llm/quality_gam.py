@@ -185,12 +185,14 @@ def held_out(id_col, folds: int = 5):
 
 
 def training_rows(df: DataFrame, labels: DataFrame, label_col: str, folds: int, max_rows: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``max_rows`` labelled rows outside the held-out fold: those with the smallest hash of the id."""
+    """Features and labels of at most ``max_rows`` labelled rows outside the held-out fold: those with the smallest hash of the id, also
+    where rows of ``df`` repeat an id."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col("doc_id"), folds))
     known = (known.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("double").alias("_y"))
              .orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows))
     rows = df.select(F.col("doc_id").cast("long").alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
-    got = add_features(rows.select("text", "_y", "_id")).select("features", "_y", "_id").toArrow()  # the sample is bounded, and so is what it sends
+    found = add_features(rows.select("text", "_y", "_id")).select("features", "_y", "_id")
+    got = found.orderBy(F.xxhash64("_id"), "_id", "_y", "features").limit(max_rows).toArrow()  # the sample is bounded, and so is what it sends
     order = np.argsort(got["_id"].to_numpy(), kind="stable")  # the same model whatever the order of arrival
     x = np.array(got["features"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return x[order], got["_y"].to_numpy()[order]

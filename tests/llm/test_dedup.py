@@ -232,9 +232,31 @@ def test_every_wanted_pair_is_within_budget_in_two_blocks():
             assert sum((d[a:b] ** 2).sum() <= r for (a, b), r in zip(spans, r2)) >= min(EJ.AGREE, len(spans))
 
 
-def test_op9_query(spark):
-    rows = Q.QUERIES["op9_embedding_near_dedup"](spark, SF001).collect()
-    assert len(rows) == table(spark, SF001, "embeddings").count()
+def test_op9_query(spark, tmp_path):
+    """The table's vectors with planted near copies, chains and odd vectors, against all pairs."""
+    r = np.random.default_rng(6)
+    rows = [(x.vec_id, x.embedding, x.label) for x in table(spark, SF001, "embeddings").collect()]
+    made = []
+    for k, (_, v, label) in enumerate(rows[:60]):
+        v = np.array(v)
+        for near in (0.02, 0.2, 0.31, 0.34):  # cosines on both sides of 0.95
+            step = r.normal(size=len(v))
+            made.append((v + near * np.linalg.norm(v) / np.linalg.norm(step) * step) * r.uniform(0.1, 9))
+        made += [v, made[-3] + 0.1 * made[-4]]
+    rows += [(100_000 + k, [float(x) for x in v], k % 7) for k, v in enumerate(made)]
+    rows += [(200_000, None, 1), (200_001, [0.0] * len(rows[0][1]), 1), (200_002, [float("nan")] * len(rows[0][1]), None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in Q.QUERIES["op9_embedding_near_dedup"](spark, str(tmp_path)).collect()}
+    ids = [i for i, v, _ in rows if v and np.isfinite(v).all() and np.any(v)]
+    x = np.array([v for i, v, _ in rows if i in set(ids)], dtype=np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    cosine = x @ x.T
+    linked = cosine >= 0.95
+    assert np.abs(cosine - 0.95).min() > 1e-9 and linked.sum() > len(ids) + 200
+    at = {i: k for k, i in enumerate(ids)}
+    parts = components_of(ids, lambda a, b: linked[at[a], at[b]])
+    want = {i: (int(linked[at[i]].sum()) - 1, parts[i], parts[i] == i) for i in ids} | {i: (0, i, True) for i in (200_000, 200_001, 200_002)}
+    assert got == want
 
 
 def test_op8_query(spark):

@@ -61,6 +61,13 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
     assert a == b
 
 
+def test_training_rows_are_bounded_where_ids_repeat(spark):
+    docs = spark.range(300).selectExpr("id % 3 AS doc_id", "concat('some words of text ', id) AS text")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(3)], "doc_id long, quality int")
+    x, y = G.training_rows(docs, labels, "quality", folds=1000, max_rows=5)
+    assert len(x) == len(y) == 5
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (4, 1), (5, None), (6, 7), (7, 1), (None, 1)], "doc_id long, quality int")
     assert len(G.score_quality(edge_docs, labels).collect()) == edge_docs.count()

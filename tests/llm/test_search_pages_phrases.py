@@ -17,7 +17,7 @@ from bidscope.llm import lexical_search as L
 from bidscope.llm import queries as Q
 from bidscope.llm.common import table
 from conftest import SF001
-from tests.llm.conftest import DOCS
+from llm.conftest import DOCS
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")

@@ -88,6 +88,14 @@ def test_counts_equal_library(byte_pieces):
         assert mine.count(t) == len(tok.encode(t, add_special_tokens=False).ids), t
 
 
+def test_op2_query(spark):
+    """Every text of the table against the library's unigram model."""
+    tok = Tokenizer(models.Unigram(U.read_pieces(PIECES), unk_id=0, byte_fallback=True))
+    tok.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always", split=True)
+    got = {r.doc_id: r.n_tokens for r in Q.QUERIES["op2_token_counts"](spark, SF001).collect()}
+    assert got == {r.doc_id: len(tok.encode(r.text or "", add_special_tokens=False).ids) for r in table(spark, SF001, "documents").collect()}
+
+
 def test_ties_take_the_match_that_starts_first():
     v = U.CountViterbi([("<unk>", 0.0), ("a", -1.0), ("aa", -2.0), ("aaa", -3.0)])
     assert v.count("aaa") == (-3.0, 1) and v.count("aaaa")[1] == 2
