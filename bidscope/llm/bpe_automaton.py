@@ -116,21 +116,25 @@ class MergeAutomaton:
             return self._with_gaps(word)
         state, came = [-1] * (n + 1), [0] * (n + 1)
         table, size = self._step, self.size
+        done = -1
         for end, (length, inside, last) in self.ending.iter(word):
-            i = end + 1
-            if state[i] >= 0:
+            if end == done:  # the longer label of the path was found
                 continue
+            i = end + 1
             t = inside if i < n else last
             if t < 0:
                 continue
-            if j := i - length:
+            j = i - length
+            if j:
                 u = state[j]
                 if u < 0:
                     continue
                 arc = table.get(u * size + t)
-                if not (self.step(u, t) if arc is None else arc):
+                if arc is None:
+                    arc = self.step(u, t)
+                if not arc:
                     continue
-            state[i], came[i] = t, j
+            state[i], came[i], done = t, j, end
         out = []
         while n:
             t = state[n]
@@ -175,8 +179,11 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of one piece of text without white space, as little-endian 32-bit numbers."""
-        text = unicodedata.normalize("NFC", chunk)
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # letter by letter
+        if chunk.isascii():
+            text = chunk.lower()
+        else:
+            text = unicodedata.normalize("NFC", chunk)
+            text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)  # letter by letter
         ids = array("i")
         words = self._words
         for w in self.words.findall(text):
@@ -184,7 +191,8 @@ class WordBpe:
             if known is None:
                 known = self._old_words.get(w)
                 if known is None:
-                    known = self.automaton.encode(w.encode("utf-8").decode("latin-1").translate(self.bytes))
+                    plain = w.isascii() and w.isalnum()  # such bytes are their own symbols
+                    known = self.automaton.encode(w if plain else w.encode("utf-8").decode("latin-1").translate(self.bytes))
                 words[w] = known
             ids.extend(known)
         if len(words) > CHUNK_ENTRIES:
@@ -193,18 +201,20 @@ class WordBpe:
 
     def _plain(self, text: str) -> bytes:
         chunks, known = text.split() if not _SEPARATORS.search(text) else _SPACES.split(text), self._chunks
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > CHUNK_ENTRIES:
-            self._old_chunks = known
-            known = self._chunks = {}
-        old = self._old_chunks
-        for c in chunks:
-            if c not in known:
-                known[c] = old[c] if c in old else self._chunk(c)
-        return b"".join([known[c] for c in chunks])
+        parts = list(map(known.get, chunks))
+        if None in parts:
+            if len(known) > CHUNK_ENTRIES:
+                self._old_chunks = known
+                known = self._chunks = {}
+            old = self._old_chunks
+            for k, (c, part) in enumerate(zip(chunks, parts)):
+                if part is None:
+                    part = known.get(c)
+                    if part is None:
+                        part = old.get(c)
+                        known[c] = part = self._chunk(c) if part is None else part
+                    parts[k] = part
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         if self.marks is None or not any(s in text for s in self.special):
