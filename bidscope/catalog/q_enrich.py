@@ -10,6 +10,7 @@ from ..operators import enrich as EN
 from ..operators import filters as FL
 from ..operators import predicates as P
 from ..operators import rank as R
+from ..operators import spatial as SP
 from ..plans.dedup import rank_within
 from ..session import stored
 from . import context as C
@@ -123,6 +124,19 @@ def c13_in_bounds(spark, sf_dir):
     return P.in_bounds(pub, 3.02, 101.1, 3.06, 101.4).select("p_partkey")
 
 
+@register("c13_in_bounds_by_cell", "C13 (Z-order layout), D6", views=("published", "geo_cache", "statet"), sql="""
+SELECT p.p_partkey, round(g.lat, 5) AS lat, round(g.lng, 5) AS lng FROM published p JOIN statet s ON s.p_partkey = p.p_partkey
+JOIN geo_cache g ON g.address = trim(coalesce(s.header_full, ''))
+WHERE g.q <> 'default' AND round(g.lat, 5) BETWEEN 3.01 AND 3.05 AND round(g.lng, 5) BETWEEN 101.2 AND 101.5""")
+def c13_in_bounds_by_cell(spark, sf_dir):
+    key = (spark.sparkContext.applicationId, "by_cell:" + sf_dir)
+    path = C._MATERIALISED.get(key)
+    if path is None:
+        path = C._MATERIALISED[key] = C.scratch_path(spark, "by-cell")
+        SP.write_by_cell(C.publish(spark, sf_dir, C.geocode_cache(spark, sf_dir), None), path)
+    return SP.boxed(spark.read.parquet(path), 3.01, 101.2, 3.05, 101.5).select("p_partkey", "lat", "lng")
+
+
 @register("e9_cache_coverage", "E9", views=("geo_cache", "scheme_cache_v"), sql="""
 SELECT 'geocode' AS cache, q AS bucket, count(*) AS n FROM geo_cache GROUP BY 2
 UNION ALL
