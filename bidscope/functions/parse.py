@@ -30,6 +30,7 @@ def validate_price(c) -> Column:
     return F.struct(F.coalesce(ok, F.lit(False)).alias("valid"), value.alias("value"))
 
 
+# Fixed value: the form of an auction date; the patterns inside the functions below are likewise forms of the texts that are read.
 AUCTION_DATE_PATTERN = r"^\d{1,2}\s+\w{3}\s+\d{4}\s+\(\w{3}\)"
 
 
