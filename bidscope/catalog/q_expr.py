@@ -116,7 +116,8 @@ SELECT title, {sql_type('title')} AS property_type, count(*) AS n FROM obs GROUP
 """)
 def b9_property_type(spark, sf_dir):
     o = C.obs(spark, sf_dir)
-    return o.groupBy("title", X.categorize_property_type("title").alias("property_type")).agg(F.count(F.lit(1)).alias("n"))
+    n = o.groupBy("title").agg(F.count(F.lit(1)).alias("n"))  # a title has one type: told once for each title
+    return n.select("title", X.categorize_property_type("title").alias("property_type"), "n")
 
 
 _LOC_X1 = sql_strip("regexp_extract(coalesce(location, ''), '^([^\\[\\]]*)', 1)")
