@@ -14,3 +14,57 @@ def test_observations_are_ordered_before_their_texts_are_made(spark):
     at = plan.index("rangepartitioning(scan_date")
     assert "Storey" in plan[:at] and "format_number" in plan[:at]
     assert "Storey" not in plan[at:] and "format_number" not in plan[at:]
+
+
+PLAIN_PAGE = (
+    '<html><head><title>Auction results</title></head><body><p>Result(s): 12</p>\n<div class="row">\n<div class="col"><div class="card">\n'
+    '<img src="/images/1.jpg" alt="">\n<p class="text-muted">Residensi A &amp; B</p>\n<h5 class="fw-bold">No. 1</h5>\n'
+    '<a class="stretched-link" href="/property/L1/1" title="Shop &amp; Office">Shop &amp; Office</a>\n<span>RM120,000</span>\n'
+    "<span>3 Oct 2001 (Wed)</span>\n</div></div>\n</div></body></html>")
+
+
+def test_plain_pages_need_no_parser(monkeypatch):
+    from bidscope.sources import harvest as HV
+
+    by_pattern = HV.cards_of_page(1, PLAIN_PAGE)
+    with monkeypatch.context() as m:
+        m.setattr(HV, "_plain_tokens", lambda html: None)
+        assert HV.cards_of_page(1, PLAIN_PAGE) == by_pattern and len(by_pattern) == 1
+
+    def fed(self, data):
+        raise RuntimeError("the parser was asked")
+
+    monkeypatch.setattr(HV.HTMLParser, "feed", fed)
+    assert HV.cards_of_page(1, PLAIN_PAGE) == by_pattern
+
+
+def test_pattern_and_parser_read_pages_alike(monkeypatch):
+    import random
+
+    from bidscope.sources import harvest as HV
+
+    def outline(html):
+        page = HV._Outline(html)
+        return page.pieces, [(e.tag, e.attrs, e.begin, e.end, e.at, e.last, e.parent and e.parent.at) for e in page.elements]
+
+    plain = ['<div>', "</div>", '<p class="a b">', "</p>", '<a href="/property/1&amp;2" class="stretched-link">', "</a>", "<title>x</title>", "<br>",
+             "text ", "RM12,000", "3 Oct 2001 (Wed)", "&amp;", "&lt", "& ", "&notit;", ">", '"', "\n", "<template>", "</template>", '<a a="1" a="2">']
+    other = ["<", "<!-- c -->", "<script>", "</script>", "<DIV>", "<p x=1>", "</p >", "<br/>", '<a title="a > b">', '<a title="&ltx">', "<title>", "<![CDATA[x]]>",
+             "<textarea>", "<svg>", "</ x>", '<a b="c"d="e">']
+    rnd = random.Random(7)
+    pages = ["".join(rnd.choices(plain + other * (k % 2), k=12)) for k in range(2000)]
+    assert sum(HV._plain_tokens(p) is not None for p in pages) > 500
+    got = [outline(p) for p in pages]
+    monkeypatch.setattr(HV, "_plain_tokens", lambda html: None)
+    assert got == [outline(p) for p in pages]
+
+
+def test_link_of_a_card_is_chosen_once(spark):
+    """The fields that the link gives are read from one column, not worked out again for each of them."""
+    from bidscope.sources import harvest as HV
+
+    cards = HV.split_cards(spark.createDataFrame([(1, PLAIN_PAGE)], "page_id long, html string"))
+    fields = HV.extract_card_fields(cards, "https://x", "https://x/s")
+    assert _plan(fields).count("array_max") == 1
+    row = fields.first()
+    assert (row["title"], row["listing_id"], row["price_value"], row["reject_reason"]) == ("Shop & Office", "L1", 120000, None)
