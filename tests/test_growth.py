@@ -68,3 +68,15 @@ def test_link_of_a_card_is_chosen_once(spark):
     assert _plan(fields).count("array_max") == 1
     row = fields.first()
     assert (row["title"], row["listing_id"], row["price_value"], row["reject_reason"]) == ("Shop & Office", "L1", 120000, None)
+
+
+def test_tables_between_steps_are_kept_in_columns(spark):
+    """A checkpoint would hold whole rows uncompressed; its plan reads an RDD, and every column of it."""
+    from bidscope.operators.sequence import dense_index
+    from bidscope.session import cut_lineage
+
+    df = spark.range(50).selectExpr("id", "cast(id % 7 as string) AS name")
+    for table in (cut_lineage(df), dense_index(df, ["name", "id"])):
+        plan = _plan(table.select("id"))
+        assert "ExistingRDD" not in plan and "ReadSchema: struct<id:bigint" in plan
+    assert [r["idx"] for r in dense_index(df, ["name", "id"]).orderBy("name", "id").collect()] == list(range(1, 51))
