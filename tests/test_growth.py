@@ -80,3 +80,42 @@ def test_tables_between_steps_are_kept_in_columns(spark):
         plan = _plan(table.select("id"))
         assert "ExistingRDD" not in plan and "ReadSchema: struct<id:bigint" in plan
     assert [r["idx"] for r in dense_index(df, ["name", "id"]).orderBy("name", "id").collect()] == list(range(1, 51))
+
+
+def _stored_folders(spark) -> set:
+    import os
+
+    from bidscope.session import checkpoint_dir
+
+    base = checkpoint_dir(spark).removeprefix("file:")
+    return {f for f in os.listdir(base) if not f.startswith("bidscope")}
+
+
+def test_a_batch_leaves_only_the_database(spark, small_plans):
+    """Rounds of matching and the batch's own tables are deleted once they are not read any more."""
+    from bidscope.catalog import context as C
+    from bidscope.plans import replay as RP
+    from bidscope.sources.snapshots import scratch_path
+
+    obs = C.obsn(spark, SF001).where("scan_date < '1995-07-01'")
+    base, before = scratch_path(spark, "database"), _stored_folders(spark)
+    version = RP.apply_batch(spark, base, obs)
+    assert _stored_folders(spark) == before
+    assert RP.read_entities(spark, version).count() > 0
+
+
+def test_snapshot_documents_are_written_compressed_and_unshuffled(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from bidscope.catalog import context as C
+    from bidscope.plans import replay as RP
+    from bidscope.sources import snapshots as S
+
+    obs = C.obsn(spark, SF001).where("scan_date < '1995-07-01'")
+    landing = f"{tmp_path}/landing"
+    S.write_snapshot_files(obs, landing, rows_per_doc=50)
+    files = [str(p) for p in (tmp_path / "landing").rglob("part-*")]
+    assert files and all(f.endswith(".txt.gz") for f in files)
+    assert S.read_snapshot_files(spark, files).count() == obs.count()
+    version = RP.replay_files(spark, landing, f"{tmp_path}/database")
+    assert RP.read_log(spark, version).agg(F.sum("listings_seen")).first()[0] == obs.count()
