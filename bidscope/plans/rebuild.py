@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import alert_card
+from ..operators.asof import HOT_ROWS
 from ..operators.history import detect_changes
 
 
@@ -26,7 +27,7 @@ def scan_log(obs: DataFrame, entity: str) -> DataFrame:
     in the scan), change_count, listings_seen. All aggregates; no per-scan arrays."""
     seen = obs.groupBy("scan_date").agg(F.count(F.lit(1)).alias("listings_seen"))
     new = scan_new_entities(obs, entity).groupBy("scan_date").agg(F.count(F.lit(1)).alias("new_listings_count"))
-    ch = detect_changes(obs, entity).groupBy("scan_date").agg(
+    ch = detect_changes(obs, entity, hot_rows=HOT_ROWS).groupBy("scan_date").agg(
         F.countDistinct(entity).alias("changed_properties_count"), F.count(F.lit(1)).alias("change_count")
     )
     out = seen.join(new, "scan_date", "left").join(ch, "scan_date", "left")
@@ -41,7 +42,7 @@ def scan_log(obs: DataFrame, entity: str) -> DataFrame:
 
 def change_summary(obs: DataFrame, entity: str) -> DataFrame:
     """Changes per scan and type."""
-    return detect_changes(obs, entity).groupBy("scan_date", "type").agg(F.count(F.lit(1)).alias("n"))
+    return detect_changes(obs, entity, hot_rows=HOT_ROWS).groupBy("scan_date", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scan_history(log: DataFrame, k: int = 15) -> DataFrame:
@@ -62,7 +63,7 @@ def scan_records(obs: DataFrame, state: DataFrame, entity: str) -> DataFrame:
     entity's current title. Long form: a scan with very many changes is many rows, not one array."""
     none = F.lit(None).cast("string")
     new = scan_new_entities(obs, entity).select("scan_date", F.lit("new").alias("kind"), entity, *(none.alias(c) for c in ("type", "field", "old_value", "new_value", "change_date")))
-    ch = detect_changes(obs, entity).select("scan_date", F.lit("change").alias("kind"), entity, "type", "field", "old_value", "new_value", F.col("change_date").cast("string").alias("change_date"))
+    ch = detect_changes(obs, entity, hot_rows=HOT_ROWS).select("scan_date", F.lit("change").alias("kind"), entity, "type", "field", "old_value", "new_value", F.col("change_date").cast("string").alias("change_date"))
     return new.unionByName(ch).join(state.select(entity, "title"), entity, "left")
 
 
@@ -85,7 +86,7 @@ def latest_changes(obs: DataFrame, entity: str, scan) -> DataFrame:
         F.lit(None).cast("string").alias("old_value"), F.lit(None).cast("string").alias("new_value"),
         F.lit(None).cast("string").alias("change_date"),
     )
-    ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan).select(
+    ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan, hot_rows=HOT_ROWS).select(
         F.lit("change").alias("kind"), F.col(entity), "type", "old_value", "new_value", "change_date"
     )
     return new.unionByName(ch)
@@ -127,7 +128,7 @@ def new_listing_details(obs: DataFrame, published: DataFrame, entity: str, scan,
 def changes_by_property(obs: DataFrame, published: DataFrame, entity: str, scan) -> DataFrame:
     """The last scan's change records grouped per property (count, sorted distinct types), kept only
     for properties that still exist in the published table."""
-    ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan)
+    ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan, hot_rows=HOT_ROWS)
     g = ch.groupBy(entity).agg(F.count(F.lit(1)).alias("n_changes"), F.sort_array(F.collect_set("type")).alias("types"))
     return g.join(published.select(entity), entity, "left_semi")
 
@@ -146,7 +147,7 @@ def scan_digest(obs: DataFrame, state: DataFrame, entity: str, scan, k: int = 5)
         alert_card("rank", "title", "location", "header_full", "property_type", "size", "discount", "price",
                    "auction_date", "url").alias("text"),
     )
-    ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan)
+    ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan, hot_rows=HOT_ROWS)
     # the card shows the change list of the entity's last changed observation in the scan (as the reference
     # keeps only the last list), positioned by the entity's first change
     last = ch.groupBy(entity).agg(F.min("obs_seq").alias("arrival"), F.max("obs_seq").alias("_last"))
@@ -189,6 +190,6 @@ def rebuilt(labelled: DataFrame) -> dict:
     return {
         "labelled": labelled,
         "state": current_state(labelled, "entity_id"),
-        "changes": detect_changes(labelled, "entity_id"),
+        "changes": detect_changes(labelled, "entity_id", hot_rows=HOT_ROWS),
         "log": scan_log(labelled, "entity_id"),
     }

@@ -119,3 +119,26 @@ def test_snapshot_documents_are_written_compressed_and_unshuffled(spark, tmp_pat
     assert S.read_snapshot_files(spark, files).count() == obs.count()
     version = RP.replay_files(spark, landing, f"{tmp_path}/database")
     assert RP.read_log(spark, version).agg(F.sum("listings_seen")).first()[0] == obs.count()
+
+
+def test_history_points_shuffle_their_rows_once(spark):
+    from bidscope.catalog import context as C
+    from bidscope.operators.history import detect_changes, history_rounds, change_points, price_points
+
+    o = C.obsn(spark, SF001)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert _plan(price_points(o, "p_partkey")).count("Exchange hashpartitioning") == 1
+        assert "Join" not in _plan(detect_changes(o, "p_partkey", hot_rows=1 << 20))
+        assert "Join" not in _plan(history_rounds(*change_points(o, "p_partkey"), "p_partkey"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_previous_values_by_window_and_by_segments_agree(spark):
+    from bidscope.operators.history import previous_values
+
+    rows = [(e, f"2001-0{1 + (s * e) % 4}-01", s, f"v{(s * 7 + e) % 3}" if s % 5 else None) for e in range(1, 6) for s in range(40 if e == 1 else 6)]
+    df = spark.createDataFrame(rows, "e long, scan_date string, obs_seq long, v string")
+    got = [sorted(map(str, previous_values(df, "e", ["v"], seg_bits=2, hot_rows=h).select("e", "scan_date", "obs_seq", "v", "prev_v", "is_first").collect())) for h in (None, 10, 1000)]
+    assert got[0] == got[1] == got[2]
