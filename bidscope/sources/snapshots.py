@@ -59,7 +59,8 @@ def write_snapshot_json(obs: DataFrame, path: str, raw_id_col: str = "raw_id", r
         .groupBy("scan_date", "_p").agg(F.map_from_entries(F.collect_list(F.struct("_rid", "_l"))).alias("properties"))
     out = doc.select(F.date_format("scan_date", "yyyy-MM-dd'T'HH:mm:ss").alias("scan_date"), "properties",
                      F.col("scan_date").alias("_d"), "_p")
-    out.repartition("_d", "_p").write.mode("overwrite").partitionBy("_d", "_p").json(path)
+    # a document is one row already, so nothing is shuffled again; gzip, since the text repeats every name for every listing
+    out.write.mode("overwrite").partitionBy("_d", "_p").option("compression", "gzip").json(path)
 
 
 def read_snapshots(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:

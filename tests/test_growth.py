@@ -142,3 +142,17 @@ def test_previous_values_by_window_and_by_segments_agree(spark):
     df = spark.createDataFrame(rows, "e long, scan_date string, obs_seq long, v string")
     got = [sorted(map(str, previous_values(df, "e", ["v"], seg_bits=2, hot_rows=h).select("e", "scan_date", "obs_seq", "v", "prev_v", "is_first").collect())) for h in (None, 10, 1000)]
     assert got[0] == got[1] == got[2]
+
+
+def test_snapshot_documents_are_compressed_and_shuffled_once(spark, tmp_path):
+    import os
+
+    from bidscope.catalog import context as C
+    from bidscope.sources.snapshots import read_snapshots, write_snapshot_json
+    from pyspark.sql import functions as F
+
+    o = C.obs(spark, SF001).withColumn("raw_id", F.col("obs_seq").cast("string"))
+    write_snapshot_json(o, str(tmp_path / "s"), rows_per_doc=100)
+    names = [n for _, _, fs in os.walk(tmp_path) for n in fs if n.startswith("part-")]
+    assert names and all(n.endswith(".json.gz") for n in names)
+    assert read_snapshots(spark, str(tmp_path / "s"), multi_line=False).count() == o.count()
