@@ -156,3 +156,21 @@ def test_snapshot_documents_are_compressed_and_shuffled_once(spark, tmp_path):
     names = [n for _, _, fs in os.walk(tmp_path) for n in fs if n.startswith("part-")]
     assert names and all(n.endswith(".json.gz") for n in names)
     assert read_snapshots(spark, str(tmp_path / "s"), multi_line=False).count() == o.count()
+
+
+def test_landed_scans_are_taken_in_scan_order(spark):
+    from bidscope.catalog import context as C
+    from bidscope.sources.snapshots import scratch_path
+    from bidscope.streaming import streams as ST
+    from pyspark.sql import functions as F
+
+    o = C.obsn(spark, SF001)
+    landing = scratch_path(spark, "landing-order")
+    days = sorted(r[0] for r in o.select("scan_date").distinct().collect())
+    first = o.where(F.col("scan_date") != F.lit(days[3]))
+    assert ST.land_scans(first, landing) == [d for d in days if d != days[3]]
+    ST.land_scans(o.where(F.col("scan_date").isin(days[3], days[5])), landing)
+    seen = []
+    ST._run(lambda ck: ST.stream_snapshots(spark, landing, o.schema).writeStream.option("checkpointLocation", ck).foreachBatch(
+        lambda b, _: seen.extend(r[0] for r in b.select("scan_date").distinct().collect())), "order", spark)
+    assert seen == [d for d in days if d != days[3]] + [days[3], days[5]]
