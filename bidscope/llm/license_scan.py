@@ -212,11 +212,13 @@ class LicenseModel:
         return F.array(*(F.lit(float(v)) for v in values))
 
     def logits(self, gram_list: Column) -> Column:
-        zeros, start = self._array([0.0] * len(self.classes)), self._array(self.bias)
+        """Sum of the weights of the n-grams, each counted once. Only those that have weights are looked up and added: few of a text's do."""
+        start = self._array(self.bias)
         if not self.weights:
             return start
         table = F.map_from_arrays(F.array(*(F.lit(g) for g in self.weights)), F.array(*(self._array(v) for v in self.weights.values())))
-        return F.aggregate(gram_list, start, lambda acc, g: F.zip_with(acc, F.coalesce(F.element_at(table, g), zeros), lambda x, y: x + y))
+        weighted = F.array_intersect(gram_list, F.array(*(F.lit(g) for g in self.weights)))  # a hash look-up each, in the order of the text
+        return F.aggregate(weighted, start, lambda acc, g: F.zip_with(acc, F.element_at(table, g), lambda x, y: x + y))
 
     def pattern(self) -> str:
         """Regular expression of the screening words, for lower-case text."""
@@ -306,9 +308,10 @@ def scan(df: DataFrame, model: LicenseModel, text_col: str = "text", out_col: st
     pattern, classes = F.lit(model.pattern()), F.array(*(F.lit(c) for c in model.classes))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.cast("int").alias("paragraph"), F.lower(x).alias("line"))), lambda p: F.rlike(p["line"], pattern))
     split = F.transform(lines, lambda p: F.struct(p["paragraph"].alias("paragraph"), words(p["line"]).alias("w")))
-    scored = F.transform(split, lambda p: F.struct(p["paragraph"].alias("paragraph"), F.array_join(p["w"], " ").alias("said"), bigrams(p["w"]).alias("pairs"), model.logits(grams(p["w"])).alias("z")))
-    topped = F.transform(scored, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["said"].alias("said"), p["pairs"].alias("pairs"), p["z"].alias("z"), F.array_max(p["z"]).alias("top")))
-    best = F.transform(topped, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["said"].alias("said"), p["pairs"].alias("pairs"), (1 / softmax_sum(p["z"], p["top"], model.temperature)).alias("probability"),
+    paired = F.transform(split, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["w"].alias("w"), bigrams(p["w"]).alias("pairs")))
+    scored = F.transform(paired, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["w"].alias("w"), p["pairs"].alias("pairs"), model.logits(F.concat(p["w"], p["pairs"])).alias("z")))
+    topped = F.transform(scored, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["w"].alias("w"), p["pairs"].alias("pairs"), p["z"].alias("z"), F.array_max(p["z"]).alias("top")))
+    best = F.transform(topped, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["w"].alias("w"), p["pairs"].alias("pairs"), (1 / softmax_sum(p["z"], p["top"], model.temperature)).alias("probability"),
                                                   F.element_at(classes, F.array_position(p["z"], p["top"]).cast("int")).alias("family")))
     found = F.filter(best, lambda p: p["family"] != NONE)
 
@@ -320,7 +323,7 @@ def scan(df: DataFrame, model: LicenseModel, text_col: str = "text", out_col: st
     def telling(p):
         holds = F.lit(False)
         for f, told in TELLING.items():
-            holds = F.when(p["family"] == f, F.rlike(p["said"], F.lit(told))).otherwise(holds)
+            holds = F.when(p["family"] == f, F.rlike(F.array_join(p["w"], " "), F.lit(told))).otherwise(holds)
         return holds
 
     compared = F.transform(found, lambda p: F.struct(p["paragraph"].alias("paragraph"), p["family"].alias("family"), p["probability"].alias("probability"), overlap(p).alias("overlap"), telling(p).alias("telling")))

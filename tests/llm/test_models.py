@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
@@ -128,6 +129,14 @@ def test_licence_screen_changes_no_result(spark):
     assert rest.where(F.array_position("z", F.array_max("z")) != 1).count() == 0
 
 
+def test_licence_logits_add_weighted_n_grams_once(spark):
+    """An n-gram counts once however often it is said, and n-grams without weights are not added up as rows of zeros."""
+    model = LS.LicenseModel(["none", "a"], [0.5, -0.5], {"x": [0.0, 2.0], "x y": [1.0, 0.25]}, 1.0, ["x"])
+    z = spark.createDataFrame([(["q", "x", "r", "x", "x y", "q"],), (["q"],), ([],)], "g array<string>").select(model.logits(F.col("g")).alias("z"))
+    assert [r.z for r in z.collect()] == [[1.5, 1.75], [0.5, -0.5], [0.5, -0.5]]
+    assert "array_intersect" in z._jdf.queryExecution().executedPlan().toString()
+
+
 def test_licence_scan_runs_no_python_code(spark):
     plan = Q.QUERIES["op4_license_scan"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
