@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import alert_card
 from ..operators.asof import HOT_ROWS
 from ..operators.history import detect_changes
+from ..session import stored
 
 
 def scan_new_entities(obs: DataFrame, entity: str) -> DataFrame:
@@ -135,18 +136,9 @@ def changes_by_property(obs: DataFrame, published: DataFrame, entity: str, scan)
 
 def scan_digest(obs: DataFrame, state: DataFrame, entity: str, scan, k: int = 5) -> DataFrame:
     """The first k new and the first k changed entities of a scan, in arrival order, as alert cards
-    (B29), plus one count row per section ('+N more' when above k). Rows: (section, rank, entity, text)."""
-    st = state.select(entity, "title", "location", "header_full", "property_type", "size", "discount", "price",
-                      "auction_date", F.coalesce(*[F.col(c) for c in ("listing_url",) if c in state.columns], F.lit(None).cast("string")).alias("url"))
+    (B29), plus one count row per section ('+N more' when above k). ``state`` is the table of current states, or a function that returns
+    that of a list of entities: it is then asked for those shown only. Rows: (section, rank, entity, text)."""
     new = scan_new_entities(obs, entity).filter(F.col("scan_date") == F.lit(scan))
-    n_new = new.count()
-    w = Window.orderBy("arrival")
-    new_top = new.orderBy("arrival").limit(k).withColumn("rank", F.row_number().over(w)).join(st, entity, "inner")
-    new_cards = new_top.select(
-        F.lit("new").alias("section"), "rank", entity,
-        alert_card("rank", "title", "location", "header_full", "property_type", "size", "discount", "price",
-                   "auction_date", "url").alias("text"),
-    )
     ch = detect_changes(obs.filter(F.col("scan_date") <= F.lit(scan)), entity, scan_date=scan, hot_rows=HOT_ROWS)
     # the card shows the change list of the entity's last changed observation in the scan (as the reference
     # keeps only the last list), positioned by the entity's first change
@@ -158,7 +150,20 @@ def scan_digest(obs: DataFrame, state: DataFrame, entity: str, scan, k: int = 5)
         F.max(F.when(F.col("type") == "auction_date_change", F.col("old_value"))).alias("old_date"),
         F.max(F.when(F.col("type") == "auction_date_change", F.col("new_value"))).alias("new_date"),
     )
-    n_changed = per.count()
+    new, per = stored(new, "new"), stored(per, "changed")  # counted and shown
+    n_new, n_changed = new.count(), per.count()
+    if callable(state):
+        shown = {r[0] for x in (new, per) for r in x.orderBy("arrival").limit(k).select(entity).collect()}
+        state = state(sorted(shown))
+    st = state.select(entity, "title", "location", "header_full", "property_type", "size", "discount", "price",
+                      "auction_date", F.coalesce(*[F.col(c) for c in ("listing_url",) if c in state.columns], F.lit(None).cast("string")).alias("url"))
+    w = Window.orderBy("arrival")
+    new_top = new.orderBy("arrival").limit(k).withColumn("rank", F.row_number().over(w)).join(st, entity, "inner")
+    new_cards = new_top.select(
+        F.lit("new").alias("section"), "rank", entity,
+        alert_card("rank", "title", "location", "header_full", "property_type", "size", "discount", "price",
+                   "auction_date", "url").alias("text"),
+    )
     ch_top = per.orderBy("arrival").limit(k).withColumn("rank", F.row_number().over(w)).join(st, entity, "inner")
     ch_cards = ch_top.select(
         F.lit("changed").alias("section"), "rank", entity,
@@ -183,13 +188,20 @@ def rebuild_entities(obs: DataFrame) -> dict:
     return rebuilt(cut_lineage(resolve_entities(obs)))  # read by every later step
 
 
+def told_rows(labelled: DataFrame) -> DataFrame:
+    """What changes and the log read of labelled observations, stored."""
+    return stored(labelled.select("entity_id", "scan_date", "obs_seq", "price", "auction_date", "last_updated"), "told")
+
+
 def rebuilt(labelled: DataFrame) -> dict:
-    """:func:`rebuild_entities` for observations that have their ``entity_id``."""
+    """:func:`rebuild_entities` for observations that have their ``entity_id``. What the changes and the log read is stored once, so
+    that neither takes the other texts along."""
     from ..operators.history import current_state
 
+    told = told_rows(labelled)
     return {
         "labelled": labelled,
         "state": current_state(labelled, "entity_id"),
-        "changes": detect_changes(labelled, "entity_id", hot_rows=HOT_ROWS),
-        "log": scan_log(labelled, "entity_id"),
+        "changes": detect_changes(told, "entity_id", hot_rows=HOT_ROWS),
+        "log": scan_log(told, "entity_id"),
     }
