@@ -87,9 +87,9 @@ SELECT DISTINCT price, auction_date, discount, size, header_full, last_updated,
 FROM obs
 """)
 def b7_b30_parse(spark, sf_dir):
-    o = C.obs(spark, sf_dir)
+    o = C.obs(spark, sf_dir).select("price", "auction_date", "discount", "size", "header_full", "last_updated", "price_value").distinct()
     vp = X.validate_price("price")
-    return o.select(
+    return o.select(  # what equal texts give is equal: each is parsed once
         "price", "auction_date", "discount", "size", "header_full", "last_updated", "price_value",
         vp["valid"].alias("price_valid"), vp["value"].alias("price_checked"),
         X.validate_auction_date("auction_date").alias("date_shape_ok"),
@@ -108,7 +108,7 @@ def b7_b30_parse(spark, sf_dir):
         X.strip_weekday("auction_date").alias("auction_text"),
         X.short_address("header_full").alias("short_address"),
         X.format_amount("price_value").alias("price_text"),
-    ).distinct()
+    )
 
 
 @register("b9_property_type", "B9", views=("obs",), sql=f"""

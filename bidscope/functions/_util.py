@@ -15,8 +15,9 @@ def lit_str(s: str) -> Column:
 
 
 def pystrip(c) -> Column:
-    """Strip leading and trailing whitespace like Python's str.strip() (Spark's trim strips only spaces)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Strip leading and trailing whitespace like Python's str.strip() (Spark's trim strips only spaces): the characters of ``\\s``, without
+    a pattern, as most texts that are stripped have none of them."""
+    return F.btrim(col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(c) -> Column:

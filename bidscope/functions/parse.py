@@ -46,20 +46,20 @@ def validate_auction_date(c, as_of=None, include_expired: bool = True) -> Column
     return shaped & F.coalesce(d >= _as_of_date(as_of), F.lit(False))
 
 
+def _day_month_year(c, pattern: str) -> Column:
+    """The date that the first match of ``pattern`` spells as day, month and year; null where nothing matches or it is no date."""
+    found = F.regexp_extract(F.coalesce(col(c), F.lit("")), pattern, 0)
+    return F.try_to_date(F.regexp_replace(found, r"\s+", " "), "d MMM yyyy")
+
+
 def parse_auction_date(c) -> Column:
     """Leading 'd Mon yyyy' -> date, else null (unknown month or impossible day -> null)."""
-    c = F.coalesce(col(c), F.lit(""))
-    m = r"^(\d{1,2})\s+(\w{3})\s+(\d{4})"
-    text = F.concat_ws(" ", F.regexp_extract(c, m, 1), F.regexp_extract(c, m, 2), F.regexp_extract(c, m, 3))
-    return F.when(c.rlike(m), F.try_to_date(text, "d MMM yyyy"))
+    return _day_month_year(c, r"^\d{1,2}\s+\w{3}\s+\d{4}")
 
 
 def parse_date_anywhere(c) -> Column:
     """B10, dashboard variant: the first 'd Mon yyyy' anywhere in the text -> date (unknown month -> null, Q18)."""
-    s = F.coalesce(col(c), F.lit(""))
-    m = r"(\d{1,2})\s+(\w{3})\s+(\d{4})"
-    text = F.concat_ws(" ", F.regexp_extract(s, m, 1), F.regexp_extract(s, m, 2), F.regexp_extract(s, m, 3))
-    return F.when(s.rlike(m), F.try_to_date(text, "d MMM yyyy"))
+    return _day_month_year(c, r"\d{1,2}\s+\w{3}\s+\d{4}")
 
 
 def parse_any_date(c) -> Column:
@@ -74,7 +74,7 @@ def parse_any_date(c) -> Column:
 
 def price_value(c) -> Column:
     """First run of digits and commas as an integer, else 0."""
-    run = F.regexp_replace(F.regexp_extract(F.coalesce(col(c), F.lit("")), r"[\d,]+", 0), ",", "")
+    run = F.replace(F.regexp_extract(F.coalesce(col(c), F.lit("")), r"[\d,]+", 0), F.lit(","), F.lit(""))
     return F.coalesce(run.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
@@ -96,7 +96,7 @@ def size_value(c) -> Column:
 
 def size_number(c) -> Column:
     """B15, range-filter variant: commas removed, first run of digits and dots as a double; null when none."""
-    s = F.regexp_replace(F.coalesce(col(c), F.lit("")), ",", "")
+    s = F.replace(F.coalesce(col(c), F.lit("")), F.lit(","), F.lit(""))
     return F.regexp_extract(s, r"([0-9.]+)", 1).try_cast("double")
 
 
@@ -136,12 +136,9 @@ def extract_state(c) -> Column:
 
 def parse_amount(c) -> Column:
     """B25: '500k', '1.5m', '500,000', 'RM 2M' -> number (k = thousand, m = million, case-insensitive); else null."""
-    s = F.lower(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"[,\s]", ""))
-    m = r"^(?:rm)?([0-9]+(?:\.[0-9]+)?)([km]?)$"
-    num = F.regexp_extract(s, m, 1).try_cast("double")
-    unit = F.regexp_extract(s, m, 2)
-    mult = F.when(unit == "k", F.lit(1_000.0)).when(unit == "m", F.lit(1_000_000.0)).otherwise(F.lit(1.0))
-    return F.when(s.rlike(m), num * mult)
+    s = F.lower(F.translate(F.coalesce(col(c), F.lit("")), ", \t\n\x0b\f\r", ""))
+    num = F.regexp_extract(s, r"^(?:rm)?([0-9]+(?:\.[0-9]+)?)[km]?$", 1).try_cast("double")  # null where the text is no amount
+    return num * F.when(s.endswith("k"), F.lit(1_000.0)).when(s.endswith("m"), F.lit(1_000_000.0)).otherwise(F.lit(1.0))
 
 
 def absolute_url(root: str, href) -> Column:
